@@ -43,17 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array | pa.ChunkedArray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the bounds between them; a null text is empty.
 
     Of the characters beyond ASCII only two have an ASCII letter in their lower
-    case; they are written out here, all others merely part words.
+    case; with ``fold`` they are written out here, all others merely part words.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     for wide, low in (("\u0130", "i\u0307"), ("\u212a", "k")):
-        if len(texts) and pc.any(pc.match_substring(texts, wide)).as_py():
+        if fold and len(texts) and pc.any(pc.match_substring(texts, wide)).as_py():
             texts = pc.replace_substring(texts, wide, low)
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
