@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sha256(value: Column) -> Column:
@@ -43,7 +44,7 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """The canonical form of a JSON text to the byte, numbers included; null if it isn't JSON."""
 
@@ -58,7 +59,7 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def call_signature(name: pd.Series, arguments: pd.Series) -> pd.Series:
     """A call's name and arguments in canonical form; null if the arguments are no JSON object."""
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tracemill.functions import strict_json as J
 from tracemill.operators.trajectories import chains, failed_result, first_wins, parsed_calls, sampled_turns
@@ -95,7 +96,7 @@ def missing_kinds(samples: DataFrame, required: list[str], kinds: str = "target_
 def token_length(texts: str, count: Callable[[str], int]):
     """The tokens of a text column by a given counter, as a column."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(LongType())
     def length(values: pd.Series) -> pd.Series:
         return values.map(lambda x: count(x) if x is not None else 0)
 

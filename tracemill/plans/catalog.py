@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import nested
+from tracemill.plans import agents, nested, relational
 
-_MODULES = (nested,)
+_MODULES = (nested, relational, agents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tracemill.functions.digests import canonical
 
@@ -140,7 +141,7 @@ def parse_csv(text: str) -> tuple[list[list[str]], str | None]:
         records.append([])
 
 
-@udtf(returnType="record int, field int, value string, error string")
+@udtf(returnType=StructType([StructField("record", IntegerType()), StructField("field", IntegerType()), StructField("value", StringType()), StructField("error", StringType())]))
 class ParseCsv:
     """``parse_csv(text)``: a row per field, or one row with an error."""
 
