@@ -60,7 +60,7 @@ class JsonIndex:
     """
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray):
-        self.raw, self.bounds = raw, bounds
+        self.raw, self.bounds, self.data = raw, bounds, raw.tobytes()
         docs = len(bounds) - 1
         bad = np.zeros(docs, bool)
         n = len(raw)
@@ -116,8 +116,7 @@ class JsonIndex:
             gap = np.flatnonzero(~plain)
             stop = np.r_[gap, n][np.searchsorted(gap, pos[scalar])]
             ends[scalar] = np.minimum(stop, bounds[1:][doc[scalar]])
-            data = raw.tobytes()
-            spans = [data[a:b] for a, b in zip(pos[scalar].tolist(), ends[scalar].tolist())]
+            spans = [self.data[a:b] for a, b in zip(pos[scalar].tolist(), ends[scalar].tolist())]
             fine = {s: _LITERAL.fullmatch(s) is not None for s in set(spans)}
             bad[doc[scalar][[not fine[s] for s in spans]]] = True
         # depth, parents
@@ -178,6 +177,8 @@ class JsonIndex:
         named = context[value] == 1
         self.key_start = np.where(named, pos[np.maximum(value - 2, 0)], -1)
         self.key_end = np.where(named, ends[np.maximum(value - 2, 0)], -1)
+        # names written with escapes
+        self.escaped = named & (np.searchsorted(slash, self.key_start) != np.searchsorted(slash, self.key_end))
         self.null = (self.kind == SCALAR) & (raw[self.start] == ord("n"))
 
     def _doc_of(self, positions: np.ndarray) -> np.ndarray:
@@ -202,29 +203,31 @@ class JsonIndex:
         same = size == len(quoted)
         for i, byte in enumerate(quoted):
             same[same] = self.raw[self.key_start[child[same]] + i] == byte
-        longer = np.flatnonzero(~same & (size > len(quoted)))
-        if len(longer):  # names written with escapes
-            for c in longer.tolist():
-                span = self.raw[self.key_start[child[c]] : self.key_end[child[c]]]
-                if (span == 92).any():
-                    same[c] = json.loads(span.tobytes()) == name
+        for c in np.flatnonzero(self.escaped[child]).tolist():
+            same[c] = self.name(child[c]) == name
         child, of = child[same], of[same]
         last = np.r_[of[1:] != of[:-1], True] if len(of) else np.zeros(0, bool)
         return child[last], of[last]
 
     def name(self, value: int) -> str:
         """The decoded name of a value of an object."""
-        return json.loads(self.raw[self.key_start[value] : self.key_end[value]].tobytes())
+        span = self.data[self.key_start[value] : self.key_end[value]]
+        return json.loads(span) if self.escaped[value] else span[1:-1].decode()
 
     def text(self, value: int) -> str:
         """The bytes of a value as they stand."""
-        return self.raw[self.start[value] : self.end[value]].tobytes().decode("utf-8", "replace")
+        return self.data[self.start[value] : self.end[value]].decode()
+
+    def string(self, value: int) -> str:
+        """The decoded text of a string."""
+        span = self.data[self.start[value] : self.end[value]]
+        return json.loads(span) if b"\\" in span else span[1:-1].decode()
 
     def counted(self, child: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Whether a child counts: of equal names of an object only the last does."""
-        keys = [(o, self.name(c)) if self.key_start[c] >= 0 else (o, c) for c, o in zip(child.tolist(), of.tolist())]
-        final = {k: i for i, k in enumerate(keys)}
-        return np.array([final[k] == i for i, k in enumerate(keys)], bool)
+        keys = [(o, self.name(c)) if k >= 0 else (o, c) for c, o, k in zip(child.tolist(), of.tolist(), self.key_start[child].tolist())]
+        final = dict(zip(keys, range(len(keys))))
+        return np.array([final[k] == i for i, k in enumerate(keys)], bool) if len(final) < len(keys) else np.ones(len(keys), bool)
 
 
 CHILDREN = "record_id bigint, trace_pos int, child string, child_key string, value string"
@@ -248,7 +251,7 @@ def _take(ix: JsonIndex, what: str, values: np.ndarray, owners: list[tuple], out
     """Children of kind ``what`` below ``values``, or their texts for the next round."""
     texts = np.flatnonzero(ix.kind[values] == STRING)
     for i in texts.tolist():
-        out.texts.append((what, owners[i], json.loads(ix.text(values[i]))))
+        out.texts.append((what, owners[i], ix.string(values[i])))
     rest = np.flatnonzero(ix.kind[values] <= OPEN_ARRAY)
     values, owners = values[rest], [owners[i] for i in rest.tolist()]
     if what == "rewards":
@@ -264,7 +267,7 @@ def _take(ix: JsonIndex, what: str, values: np.ndarray, owners: list[tuple], out
         named, which = ix.fields(child, "name")
         for c, w in zip(named.tolist(), which.tolist()):
             if ix.kind[c] == STRING:
-                out.rows.append((*owners[lists[of[w]]], "reward", json.loads(ix.text(c)), ix.text(child[w])))
+                out.rows.append((*owners[lists[of[w]]], "reward", ix.string(c), ix.text(child[w])))
     elif what == "metrics":
         paths = [(o, "") for o in owners]
         while len(values):
