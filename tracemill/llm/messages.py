@@ -137,7 +137,7 @@ def counting(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch if other.all() else batch.filter(pa.array(np.r_[other, True]))
 
 
-def _read(signed: bool, near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _read(signed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a first choice among the deliveries of a node, before anything is shuffled
@@ -159,7 +159,7 @@ def _read(signed: bool, near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     plain = [(name, plain_arguments(a)) for _, name, a in calls]
                     sigs.append(hash64(json.dumps(plain, sort_keys=True)))
                     names.append(hash64(json.dumps([name for name, _ in plain])))
-                    bits.append(_simhash(json.dumps([a for _, a in plain], sort_keys=True)) if near else 0)
+                    bits.append(_simhash(json.dumps([a for _, a in plain], sort_keys=True)))
                 else:
                     for out in (sigs, names, bits):
                         out.append(0)
@@ -173,7 +173,7 @@ def _read(signed: bool, near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def flat_messages(messages: DataFrame, spellings: DataFrame, signed: bool = False, near: bool = False) -> DataFrame:
+def flat_messages(messages: DataFrame, spellings: DataFrame, signed: bool = False) -> DataFrame:
     """Rows with a trace id, roles and calls read, sorted by trace and node within partitions of whole chunks.
 
     Times are microseconds. ``role`` is the place in ROLES, -1 for one that isn't
@@ -190,7 +190,7 @@ def flat_messages(messages: DataFrame, spellings: DataFrame, signed: bool = Fals
         micros("recorded_at").alias("recorded_at"), F.coalesce(micros("received_at"), F.lit(-(1 << 62))).alias("received_at"),
     )
     return (
-        picked.mapInArrow(_read(signed, near), FLAT)
+        picked.mapInArrow(_read(signed), FLAT)
         .repartition("trace_id", F.expr(f"floor(node / {CHUNK})"))
         .sortWithinPartitions("trace_id", "node", "received_at", "msg_id")
     )

@@ -3,10 +3,15 @@
 An ordered sequence of events is cut into runs so that the dissimilarity within
 runs plus a penalty for each boundary is smallest. Events are 64-bit feature
 vectors; the dissimilarity of a run is the share of bits that differ from its
-majority vector, summed over its events. That cost never grows when a run is cut,
-so the dynamic program may forget a start as soon as it can't win (pruning), and
+majority vector, summed over its events. Cutting a run never makes that dearer,
+so the dynamic program forgets a start as soon as it can't win (pruning), and
 the result stays optimal. Events of other names never share a run, and equal
-neighbours are joined beforehand: neither changes the optimum.
+neighbours are never parted by an optimum, so they are joined beforehand into
+pieces; both parts the problem without changing its solution.
+
+Pieces of a stretch of equal names within one chunk of a trace are segmented
+where they are. Only stretches at the ends of chunks are shuffled, to be put
+together, so a trace of any length is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -16,18 +21,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.messages import CHUNK, chunk_edges, chunks, flat_messages
 
-RUNS = "trace_id string, chunk bigint, place int, edge boolean, first_node int, last_node int, n_turns int, first_at bigint, last_at bigint, signature bigint, names bigint, bits bigint"
+PIECES = (
+    "trace_id string, chunk bigint, place int, open boolean, first_node int, last_node int, n_turns int, first_at bigint, last_at bigint,"
+    " signature bigint, names bigint, bits bigint, head boolean, run_node int, run_last_node int, run_turns int, run_first_at bigint, run_last_at bigint"
+)
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+#: A stretch of more pieces is handled as it comes, up to where all ways to go on agree.
+STRETCH = 20_000
+#: What a boundary costs, as the share of differing bits summed over a run.
+PENALTY = 0.15
 
 
-def segment(bits: np.ndarray, weights: np.ndarray, penalty: float) -> list[int]:
-    """Starts of the runs of the cheapest segmentation of weighted 64-bit vectors.
+def segment(bits: np.ndarray, weights: np.ndarray, penalty: float) -> tuple[list[int], int]:
+    """Starts of the runs of the cheapest segmentation of weighted 64-bit vectors, and where it is settled.
 
-    Of equally cheap ones the one whose last run is longest is taken.
+    Of equally cheap ones the one whose last run is longest is taken. Whatever
+    follows, an optimal segmentation has a boundary at the settled place and the
+    same ones before it.
     """
     n = len(bits)
     ones = np.unpackbits(np.ascontiguousarray(bits, dtype=np.int64).view(np.uint8).reshape(n, 8), axis=1).astype(np.float64) * weights[:, None]
@@ -43,124 +58,177 @@ def segment(bits: np.ndarray, weights: np.ndarray, penalty: float) -> list[int]:
         k = int(np.argmin(np.round(value, 9)))
         best[t], back[t] = value[k], starts[k]
         starts = np.r_[starts[best[starts] + cost <= best[t] + 1e-9], t]
-    out, t = [], n
-    while t > 0:
-        t = int(back[t])
-        out.append(t)
-    return out[::-1]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal neighbours within a chunk joined; ``edge`` marks the first and last piece of a chunk."""
-    for batch in chunks(batches):
-        at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        edges = chunk_edges(batch)
-        seg = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        role, calls = np.asarray(at["role"]), np.asarray(at["n_calls"])
-        turn = np.flatnonzero((role == 2) & (calls > 0) & np.asarray(at["node"].is_valid()))
-        if not len(turn):
-            continue
-        seg, sig = seg[turn], np.asarray(at["signature"])[turn]
-        other = seg[1:] != seg[:-1]
-        new = np.r_[True, other | (sig[1:] != sig[:-1])]
+
+    def way(t: int) -> list[int]:
+        out = [t]
+        while t > 0:
+            t = int(back[t])
+            out.append(t)
+        return out[::-1]
+
+    agreed = set(way(int(starts[0])))
+    for s in starts[1:].tolist():
+        agreed &= set(way(s))
+    return way(n)[:-1], max(agreed)
+
+
+def _runs_of(names: np.ndarray, fresh: np.ndarray, bits: np.ndarray, weights: np.ndarray, penalty: float) -> np.ndarray:
+    """Whether a piece begins a run; ``fresh`` marks pieces that can't go on with the one before."""
+    n = len(names)
+    new = fresh.copy()
+    new[1:] |= names[1:] != names[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, n])
+    head = new.copy()
+    two = begin[size == 2]  # the program for two pieces, for all of them at once
+    cost = np.bitwise_count((bits[two] ^ bits[two + 1]).view(np.uint64)) * np.minimum(weights[two], weights[two + 1]) / 64
+    head[two + 1] = np.round(cost, 9) > np.round(penalty, 9)
+    for b, k in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+        head[b + np.array(segment(bits[b : b + k], weights[b : b + k], penalty)[0])] = True
+    return head
+
+
+def _labelled(columns: dict[str, np.ndarray], head: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of each piece's run."""
+    start = np.flatnonzero(head)
+    run = np.cumsum(head) - 1
+    stop = np.r_[start[1:], len(head)] - 1
+    return {
+        "head": head,
+        "run_node": columns["first_node"][start][run],
+        "run_last_node": columns["last_node"][stop][run],
+        "run_turns": np.add.reduceat(columns["n_turns"], start)[run] if len(start) else run,
+        "run_first_at": columns["first_at"][start][run],
+        "run_last_at": columns["last_at"][stop][run],
+    }
+
+
+def _batch(trace: pa.Array, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    kinds = {"chunk": pa.int64(), "first_at": pa.int64(), "last_at": pa.int64(), "signature": pa.int64(), "names": pa.int64(), "bits": pa.int64(), "run_first_at": pa.int64(), "run_last_at": pa.int64(), "open": pa.bool_(), "head": pa.bool_()}
+    return pa.RecordBatch.from_arrays([trace, *(pa.array(columns[c].astype(bool) if kinds.get(c) == pa.bool_() else columns[c], kinds.get(c, pa.int32())) for c in _NAMES[1:])], _NAMES)
+
+
+def _within_chunks(penalty: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            edges = chunk_edges(batch)
+            seg = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            turn = np.flatnonzero((np.asarray(at["role"]) == 2) & (np.asarray(at["n_calls"]) > 0) & np.asarray(at["node"].is_valid()))
+            if not len(turn):
+                continue
+            seg, sig = seg[turn], np.asarray(at["signature"])[turn]
+            start = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (sig[1:] != sig[:-1])])
+            stop = np.r_[start[1:], len(turn)] - 1
+            pseg = seg[start]
+            first = np.r_[True, pseg[1:] != pseg[:-1]]
+            a, b = turn[start], turn[stop]
+            node = np.asarray(at["node"].fill_null(-1)).astype(np.int64)
+            time = np.asarray(at["recorded_at"].fill_null(0)).astype(np.int64)
+            names = np.asarray(at["names"])[a]
+            c = {"chunk": node[a] // CHUNK, "first_node": node[a], "last_node": node[b], "n_turns": stop - start + 1, "first_at": time[a], "last_at": time[b], "signature": sig[start], "names": names, "bits": np.asarray(at["bits"])[a]}
+            lead = np.flatnonzero(first)
+            c["place"] = np.arange(len(start)) - np.repeat(lead, np.diff(np.r_[lead, len(start)]))
+            # stretches of equal names that another chunk may go on with: a chunk's last, and its first but in the first chunk
+            stretch = np.cumsum(first | np.r_[True, names[1:] != names[:-1]]) - 1
+            last = np.r_[first[1:], True]
+            ends = np.zeros(stretch[-1] + 1, bool)
+            ends[stretch[last]] = True
+            ends[stretch[first & (c["chunk"] != 0)]] = True
+            c["open"] = ends[stretch]
+            head = _runs_of(names, first, c["bits"], c["n_turns"].astype(np.float64), penalty)
+            yield _batch(at["trace_id"].take(pa.array(a)), c | _labelled(c, head))
+
+    return run
+
+
+def _across_chunks(penalty: float):
+    """Open stretches of sorted traces: equal neighbours joined over the ends of chunks, then segmented."""
+
+    def pieces(rows: pa.Table) -> tuple[pa.Array, dict[str, np.ndarray], np.ndarray]:
+        trace = rows["trace_id"].combine_chunks()
+        c = {name: np.asarray(rows[name]).astype(np.int64) for name in _NAMES[1:12]}
+        n = len(c["chunk"])
+        same_chunk = c["chunk"][1:] == c["chunk"][:-1]
+        apart = np.asarray(pc.not_equal(trace.slice(1), trace.slice(0, n - 1))) | (same_chunk & (c["place"][1:] != c["place"][:-1] + 1))
+        new = np.r_[True, apart | (c["signature"][1:] != c["signature"][:-1])]
         start = np.flatnonzero(new)
-        stop = np.r_[start[1:], len(turn)] - 1
-        pseg = seg[start]
-        first = np.r_[True, pseg[1:] != pseg[:-1]]
-        last = np.r_[first[1:], True]
-        place = np.arange(len(start)) - np.repeat(np.flatnonzero(first), np.diff(np.r_[np.flatnonzero(first), len(start)]))
-        a, b = turn[start], turn[stop]
-        node = np.asarray(at["node"].fill_null(-1)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [at["trace_id"].take(pa.array(a)), pa.array(node[a] // CHUNK), pa.array(place.astype(np.int32)), pa.array(first | last)]
-            + [pa.array(x.astype(np.int32)) for x in (node[a], node[b], stop - start + 1)]
-            + [at["recorded_at"].take(pa.array(a)), at["recorded_at"].take(pa.array(b))]
-            + [at[c].take(pa.array(a)) for c in ("signature", "names", "bits")],
-            [x.split()[0] for x in RUNS.split(", ")],
-        )
-
-
-def repeated_turns(messages: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Longest runs of two or more equal turns of a trace, as TESTDATA.md defines them.
-
-    ``trace_id, first_node, last_node, n_turns, first_at, last_at`` (recorded,
-    microseconds), ``duration_s``. With equal turns only, a boundary costs less
-    than any two unequal turns in one run, and the optimum is known without a
-    search: runs are found within chunks of a trace, and just the outer pieces
-    of chunks are put together. Rows without a trace id or node are no turns.
-    """
-    pieces = flat_messages(messages, spellings, signed=True).mapInArrow(_pieces, RUNS).select("trace_id", "chunk", "place", "edge", "first_node", "last_node", "n_turns", "first_at", "last_at", "signature")
-    inner = pieces.where("not edge and n_turns > 1")
-    return _with_duration(inner.unionByName(_joined_edges(pieces.where("edge"))))
-
-
-def _joined_edges(edges: DataFrame) -> DataFrame:
-    inorder = Window.partitionBy("trace_id").orderBy("chunk", "place")
-    new = (F.lag("signature").over(inorder) != F.col("signature")) | (F.lag("chunk").over(inorder) == F.col("chunk"))
-    run = F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(inorder)
-    return (
-        edges.withColumn("run", run)
-        .groupBy("trace_id", "run")
-        .agg(
-            F.min("chunk").alias("chunk"), F.min("place").alias("place"), F.lit(True).alias("edge"),
-            F.min("first_node").alias("first_node"), F.max("last_node").alias("last_node"), F.sum("n_turns").cast("int").alias("n_turns"),
-            F.min_by("first_at", "first_node").alias("first_at"), F.max_by("last_at", "last_node").alias("last_at"), F.min("signature").alias("signature"),
-        )
-        .where("n_turns > 1")
-        .drop("run")
-    )
-
-
-def _with_duration(runs: DataFrame) -> DataFrame:
-    seconds = (F.col("last_at") - F.col("first_at")) / 1e6
-    return runs.select("trace_id", "first_node", "last_node", "n_turns", "first_at", "last_at", seconds.alias("duration_s"))
-
-
-def _segmented(penalty: float):
-    kept = ["trace_id", "first_node", "last_node", "n_turns", "first_at", "last_at", "names", "bits"]
-
-    def cut_blocks(rows: pa.Table) -> pa.RecordBatch:
-        trace, names = rows["trace_id"].combine_chunks(), np.asarray(rows["names"])
-        n = rows.num_rows
-        other = np.asarray(pc.not_equal(trace.slice(1), trace.slice(0, n - 1))) | (names[1:] != names[:-1])
-        edges = np.r_[0, np.flatnonzero(other) + 1, n]
-        bits, weights = np.asarray(rows["bits"]), np.asarray(rows["n_turns"]).astype(np.float64)
-        starts = np.concatenate([a + np.array(segment(bits[a:b], weights[a:b], penalty) if b - a > 1 else [0]) for a, b in zip(edges[:-1], edges[1:])]).astype(np.int64)
-        stops = np.r_[starts[1:], n] - 1
-        first, last = pa.array(starts), pa.array(stops)
-        return pa.RecordBatch.from_arrays(
-            [trace.take(first), rows["first_node"].combine_chunks().take(first), rows["last_node"].combine_chunks().take(last)]
-            + [pa.array(np.add.reduceat(weights, starts).astype(np.int32)), rows["first_at"].combine_chunks().take(first), rows["last_at"].combine_chunks().take(last)],
-            ["trace_id", "first_node", "last_node", "n_turns", "first_at", "last_at"],
-        )
+        stop = np.r_[start[1:], n] - 1
+        out = {k: v[start] for k, v in c.items()}
+        out["n_turns"] = np.add.reduceat(c["n_turns"], start)
+        out["last_node"], out["last_at"] = c["last_node"][stop], c["last_at"][stop]
+        # a joined piece goes on where its last part ends
+        out["place_end"], out["chunk_end"] = c["place"][stop], c["chunk"][stop]
+        return trace.take(pa.array(start)), out, np.r_[True, apart][start]
+
+    def table(trace: pa.Array, c: dict[str, np.ndarray], rows: slice, like: pa.Schema) -> pa.Table:
+        keep = c | {"place": c["place_end"], "chunk": c["chunk_end"]}
+        return pa.Table.from_arrays([trace[rows], *(pa.array(keep[f.name][rows]).cast(f.type) for f in like if f.name != "trace_id")], schema=like)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(kept)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]).select(_NAMES[:12])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            trace, names = rows["trace_id"].to_pylist(), rows["names"].to_pylist()
-            at = rows.num_rows
-            while at and (trace[at - 1], names[at - 1]) == (trace[-1], names[-1]):
-                at -= 1
-            rest = rows.slice(at)
-            if at:
-                yield cut_blocks(rows.slice(0, at))
+            trace, c, fresh = pieces(rows)
+            n = len(fresh)
+            begins = np.flatnonzero(fresh | np.r_[True, c["names"][1:] != c["names"][:-1]])
+            done = int(begins[-1])  # the last stretch may go on
+            if done:
+                yield finish(trace.slice(0, done), c, slice(0, done), fresh[:done])
+            if n - done > STRETCH:  # of it, what is settled; the last piece may still grow
+                _, settled = segment(c["bits"][done : n - 1], c["n_turns"][done : n - 1].astype(np.float64), penalty)
+                if settled:
+                    yield finish(trace.slice(done, settled), c, slice(done, done + settled), fresh[done : done + settled])
+                    done += settled
+            rest = table(trace, c, slice(done, n), rows.schema)
         if rest is not None and rest.num_rows:
-            yield cut_blocks(rest)
+            trace, c, fresh = pieces(rest)
+            yield finish(trace, c, slice(0, len(fresh)), fresh)
+
+    def finish(trace: pa.Array, c: dict[str, np.ndarray], rows: slice, fresh: np.ndarray) -> pa.RecordBatch:
+        part = {k: v[rows] for k, v in c.items()}
+        fresh = fresh.copy()
+        fresh[0] = True
+        head = _runs_of(part["names"], fresh, part["bits"], part["n_turns"].astype(np.float64), penalty)
+        return _batch(trace, part | _labelled(part, head))
 
     return run
 
 
-def near_repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = 0.15) -> DataFrame:
-    """All runs of near-identical turns, single turns included, by pruned dynamic programming.
+def segmented_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
+    """The pieces of all traces (neighbouring equal turns, as TESTDATA.md defines them), each with its run.
+
+    A piece has ``trace_id, first_node, last_node, n_turns, first_at, last_at``
+    (recorded, microseconds), its run ``run_node`` (first node), ``run_last_node,
+    run_turns, run_first_at, run_last_at``; ``head`` marks a run's first piece.
+    Rows without a trace id or node, of other roles, or without readable calls are
+    no turns; a missing time counts as 0; equal deliveries count once.
+    """
+    pieces = flat_messages(messages, spellings, signed=True).mapInArrow(_within_chunks(penalty), PIECES)
+    ends = pieces.where("open").repartition("trace_id").sortWithinPartitions("trace_id", "chunk", "place")
+    out = ["trace_id", "first_node", "last_node", "n_turns", "first_at", "last_at", "head", "run_node", "run_last_node", "run_turns", "run_first_at", "run_last_at"]
+    return pieces.where("not open").select(out).unionByName(ends.mapInArrow(_across_chunks(penalty), PIECES).select(out))
+
+
+def _seconds(first: str, last: str) -> Column:
+    return ((F.col(last) - F.col(first)) / 1e6).alias("duration_s")
+
+
+def near_repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
+    """All runs of near-identical turns, single turns included: ``trace_id, first_node, last_node, n_turns, duration_s``."""
+    runs = segmented_turns(messages, spellings, penalty).where("head")
+    return runs.select("trace_id", F.col("run_node").alias("first_node"), F.col("run_last_node").alias("last_node"), F.col("run_turns").alias("n_turns"), _seconds("run_first_at", "run_last_at"))
+
+
+def repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
+    """Longest runs of two or more equal turns, columns as of :func:`near_repeated_turns`.
 
-    Columns as of :func:`repeated_turns`. Turns of a run call the same tools in
-    the same order; ``penalty`` is the share of differing argument bits, summed
-    over a run, that a boundary costs. Equal turns are joined before they are
-    shuffled, so a task gets of a trace its changes only; it holds one block of
-    equal names at a time.
+    The segmentation gives runs of near-identical turns; the exact check keeps
+    of each those neighbours that are equal. No boundary lies between equal
+    turns, so each longest run of equal turns is a piece of one run.
     """
-    pieces = flat_messages(messages, spellings, signed=True, near=True).mapInArrow(_pieces, RUNS)
-    sorted_ = pieces.repartition("trace_id").sortWithinPartitions("trace_id", "first_node")
-    return _with_duration(sorted_.mapInArrow(_segmented(penalty), "trace_id string, first_node int, last_node int, n_turns int, first_at bigint, last_at bigint"))
+    equal = segmented_turns(messages, spellings, penalty).where("n_turns > 1")
+    return equal.select("trace_id", "first_node", "last_node", "n_turns", _seconds("first_at", "last_at"))
