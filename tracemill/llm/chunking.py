@@ -74,7 +74,8 @@ def pieces(text: str, limit: int, overlap: int, tok: Tokenizer) -> list[tuple[in
     Tokens are those of the piece by itself, so never more than ``limit``; where
     the piece alone has more than its part of the whole text had, it is cut
     earlier. Overlaps are counted in tokens of the whole text; one that would
-    begin within a character begins a few tokens before it.
+    begin within a character begins a few tokens before it, and where a piece
+    has no room for more than its overlap, there is none.
     """
     whole = tok.encode(text)
     data = text.encode("utf-8", "surrogatepass")
@@ -86,17 +87,23 @@ def pieces(text: str, limit: int, overlap: int, tok: Tokenizer) -> list[tuple[in
     strength = np.full(n + 1, PARAGRAPH, np.int64)
     strength[1:n] = strengths(raw, edge[1:n])
     table = RangeMaximum(strength << 40 | np.arange(n + 1))
-    out, start = [], 0
+    out, start, last = [], 0, 0
     while True:
         most = limit
         while True:
+            if start + most <= last:  # no room after the overlap: go on without one
+                start, most = last, limit
             if start + most >= n:
                 cut = n
             else:
-                least = min(max(overlap + 1, limit // 2), most)
+                new = last + 1 - start  # a piece ends after the one before
+                least = min(max(new, limit // 2), most)
                 key = table.largest(start + least, start + most + 1)
                 if key >> 40 == INSIDE_CHARACTER:  # nowhere in the window: any whole character will do
-                    key = table.largest(start + 1, start + most + 1)
+                    key = table.largest(start + new, start + most + 1)
+                if key >> 40 == INSIDE_CHARACTER and start < last:
+                    start, most = last, limit
+                    continue
                 cut = key & ((1 << 40) - 1)
             alone = len(tok.encode(data[edge[start] : edge[cut]].decode("utf-8", "surrogatepass")))
             if alone <= limit or most <= 1:
@@ -105,6 +112,7 @@ def pieces(text: str, limit: int, overlap: int, tok: Tokenizer) -> list[tuple[in
         out.append((int(edge[start]), int(edge[cut]), alone, int(strength[cut])))
         if cut >= n:
             return out
+        last = cut
         back = max(cut - overlap, start + 1)
         while back > start + 1 and strength[back] == INSIDE_CHARACTER:
             back -= 1
