@@ -21,9 +21,14 @@ def successful(traces: DataFrame) -> DataFrame:
 
 
 def guard_holdout(traces: DataFrame, split: str = "split") -> DataFrame:
-    """The same rows; an error as soon as one is of the holdout split, whatever else it is."""
-    stop = F.raise_error(F.lit("holdout traces can't be exported")).cast("string")
-    return traces.withColumn(split, F.when(F.col(split) == "holdout", stop).otherwise(F.col(split)))
+    """The same rows; an error if one is of the holdout split, whatever else it is.
+
+    Looked for at once, up to the first such row: a check within the plan could
+    be moved behind a filter that hides the row.
+    """
+    if traces.where(F.col(split) == "holdout").limit(1).count():
+        raise ValueError("holdout traces can't be exported")
+    return traces
 
 
 def message(nodes: DataFrame) -> Column:
@@ -68,8 +73,10 @@ def training_rows(traces: DataFrame, nodes: DataFrame, tools: DataFrame, mapping
     ``order`` counts. Traces whose useful turns don't all lie on the chain, or
     without one, give no row.
     """
-    kept = first_wins(successful(guard_holdout(traces)), ["trace_id"], order).select("trace_id", "task_id", "split")
-    mine = nodes.join(kept.select("trace_id"), "trace_id", "left_semi")
+    kept = first_wins(successful(guard_holdout(traces)), ["trace_id"], order).select("trace_id", "task_id", "split", *order)
+    # all three frames carry the columns of ``order``: another trace of the same id has its own nodes and tools
+    place = kept.select("trace_id", *order)
+    mine, tools = (part.join(place, ["trace_id", *order], "left_semi") for part in (nodes, tools))
     useful = target_kinds(mine, mapping).where("size(kinds) > 0")
     last = useful.groupBy("trace_id").agg(F.max("node").alias("node"), F.array_sort(F.collect_set("node")).alias("targets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("target_kinds"))
     ways = last.join(chains(mine), ["trace_id", "node"]).where("chain is not null and size(array_except(targets, chain)) = 0")

@@ -45,8 +45,8 @@ def parsed_calls(turns: DataFrame) -> DataFrame:
 
 def tool_lookup(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Calls with the parameters of their tool; of equal names of a trace the last tool counts."""
-    last = tools.groupBy("trace_id", F.col("name").alias("tool_name")).agg(F.max_by("parameters", "tool_ord").alias("parameters"), F.lit(True).alias("available"))
-    joined = calls.join(last, (calls.trace_id == last.trace_id) & (calls.name == last.tool_name), "left").drop(last.trace_id).drop("tool_name")
+    last = tools.groupBy(F.col("trace_id").alias("__trace"), F.col("name").alias("__tool")).agg(F.max_by("parameters", "tool_ord").alias("parameters"), F.lit(True).alias("available"))
+    joined = calls.join(last, (F.col("trace_id") == F.col("__trace")) & (F.col("name") == F.col("__tool")), "left").drop("__trace", "__tool")
     return joined.withColumn("available", F.coalesce("available", F.lit(False)))
 
 

@@ -15,10 +15,8 @@ def read_lines(spark: SparkSession, paths: list[str], name: str = "traces.jsonl"
     them, so a line separator within a JSON text stays. A file over
     ``most_bytes`` is an error. Line numbers and file ordinals count from 1.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-    if name:
-        reader = reader.option("pathGlobFilter", name)
-    files = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").dropDuplicates(["file"])
+    found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name or None)
+    files = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").dropDuplicates(["file"])
     if most_bytes is not None:
         whole = F.when(F.col("size") <= most_bytes, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("over the size limit: "), F.col("file"))).cast("string"))
         files = files.withColumn("value", whole)
