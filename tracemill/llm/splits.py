@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.components import connected_components
 from tracemill.session import cut
-from tracemill.tables import meanings
+from tracemill.tables import meanings, plain
 
 #: A component over this share of all rows is placed before the others; at most 1 / LARGE are.
 LARGE = 0.005
@@ -40,7 +40,7 @@ def without_revision(name: Column, revision: Column) -> Column:
 
 def _unless_placeholder(df: DataFrame, column: str, spellings: DataFrame, field: str) -> DataFrame:
     table = meanings(spellings, field).where("means is null").select(F.col("written").alias("__written"), F.lit(True).alias("__none"))
-    joined = df.join(table, F.lower(F.trim(F.col(column))) == F.col("__written"), "left")
+    joined = df.join(table, plain(F.col(column)) == F.col("__written"), "left")
     return joined.withColumn(column, F.when(F.col("__none").isNull(), F.col(column))).drop("__written", "__none")
 
 

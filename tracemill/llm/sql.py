@@ -80,5 +80,71 @@ SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (gram)
 """
 
 
+_ROWS = """
+WITH RECURSIVE counting AS (
+    SELECT m.trace_id, m.node, m.parent, m.msg_id, m.content, m.tool_calls, trim(m.tool_call_id) AS answers, s.means AS role
+    FROM trace_messages m LEFT JOIN spellings s ON s.field = 'role' AND s.written = lower(trim(m.role))
+    WHERE m.trace_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY m.trace_id, m.node ORDER BY m.received_at DESC, m.msg_id DESC) = 1
+),
+listed AS (SELECT *, CASE WHEN tool_calls IS NULL THEN CAST('[]' AS JSON) WHEN json_valid(tool_calls) THEN CAST(tool_calls AS JSON) END AS calls FROM counting),
+element AS (SELECT trace_id, node, i, calls -> i AS e FROM listed, unnest(range(CAST(json_array_length(calls) AS BIGINT))) AS u(i) WHERE json_type(calls) = 'ARRAY'),
+inner_part AS (SELECT *, CASE WHEN json_type(e -> 'function') = 'OBJECT' THEN e -> 'function' ELSE e END AS f FROM element),
+given AS (
+    SELECT trace_id, node, i, e ->> 'id' AS id, f ->> 'name' AS name, CASE json_type(f -> 'arguments') WHEN 'OBJECT' THEN f -> 'arguments'
+        WHEN 'VARCHAR' THEN CASE WHEN json_valid(f ->> 'arguments') THEN CAST(f ->> 'arguments' AS JSON) END END AS arguments,
+        json_type(e -> 'id') = 'VARCHAR' AND json_type(f -> 'name') = 'VARCHAR' AS named
+    FROM inner_part
+),
+faulty AS (SELECT DISTINCT trace_id, node FROM given WHERE NOT coalesce(named AND json_type(arguments) = 'OBJECT', false)),
+turn AS (
+    SELECT l.*, coalesce(json_type(calls) IN ('ARRAY', 'NULL'), false) AND f.node IS NULL AS readable, CASE WHEN json_type(calls) = 'ARRAY' THEN json_array_length(calls) ELSE 0 END AS n_calls,
+        content IS NULL OR trim(content, E' \\t\\n\\r') = '' OR coalesce(json_valid(content) AND json_type(CASE WHEN json_valid(content) THEN content END) = 'ARRAY'
+            AND len(list_filter(CAST(CASE WHEN json_valid(content) THEN content END AS JSON) ->> '$[*].text', lambda x: trim(x, E' \\t\\n\\r') <> '')) = 0, false) AS blank
+    FROM listed l LEFT JOIN faulty f USING (trace_id, node)
+)
+"""
+
+P2 = _ROWS + """,
+answer AS (SELECT trace_id, answers AS id, count(*) AS n, min(node) AS node FROM turn WHERE role = 'tool' GROUP BY ALL),
+asked AS (SELECT trace_id, id, count(*) AS n, min(node) AS node FROM given GROUP BY ALL),
+unmatched AS (
+    SELECT coalesce(a.trace_id, c.trace_id) AS trace_id FROM answer a FULL JOIN asked c ON a.trace_id = c.trace_id AND a.id = c.id
+    WHERE a.n IS NULL OR c.n IS NULL OR a.n <> 1 OR c.n <> 1 OR a.node <= c.node
+),
+said AS (
+    SELECT trace_id, role, lag(role) OVER (PARTITION BY trace_id ORDER BY node) AS before, node = max(node) OVER (PARTITION BY trace_id) AS final
+    FROM turn WHERE role = 'user' OR role = 'assistant' AND (n_calls > 0 OR NOT blank)
+),
+sound AS (
+    SELECT trace_id FROM turn GROUP BY trace_id
+    HAVING min(node) = 0 AND max(node) + 1 = count(*) AND bool_and(parent IS NOT DISTINCT FROM CASE WHEN node > 0 THEN node - 1 END) AND bool_and(role IS NOT NULL) AND bool_and(readable)
+        AND bool_or(role = 'user' AND NOT blank) AND arg_max(role = 'assistant' AND n_calls = 0 AND NOT blank, node)
+)
+SELECT trace_id, node AS pos, msg_id FROM turn WHERE trace_id IN (SELECT trace_id FROM sound) AND trace_id NOT IN (SELECT trace_id FROM unmatched)
+    AND trace_id NOT IN (SELECT trace_id FROM said WHERE role = 'user' AND (before = 'user' OR final))
+"""
+
+P5 = _ROWS + """,
+field AS (
+    SELECT trace_id, node, i, name, k, arguments -> ('$."' || k || '"') AS v FROM given, unnest(json_keys(arguments)) AS u(k) WHERE k NOT IN ('attempt', 'nonce', 'timeout_ms')
+    UNION ALL SELECT trace_id, node, i, name, '', NULL FROM given
+),
+plain AS (
+    SELECT trace_id, node, i, name, k, CASE
+        WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(v AS DOUBLE) AS VARCHAR)
+        WHEN k = 'path' AND json_type(v) = 'VARCHAR' THEN 's' || regexp_replace(regexp_replace(regexp_replace(v ->> '$', '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '^(\\./)+', '')
+        WHEN k = 'command' AND json_type(v) = 'VARCHAR' THEN 's' || trim(regexp_replace(v ->> '$', '\\s+', ' ', 'g'))
+        ELSE json_type(v) || CAST(v AS VARCHAR) END AS v
+    FROM field
+),
+one AS (SELECT trace_id, node, i, name || string_agg(k || '=' || coalesce(v, ''), chr(1) ORDER BY k) AS sig FROM plain GROUP BY trace_id, node, i, name),
+equal AS (SELECT trace_id, node, string_agg(sig, chr(2) ORDER BY i) AS sig FROM one GROUP BY ALL),
+turns AS (SELECT t.trace_id, t.node, e.sig FROM turn t JOIN equal e USING (trace_id, node) WHERE t.role = 'assistant' AND t.readable AND t.n_calls > 0),
+fresh AS (SELECT *, CASE WHEN lag(sig) OVER w = sig THEN 0 ELSE 1 END AS fresh FROM turns WINDOW w AS (PARTITION BY trace_id ORDER BY node)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY node) AS run FROM fresh)
+SELECT trace_id, min(node) AS first_node, max(node) AS last_node, CAST(count(*) AS INTEGER) AS n_turns FROM run GROUP BY trace_id, run HAVING count(*) > 1
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p7_found": P7}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p7_found": P7}
