@@ -167,7 +167,7 @@ def test_tables(spark):
     assert sorted(t["rewards"]) == [(4, 0, "t", 0.5, 2.0), (4, 0, "u", 1.0, None)]
     assert sorted(t["metrics"]) == [(4, 0, "a.b", None, '"x"'), (4, 0, "c", 3.0, "3")]
     assert t["calls"] == [(4, 0, 1, "stop", 7)]
-    assert t["stop_rules"] == [(4, 0, 1, 0, "w", 2, '{"text":"w","after":2}')]
+    assert t["stop_rules"] == [(4, 0, 1, 0, "w", 2, None)]
 
 
 def test_scalar_is_a_kind():

@@ -352,8 +352,8 @@ def trace_children(records: DataFrame, record_id: str = "record_id", payload: st
 def trace_tables(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> dict[str, DataFrame]:
     """Four flat tables whose rows name their parents, of :func:`trace_children`.
 
-    A reward that is a bare number is its score; a stop rule that isn't an object
-    has only ``raw``. Values that don't fit a column's type are null there.
+    A reward that is a bare number is its score; only a stop rule that isn't an
+    object has ``raw``, its JSON text. Values that don't fit a column's type are null there.
     """
     rows = trace_children(records, record_id, payload)
     key = ["record_id", "trace_pos"]
@@ -370,6 +370,6 @@ def trace_tables(records: DataFrame, record_id: str = "record_id", payload: str
     place = F.split("child_key", r"\.")
     rules = rows.where("child = 'stop_rule'").select(
         *key, place[0].cast("int").alias("call_pos"), place[1].cast("int").alias("rule_pos"),
-        F.get_json_object("value", "$.text").alias("text"), number("$.after").cast("bigint").alias("after"), F.col("value").alias("raw"),
+        F.get_json_object("value", "$.text").alias("text"), number("$.after").cast("bigint").alias("after"), F.when(~F.col("value").startswith("{"), F.col("value")).alias("raw"),
     )
     return {"rewards": rewards, "metrics": metrics, "calls": calls, "stop_rules": rules}

@@ -71,5 +71,24 @@ UNION ALL SELECT record_id, trace_pos, 'stop_rule', pos || '.' || r FROM rule
 """
 
 
+_REST = P6[P6.index("leaf AS (") : P6.index("SELECT record_id, trace_pos, 'reward'")]
+_ENTRY = _TRACES + """
+entry AS (
+    SELECT record_id, trace_pos, k AS name, v -> ('$."' || k || '"') AS e FROM whole, unnest(json_keys(v)) AS u(k)
+    WHERE what = 'rewards' AND json_type(v) = 'OBJECT' AND json_type(v -> ('$."' || k || '"')) <> 'NULL'
+    UNION ALL
+    SELECT record_id, trace_pos, v -> i ->> 'name', v -> i FROM whole, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS u(i)
+    WHERE what = 'rewards' AND json_type(v) = 'ARRAY' AND json_type(v -> i -> 'name') = 'VARCHAR'
+)
+"""
+TABLES = {
+    "p6_rewards": _ENTRY + "SELECT record_id, trace_pos, name, coalesce(TRY_CAST(e ->> '$.score' AS DOUBLE), TRY_CAST(CAST(e AS VARCHAR) AS DOUBLE)) AS score, TRY_CAST(e ->> '$.weight' AS DOUBLE) AS weight FROM entry",
+    "p6_metrics": _TRACES + _REST + "SELECT record_id, trace_pos, path AS metric, TRY_CAST(CAST(v AS VARCHAR) AS DOUBLE) AS number, CAST(v AS VARCHAR) AS raw FROM leaf WHERE path IS NOT NULL AND json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')",
+    "p6_calls": _TRACES + _REST + "SELECT record_id, trace_pos, CAST(pos AS INTEGER) AS call_pos, c ->> 'finish_reason' AS finish_reason, TRY_CAST(c -> 'usage' ->> 'completion_tokens' AS BIGINT) AS completion_tokens FROM call",
+    "p6_stop_rules": _TRACES + _REST.replace("SELECT record_id, trace_pos, pos, r FROM", "SELECT record_id, trace_pos, pos, r, CASE json_type(rules) WHEN 'ARRAY' THEN rules -> r ELSE rules END AS x FROM")
+    + "SELECT record_id, trace_pos, CAST(pos AS INTEGER) AS call_pos, CAST(r AS INTEGER) AS rule_pos, x ->> 'text' AS text, TRY_CAST(x ->> 'after' AS BIGINT) AS after, CASE WHEN json_type(x) <> 'OBJECT' THEN CAST(x AS VARCHAR) END AS raw FROM rule",
+}
+
+
 def sql() -> dict[str, str]:
-    return {"p6_found": P6}
+    return {"p6_found": P6} | TABLES
