@@ -14,6 +14,8 @@ from tracemill.operators import relations as R
 from tracemill.operators import trajectories as T
 from tracemill.operators.nested import trace_tables
 from tracemill.plans.nested import P6
+from tracemill.operators.protocol import first_failure
+from tracemill.sources.contracts import bare_name, shuffled, task_list
 from tracemill.sources.files import training_losses as losses_of
 from tracemill.tables import load, spelled
 
@@ -263,6 +265,37 @@ def payload_kinds(spark, d):
     return load(spark, d, "trace_records").select(kind.alias("kind")).groupBy(F.col("kind").isNotNull().alias("is_json"), "kind").agg(F.count("*").alias("n"))
 
 
+@query("""
+SELECT record_id, row_number() OVER (ORDER BY task_id, record_id) - 1 AS idx FROM tasks WHERE split = 'validation' AND task_id IS NOT NULL
+""")
+def task_places(spark, d):
+    """The tasks of a split, numbered in order."""
+    return task_list(load(spark, d, "tasks").where("task_id is not null").select("record_id", "task_id", "split"), "validation", ["task_id", "record_id"]).select("record_id", "idx")
+
+
+@query("SELECT sample_id, sha256('7|1|' || sample_id) AS sort_key FROM training_samples")
+def shuffle_keys(spark, d):
+    """The order of samples in one epoch."""
+    samples = load(spark, d, "training_samples")
+    return samples.select("sample_id", shuffled(samples, "sample_id", 7, 1).alias("sort_key"))
+
+
+@query("""
+SELECT report_id, CASE WHEN parsed_tool_call_rate < 1 THEN 'calls are not all parsed' WHEN end_token_rate < 1 THEN 'replies are cut' WHEN loop_rate > 0.05 THEN 'there are loops' END AS failure FROM metrics_reports
+""")
+def report_gate(spark, d):
+    """The first rule that a report breaks."""
+    checks = [(F.col("parsed_tool_call_rate") >= 1, "calls are not all parsed"), (F.col("end_token_rate") >= 1, "replies are cut"), (F.col("loop_rate") <= 0.05, "there are loops")]
+    return load(spark, d, "metrics_reports").select("report_id", first_failure(checks).alias("failure"))
+
+
+@query("""
+SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS name FROM documents WHERE path IS NOT NULL
+""")
+def bare_names(spark, d):
+    return load(spark, d, "documents").where("path is not null").select("doc_id", bare_name(F.col("path")).alias("name"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _ALL.items()}
 
