@@ -115,7 +115,11 @@ def within_length(rows: DataFrame, length: Column, longest: int) -> DataFrame:
     return rows.where(length <= longest)
 
 
-def system_core(prompt: Column, marker: str = "\nYou work in an isolated Linux workspace") -> Column:
+#: Where a prompt's own part ends. A fixed value of the prompts.
+MARKER = "\nYou work in an isolated Linux workspace"
+
+
+def system_core(prompt: Column, marker: str = MARKER) -> Column:
     """A system prompt up to its marker, without its one model line and one date line; null if there aren't one each."""
     head = F.substring_index(prompt, marker, 1)
     once = (F.regexp_count(head, F.lit(r"(?m)^- Model: ")) == 1) & (F.regexp_count(head, F.lit(r"(?m)^Today: ")) == 1) & (F.instr(prompt, marker) > 0)

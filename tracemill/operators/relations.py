@@ -77,6 +77,6 @@ def zip_by_place(a: DataFrame, b: DataFrame, place: str) -> DataFrame:
     return a.join(b, place)
 
 
-def subset_violations(df: DataFrame, part: str, whole: str) -> Column:
+def lacking(part: str, whole: str) -> Column:
     """Elements of one array that the other lacks."""
     return F.array_except(part, whole)

@@ -7,39 +7,45 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # -- ledgers ----------------------------------------------------------------------------------
 
-def _step(state: Column, event: Column) -> Column:
-    amount, kind = event["amount"], event["kind"]
-    after = F.when(kind == "deposit", state["balance"] + amount).when(kind == "withdraw", state["balance"] - amount).when(kind == "snapshot", amount)
-    error = (
-        F.when(after.isNull(), "unknown event")
-        .when(kind.isin("deposit", "withdraw") & (amount <= 0), "amount must be positive")
-        .when((kind == "withdraw") & (after < 0), "insufficient funds")
-    )
-    skip = state["error"].isNotNull()
-    return F.struct(
-        F.when(skip | error.isNotNull(), state["balance"]).otherwise(after).alias("balance"),
-        F.when(skip | error.isNotNull(), state["last_seq"]).otherwise(event["seq"]).alias("last_seq"),
-        F.when(skip, state["error"]).otherwise(error).alias("error"),
-    )
-
-
 def replay_ledger(events: DataFrame, account: list[str], arrival: str, upto: Column | None = None) -> DataFrame:
     """``balance, last_seq, error`` of each account from ``seq, kind, amount``.
 
-    Of equal sequence numbers the first to arrive counts; events are folded in
-    sequence; the first error stops an account and stays. An account's events
-    are one ordered fold, so they are gathered; each number once.
+    Of equal sequence numbers the first to arrive counts; deposits, withdrawals
+    and snapshots (which set the balance) apply in sequence; the first error
+    stops an account and stays.
+
+    The fold is a running sum that starts anew at each snapshot. What it gives
+    up to the first error doesn't depend on errors, so nothing is gathered: an
+    account of any length is one sorted, spilling pass.
     """
     rows = events.where(upto) if upto is not None else events
-    unique = rows.groupBy(*account, "seq").agg(F.min_by(F.struct("kind", "amount"), arrival).alias("e"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.col("e.kind").alias("kind"), F.col("e.amount").cast("bigint").alias("amount"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("balance"), F.lit(None).cast("bigint").alias("last_seq"), F.lit(None).cast("string").alias("error"))
-    return unique.groupBy(*account).agg(F.aggregate(ordered, start, _step).alias("s")).select(*account, "s.*")
+    unique = rows.groupBy(*account, "seq").agg(F.min_by(F.struct("kind", "amount"), arrival).alias("e")).select(*account, "seq", "e.*")
+    kind, amount = F.col("kind"), F.col("amount").cast("bigint")
+    upto_here = Window.partitionBy(*account).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*account, "__era").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    change = F.when(kind.isin("deposit", "snapshot"), amount).when(kind == "withdraw", -amount).otherwise(F.lit(0))
+    fault = (
+        F.when(~F.coalesce(kind.isin("deposit", "withdraw", "snapshot"), F.lit(False)) | amount.isNull(), "unknown event")
+        .when((kind != "snapshot") & (amount <= 0), "amount must be positive")
+        .when((kind == "withdraw") & (F.col("__balance") < 0), "insufficient funds")
+    )
+    folded = (
+        unique.withColumn("__era", F.sum((kind == "snapshot").cast("int")).over(upto_here))
+        .withColumn("__balance", F.sum(change).over(since))
+        .withColumn("__fault", fault)
+        .withColumn("__fine", F.count("__fault").over(upto_here) == 0)
+    )
+    fine = F.col("__fine")
+    return folded.groupBy(*account).agg(
+        F.coalesce(F.max_by(F.when(fine, F.col("__balance")), F.when(fine, F.col("seq"))), F.lit(0)).alias("balance"),
+        F.max(F.when(fine, F.col("seq"))).alias("last_seq"),
+        F.min_by("__fault", F.when(F.col("__fault").isNotNull(), F.col("seq"))).alias("error"),
+    )
 
 
 def compact_ledger(events: DataFrame, account: list[str], arrival: str, upto: int) -> DataFrame:

@@ -245,7 +245,7 @@ def holdout_only_families(spark, d):
 @query("SELECT record_id, list_has_any(editable_files, context_files) AND len(list_filter(editable_files, lambda x: NOT list_contains(context_files, x))) = 0 AS covered FROM tasks")
 def editable_in_context(spark, d):
     t = load(spark, d, "tasks")
-    return t.select("record_id", ((F.size(R.subset_violations(t, "editable_files", "context_files")) == 0) & F.arrays_overlap("editable_files", "context_files")).alias("covered"))
+    return t.select("record_id", ((F.size(R.lacking("editable_files", "context_files")) == 0) & F.arrays_overlap("editable_files", "context_files")).alias("covered"))
 
 
 @query("""

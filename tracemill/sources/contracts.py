@@ -57,9 +57,9 @@ def count_faults(cases: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.join(counts, "path", "left").where(~F.coalesce(F.col("cases"), F.lit(0)).eqNullSafe(F.col("expected_cases")))
 
 
-def dataset_digest(folder: str) -> str:
+def dataset_digest(folder: str, domain: str = "dataset") -> str:
     """The digest :func:`tracemill.sources.files.write_splits` gave, from the files."""
-    digest = hashlib.sha256(b"dataset\0")
+    digest = hashlib.sha256(domain.encode() + b"\0")
     for file in SPLIT_FILES.values():
         path = Path(folder) / file
         if path.exists():
@@ -70,7 +70,7 @@ def dataset_digest(folder: str) -> str:
     return digest.hexdigest()
 
 
-def load_manifest(folder: str, name: str = "manifest.json") -> dict:
+def load_manifest(folder: str, name: str = "manifest.json", domain: str = "dataset") -> dict:
     """A data set's manifest, its types and its digest checked; a fault is a ValueError."""
     manifest = json.loads((Path(folder) / name).read_text(encoding="utf-8"))
     for field, kind in MANIFEST.items():
@@ -80,7 +80,7 @@ def load_manifest(folder: str, name: str = "manifest.json") -> dict:
     for pair in manifest["action_counts"]:
         if not (isinstance(pair, list) and len(pair) == 2 and isinstance(pair[0], str) and isinstance(pair[1], int) and pair[1] >= 1):
             raise ValueError("action_counts holds something else than names with counts")
-    if manifest["dataset_sha256"] != dataset_digest(folder):
+    if manifest["dataset_sha256"] != dataset_digest(folder, domain):
         raise ValueError("the files are not those of the manifest")
     return manifest
 

@@ -26,16 +26,17 @@ def read_objects(spark: SparkSession, path: str, schema: str | None = None) -> D
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def write_splits(rows: DataFrame, folder: str, split: str, order: list[str]) -> str:
+def write_splits(rows: DataFrame, folder: str, split: str, order: list[str], domain: str = "dataset") -> str:
     """One JSON-lines file per split, canonical and ordered, and the digest of them all.
 
-    Each file replaces its predecessor in one step; the file of a split without
+    ``domain`` sets digests of one kind apart from those of another. Each file
+    replaces its predecessor in one step; the file of a split without
     rows goes away. A file is one sequence of bytes whose digest is taken in
     order, so its rows stream through the driver, one at a time.
     """
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)
-    digest = hashlib.sha256(b"dataset\0")
+    digest = hashlib.sha256(domain.encode() + b"\0")
     payload = [c for c in rows.columns if c != split and c not in order]
     for name, file in SPLIT_FILES.items():
         part = rows.where(F.col(split) == name).orderBy(*order).select(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}).alias("line"))
