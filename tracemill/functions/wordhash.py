@@ -125,7 +125,7 @@ def distinct_in(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The rows of a batch in parts whose texts in ``column`` have about ``most`` bytes.
 
-    A single longer text makes a part of its own, whole.
+    A longer text stays whole, with what fits beside it.
     """
     if not batch.num_rows:
         return
