@@ -59,15 +59,25 @@ def winnowed(keys: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int]:
-    """``(seeds in the chain, words of a, words of b covered)`` of two word sequences."""
+    """``(seeds in the chain, words of a, words of b covered)`` of two word sequences.
+
+    The places of a hash that repeats are paired in order, from the front and from
+    the back, so that seeds are no more than twice the selected places.
+    """
     if len(a) < k or len(b) < k:
         return 0, 0, 0
     ga, gb = grams_of(a, np.array([0, len(a)]), k)[0], grams_of(b, np.array([0, len(b)]), k)[0]
-    at = np.flatnonzero(winnowed(ga, np.array([0, len(ga)]), WINDOW))
-    places: dict[int, list[int]] = {}
-    for j in np.flatnonzero(winnowed(gb, np.array([0, len(gb)]), WINDOW)).tolist():
-        places.setdefault(int(gb[j]), []).append(j)
-    seeds = [(i, j) for i in at.tolist() for j in places.get(int(ga[i]), [])[-64:][::-1]]
+    at = [np.flatnonzero(winnowed(g, np.array([0, len(g)]), WINDOW)).tolist() for g in (ga, gb)]
+    places: list[dict[int, list[int]]] = [{}, {}]
+    for known, g, chosen in zip(places, (ga, gb), at):
+        for i in chosen:
+            known.setdefault(int(g[i]), []).append(i)
+    seeds = []
+    for h, mine in places[0].items():
+        other = places[1].get(h, [])
+        n = min(len(mine), len(other))
+        seeds += set(zip(mine, other)) | set(zip(mine[len(mine) - n :], other[len(other) - n :]))
+    seeds.sort(key=lambda s: (s[0], -s[1]))
     tails: list[int] = []  # longest chain with i and j both ascending; of one i the j come descending
     last: list[int] = []
     back = [-1] * len(seeds)
