@@ -85,6 +85,22 @@ def test_manifests(spark, tmp_path):
             C.load_manifest(str(tmp_path))
 
 
+def test_snapshots(spark, tmp_path):
+    source = tmp_path / "s"
+    source.mkdir()
+    for name in ("manifest.json", "train.jsonl", "valid.jsonl"):
+        with pytest.raises(ValueError):
+            C.snapshot_dataset(str(source), str(tmp_path / "t"))
+        (source / name).write_text("{}")
+    C.snapshot_dataset(str(source), str(tmp_path / "t"))
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["manifest.json", "train.jsonl", "valid.jsonl"]
+    with pytest.raises(ValueError):
+        C.snapshot_dataset(str(source), str(tmp_path / "u"), most_bytes=1)
+    (source / "test.jsonl").write_text("{}")
+    with pytest.raises(ValueError, match="holdout"):
+        C.snapshot_dataset(str(source), str(tmp_path / "v"))
+
+
 def test_reports_and_lists(spark, tmp_path):
     FS.write_report({"run_id": 7, "traces": "20", "loop_rate": "0.5", "parsed_calls": "many", "note": "x"}, str(tmp_path / "r.json"))
     r = C.read_reports(spark, str(tmp_path / "r.json")).first()

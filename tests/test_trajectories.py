@@ -63,6 +63,10 @@ def test_lines_and_faults(spark, tmp_path):
     faults = {(r.file_ord, r.line_no): r.reason for r in errors.collect()}
     assert faults == {(2, 3): "not a JSON object", (2, 4): "traces is not a list", (2, 5): "trace is not an object", (2, 6): "not a JSON object"}
     assert first_error(errors, ["file_ord", "line_no"]) == "not a JSON object" and first_error(errors.limit(0), ["file_ord"]) is None
+    (tmp_path / "none").mkdir()
+    for paths, most in (([str(tmp_path)], 1), ([str(tmp_path / "none")], None)):
+        with pytest.raises(ValueError, match="trace file"):
+            read_lines(spark, paths, most_files=most)
     with pytest.raises(Exception, match="over the size limit"):
         read_lines(spark, [str(tmp_path)], most_bytes=4).collect()
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import agents, nested, relational
+from tracemill.plans import agents, nested, relational, streams
 
-_MODULES = (nested, relational, agents)
+_MODULES = (nested, relational, agents, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -325,6 +325,17 @@ def last_view(spark, d):
     return e.withColumn("view_id", seen).where("event_type = 'purchase'").select("event_id", "view_id")
 
 
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS offered FROM events
+""")
+def offered_events(spark, d):
+    """Events of a user within the hour up to each: offered ones, not those a limiter admits."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
+    return load(spark, d, "events").select("event_id", F.count("*").over(w).alias("offered"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _ALL.items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,6 +86,19 @@ def load_manifest(folder: str, name: str = "manifest.json", domain: str = "datas
     return manifest
 
 
+def snapshot_dataset(source: str, target: str, most_bytes: int = 256 << 20) -> None:
+    """A data set's manifest, train and validation files copied; links, empty or larger files and a holdout file are errors."""
+    origin, copy = Path(source), Path(target)
+    if (origin / SPLIT_FILES["holdout"]).exists():
+        raise ValueError("the data set has a holdout file")
+    copy.mkdir(parents=True, exist_ok=True)
+    for name in ("manifest.json", SPLIT_FILES["train"], SPLIT_FILES["validation"]):
+        file = origin / name
+        if file.is_symlink() or not file.is_file() or not 0 < file.stat().st_size <= most_bytes:
+            raise ValueError(f"{name} is no regular file within the size limit")
+        shutil.copyfile(file, copy / name, follow_symlinks=False)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Metrics reports, one JSON object a file, numbers given as text included; what doesn't convert is null."""
     raw = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)

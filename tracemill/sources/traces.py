@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from tracemill.functions import strict_json as J
 
 
-def read_lines(spark: SparkSession, paths: list[str], name: str = "traces.jsonl", most_bytes: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], name: str = "traces.jsonl", most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
     """``file, file_ord, line_no, line`` of the non-blank lines of files and of folders' files of that name.
 
     Lines end with ``\\n`` (a ``\\r`` before it is dropped), nothing else parts
     them, so a line separator within a JSON text stays. A file over
-    ``most_bytes`` is an error. Line numbers and file ordinals count from 1.
+    ``most_bytes`` is an error, as are more than ``most_files`` files, a missing
+    path and a folder without files. Line numbers and file ordinals count from 1.
     """
     found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name or None)
     files = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").dropDuplicates(["file"])
+    n = found.select(F.col("_metadata.file_path").alias("file")).distinct().limit((most_files or 0) + 1).count()
+    if not n or (most_files is not None and n > most_files):
+        raise ValueError("no trace file" if not n else f"more than {most_files} trace files")
     if most_bytes is not None:
         whole = F.when(F.col("size") <= most_bytes, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("over the size limit: "), F.col("file"))).cast("string"))
         files = files.withColumn("value", whole)
