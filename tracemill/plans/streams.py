@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.plans.relational import _LAST, _LEDGER
-from tracemill.session import shared_dir
+from tracemill.session import scratch
 from tracemill.streaming import stateful as SS
 from tracemill.tables import load
 
@@ -19,10 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def run_to_end(out: DataFrame) -> DataFrame:
     """Run a stream over all that is there now, into Parquet in the shared folder."""
     spark = out.sparkSession
-    where = f"{shared_dir(spark)}/tracemill-stream-{uuid.uuid4().hex}"
-    query = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+    where = scratch(spark, "out")
+    query = out.writeStream.format("parquet").option("path", where).option("checkpointLocation", f"{where}-state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{where}/out")
+    return spark.read.schema(out.schema).parquet(where)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,10 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tracemill-")
+        atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with what lies beside it by :func:`drop_cuts`."""
+    path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}/{name}"
+    if not _written:
+        atexit.register(drop_cuts)
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
@@ -50,11 +61,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     later readers prune columns. The files go when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(drop_cuts)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
