@@ -161,6 +161,13 @@ def test_children_of_odd_payloads(spark):
     assert trace_children(df.limit(0)).count() == 0
 
 
+def test_halves_of_characters(spark):
+    payload = '{"traces":[{"rewards":{"\\ud800":1},"metrics":"{\\"\\\\udc00\\":1}","calls":"\\ud800"}]}'
+    assert is_json(payload)
+    df = spark.createDataFrame([(1, payload)], "record_id bigint, payload string")
+    assert found(df) == Counter({(1, 0, "reward", "?"): 1, (1, 0, "metric", "?"): 1})
+
+
 def test_tables(spark):
     payload = '{"traces":[{"rewards":{"t":{"score":0.5,"weight":2},"u":1},"metrics":{"a":{"b":"x"},"c":3},"calls":[null,{"finish_reason":"stop","usage":{"completion_tokens":7},"sampling":{"stop_rules":[{"text":"w","after":2}]}}]}]}'
     t = {k: [tuple(r) for r in v.collect()] for k, v in trace_tables(spark.createDataFrame([(4, payload)], "record_id bigint, payload string")).items()}

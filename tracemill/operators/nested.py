@@ -233,6 +233,14 @@ class JsonIndex:
 CHILDREN = "record_id bigint, trace_pos int, child string, child_key string, value string"
 
 
+def _strings(values) -> pa.Array:
+    """Texts as an Arrow array; halves of characters, which JSON can name but no text can hold, become ``?``."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
 class _Out:
     def __init__(self):
         self.rows: list[tuple] = []
@@ -320,7 +328,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _take(ix, what, found, [owner[w] for w in which.tolist()], out)
             while out.texts:  # JSON text in place of a value
                 texts, out.texts = out.texts, []
-                inner = JsonIndex(*_bytes(pa.array([t for _, _, t in texts], pa.string())))
+                inner = JsonIndex(*_bytes(_strings([t for _, _, t in texts])))
                 tops = inner.roots()
                 kinds = np.array([texts[d][0] for d in inner.doc[tops]], object)
                 for what in ("rewards", "metrics", "calls", "sampling"):
@@ -328,8 +336,8 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mine = mine[inner.kind[mine] <= OPEN_ARRAY]
                     _take(inner, what, mine, [texts[d][1] for d in inner.doc[mine].tolist()], out)
             columns = list(zip(*out.rows)) if out.rows else [[]] * 5
-            kinds_ = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], [x.split()[0] for x in CHILDREN.split(", ")])
+            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *map(_strings, columns[2:])]
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHILDREN.split(", ")])
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
