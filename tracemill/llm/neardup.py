@@ -164,8 +164,8 @@ class NearDuplicates:
     def _candidates(self, pivots: bool = True) -> DataFrame:
         """Pairs of classes that share a rare shingle and pass the bounds; a is the smaller set."""
         t = self.threshold
-        early = f"place <= n - ceil({2 * t / (1 + t)!r}D * n - 1e-9D)"
-        a, b = self._probes.where(early).alias("a"), self._probes.alias("b")
+        # both sides are one plan, so it runs and is shuffled once; the last line holds the prefixes of both
+        a, b = self._probes.alias("a"), self._probes.alias("b")
         bound = F.expr(S.most_apart_sql("a.n", "b.n", t))
         on = (
             (F.col("a.gram") == F.col("b.gram"))
