@@ -212,3 +212,9 @@ def test_stream_budget_and_windows(spark, tmp_path):
     at = [[{"ts": "2026-01-01T00:01:00", "k": "a"}, {"ts": "2026-01-01T00:02:00", "k": "a"}], [{"ts": "2026-01-01T01:00:00", "k": "a"}], [{"ts": "2026-01-01T01:01:00", "k": "a"}], [{"ts": "2026-01-01T00:03:00", "k": "a"}, {"ts": "2026-01-01T02:00:00", "k": "b"}]]
     counts = streamed(spark, tmp_path / "w", "ts timestamp, k string", at, lambda s: SS.windowed_counts(s, "ts", ["k"], "5 minutes"))
     assert sorted((str(r.window_start), r.k, r.n) for r in counts) == [("2026-01-01 00:00:00", "a", 2), ("2026-01-01 01:00:00", "a", 2)]
+
+
+def test_stream_first_per_key(spark, tmp_path):
+    row = lambda minute, k, v: {"ts": f"2026-01-01T00:{minute:02d}:00", "k": k, "v": v}
+    rows = streamed(spark, tmp_path, "ts timestamp, k string, v int", [[row(1, "a", 1), row(1, "b", 2)], [row(2, "a", 3), row(3, "c", 4)]], lambda s: SS.first_per_key(s, ["k"], "ts"))
+    assert sorted((r.k, r.v) for r in rows) == [("a", 1), ("b", 2), ("c", 4)]

@@ -229,3 +229,17 @@ def test_logs_trees_and_manifests(spark, tmp_path):
     manifests = FS.read_manifests(spark, str(tasks))
     faults = sorted((Path(r.path).parent.name, r.reason.split(":")[0]) for r in FS.manifest_faults(manifests, ["id", "n"]).collect())
     assert [f for f in faults if f[0] != "c"] == [("a", "id given twice"), ("b", "id given twice"), ("b", "missing"), ("d", "unknown")] and len(faults) == 5
+
+
+def test_rows_and_installed_tasks(spark):
+    tool = lambda *names: [{"function": {"name": n}} for n in names]
+    say = lambda role, text: [{"role": role, "content": text}]
+    rows = [(1, say("system", "x"), tool("a", "b")), (2, say("user", "x"), tool("a", "b")), (3, say("system", " "), tool("a", "b")), (4, say("system", "x"), tool("a", "a")), (5, say("system", "x"), tool("b")), (6, [], tool("a", "b")), (7, say("system", "x"), tool("b", "a")), (8, None, None)]
+    df = spark.createDataFrame(rows, "i int, messages array<struct<role string, content string>>, tools array<struct<function struct<name string>>>")
+    got = {r.i: r.fault for r in E.row_faults(df, ["a", "b"]).collect()}
+    none = "no system message in front"
+    assert got == {1: None, 2: none, 3: none, 4: "a tool is named twice", 5: "other tools", 6: none, 7: None, 8: none}
+    tasks = spark.createDataFrame([("a", 1, "d"), ("b", 1, "d"), ("b", 2, "e")], "task_id string, task_revision int, task_digest string")
+    data = spark.createDataFrame([("a", 1, "d"), ("a", 2, "d"), ("b", 1, "d"), ("c", 1, "d"), (None, 1, "d")], "task_id string, task_revision int, task_digest string")
+    faults = sorted(str((r.task_id, r.task_revision, r.fault)) for r in E.installed_task(data, tasks).collect())
+    assert faults == ["('a', 1, None)", "('a', 2, 'another revision')", "('b', 1, 'installed twice')", "('c', 1, 'not installed')", "(None, 1, 'not installed')"]

@@ -129,3 +129,23 @@ def system_core(prompt: Column, marker: str = MARKER) -> Column:
 def same_everywhere(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the common value of each column, or null where rows differ."""
     return rows.agg(*(F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count("*")), F.min(c)).alias(c) for c in columns))
+
+
+def row_faults(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows ``messages, tools`` with ``fault``: no system message with text in front, a tool named twice, or other tools than ``names``."""
+    first, given = F.get("messages", F.lit(0)), F.transform("tools", lambda t: t["function"]["name"])
+    opens = (first["role"] == "system") & (F.trim(first["content"]) != "")
+    fault = (
+        F.when(~F.coalesce(opens, F.lit(False)), "no system message in front")
+        .when(F.size(given) != F.size(F.array_distinct(given)), "a tool is named twice")
+        .when(~F.coalesce(F.array_sort(given) == F.array_sort(F.array(*map(F.lit, names))), F.lit(False)), "other tools")
+    )
+    return rows.withColumn("fault", fault)
+
+
+def installed_task(data: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Task data with ``fault``: no installed task of its id, several, or one of another revision or digest."""
+    found = tasks.groupBy("task_id").agg(F.count("*").alias("__n"), F.min(F.struct("task_revision", "task_digest")).alias("__task"))
+    same = F.col("__task.task_revision").eqNullSafe(F.col("task_revision")) & F.col("__task.task_digest").eqNullSafe(F.col("task_digest"))
+    fault = F.when(F.col("__n").isNull(), "not installed").when(F.col("__n") > 1, "installed twice").when(~same, "another revision")
+    return data.join(found, "task_id", "left").withColumn("fault", fault).drop("__n", "__task")
