@@ -9,7 +9,7 @@ adaptive execution splits, and not a list in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracemill.session import cut
@@ -40,8 +40,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(kept.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False), "edges")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        seen, mark = Observation(), F.xxhash64("src", "dst")
+        steps = _star(_star(now, True), False).observe(seen, F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s"))
+        now = cut(steps, "edges")
+        state = seen.get  # taken while the edges were written
         if state == before:
             break
         before = state
