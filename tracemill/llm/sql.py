@@ -146,5 +146,26 @@ SELECT trace_id, min(node) AS first_node, max(node) AS last_node, CAST(count(*)
 """
 
 
+_P3_GRAMS = P3[: P3.index("sizes AS (")].replace("WITH said", "WITH RECURSIVE said")
+P3_GROUPS = _P3_GRAMS + """
+keyed AS (SELECT id, count(*) AS n, string_agg(gram, '|' ORDER BY gram) AS k FROM grams GROUP BY id),
+class AS (SELECT id, n, min(id) OVER (PARTITION BY k) AS class_id FROM keyed),
+own AS (SELECT g.id, g.gram FROM grams g JOIN class c ON c.id = g.id AND c.class_id = g.id),
+met AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM own a JOIN own b ON a.gram = b.gram AND a.id <> b.id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN class x ON x.id = a JOIN class y ON y.id = b WHERE met.n >= 0.7 * (x.n + y.n - met.n) - 1e-9),
+reach AS (SELECT class_id AS node, class_id AS seen FROM class UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.seen),
+root AS (SELECT node, min(seen) AS group_id FROM reach GROUP BY node)
+SELECT c.id AS sample_id, c.class_id, CAST((SELECT count(*) FROM link WHERE a = c.class_id) AS INTEGER) AS links, r.group_id FROM class c JOIN root r ON r.node = c.class_id
+"""
+
+_AT = P5.index("SELECT trace_id, min(node) AS first_node")
+P5_REPORTS = P5[:_AT].rstrip() + """,
+repeats AS (SELECT trace_id, sum(n - 1) AS repeated FROM (SELECT trace_id, run, count(*) AS n FROM run GROUP BY ALL) GROUP BY trace_id),
+owner AS (SELECT trace_id, min(run_id) AS run_id FROM trace_messages WHERE trace_id IS NOT NULL AND run_id IS NOT NULL GROUP BY trace_id),
+found AS (SELECT run_id, CAST(coalesce(sum(repeated), 0) AS BIGINT) AS repeated_by_messages FROM owner LEFT JOIN repeats USING (trace_id) GROUP BY run_id)
+SELECT run_id, report_id, repeated_call_turns, repeated_by_messages, repeated_call_turns IS NOT DISTINCT FROM repeated_by_messages AS agrees FROM metrics_reports LEFT JOIN found USING (run_id)
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_groups": P3_GROUPS, "p4_found": P4, "p5_found": P5, "p5_reports": P5_REPORTS, "p7_found": P7}
