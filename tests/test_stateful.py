@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,43 @@ def test_stream_ledger(spark, tmp_path):
     assert sorted((r.account, r.seq, r.balance, r.error) for r in rows) == [("x", 1, 5, None), ("x", 2, 2, None), ("x", 4, 3, None), ("y", 1, 0, "insufficient funds")]
 
 
+@pytest.fixture
+def tiny_frames(spark):
+    """Frames of two rows from the shuffle."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_streams_in_many_frames(spark, tmp_path, tiny_frames):
+    """A batch's rows count in order, though they come unsorted and in frames."""
+    rnd = random.Random(3)
+    events = [{"a": a, "seq": s, "kind": rnd.choice(["deposit", "deposit", "withdraw"]), "amount": rnd.randint(1, 9)} for a in "xyz" for s in range(40)]
+    rnd.shuffle(events)
+    (tmp_path / "l").mkdir()
+    rows = streamed(spark, tmp_path / "l", "a string, seq bigint, kind string, amount bigint", [events], lambda s: SS.stream_ledger(s.repartition(3), "a"))
+    for a in "xyz":
+        last = max((r for r in rows if r.account == a), key=lambda r: r.seq)
+        balance, _, error = folded([(e["seq"], e["kind"], e["amount"], e["seq"]) for e in events if e["a"] == a])
+        assert (last.balance, last.error) == (balance, error)
+    times = [float(t) for t in range(60)]
+    calls = [{"k": k, "t": t} for k in "pq" for t in times]
+    rnd.shuffle(calls)
+    (tmp_path / "m").mkdir()
+    rows = streamed(spark, tmp_path / "m", "k string, t double", [calls], lambda s: SS.stream_limiter(s.repartition(3), "k", "t", 2, 10.0))
+    assert sorted((r.key, r.now, r.allowed, r.retry_after) for r in rows) == [(k, t, *a) for k in "pq" for t, a in zip(times, admitted(times, 2, 10.0))]
+
+
+def test_rows_in_order_beyond_memory():
+    rnd = random.Random(4)
+    frames = [pd.DataFrame([(rnd.randint(0, 50), i * 3 + k) for k in range(3)], columns=["seq", "n"]) for i in range(200)]
+    want = list(pd.concat(frames).sort_values("seq", kind="stable").itertuples(index=False, name=None))
+    for most_rows, most_runs in ((1000, 32), (6, 3), (7, 2)):
+        assert list(SS.in_order(iter(frames), ["seq", "n"], most_rows, most_runs)) == want
+    assert list(SS.in_order(iter([]), ["seq", "n"])) == []
+
+
 def test_stream_budget_and_windows(spark, tmp_path):
     rows = streamed(spark, tmp_path, "e string, t bigint", [[{"e": "a", "t": 4}, {"e": "a", "t": 4}], [{"e": "a", "t": 4}]], lambda s: SS.stream_budget(s, "e", "t", 8))
     assert sorted((r.spent, r.stopped) for r in rows) == [(4, False), (8, False), (8, True)]

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import os
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,40 +18,91 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracemill.operators.stateful import Limiter
 
 
+def in_order(frames: Iterator[pd.DataFrame], columns: list[str], most_rows: int = 100_000, most_runs: int = 32) -> Iterator[tuple]:
+    """All rows of a key by the first of ``columns``, equal ones as they come, in whatever frames they come.
+
+    About ``most_rows`` rows are sorted in memory. What is more goes to the local
+    disk as sorted runs; ``most_runs`` of them are merged into a longer one.
+    """
+
+    def read(file) -> Iterator[tuple]:
+        with file:
+            while True:
+                try:
+                    yield from pickle.load(file)
+                except EOFError:
+                    return
+
+    def spill(rows: Iterator[tuple]) -> Iterator[tuple]:
+        file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0])
+        while part := list(islice(rows, 1000)):
+            pickle.dump(part, file)
+        file.seek(0)
+        return read(file)
+
+    def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+        return heapq.merge(*runs, key=itemgetter(0))
+
+    def in_memory() -> Iterator[tuple]:
+        whole = pd.concat(held).sort_values(columns[0], kind="stable")
+        held.clear()
+        return zip(*(whole[c].tolist() for c in columns))
+
+    held: list[pd.DataFrame] = []
+    levels: list[list[Iterator[tuple]]] = [[]]
+    n = 0
+    for pdf in frames:
+        held.append(pdf[columns])
+        n += len(pdf)
+        if n < most_rows:
+            continue
+        levels[0].append(spill(in_memory()))
+        n = k = 0
+        while len(levels[k]) == most_runs:
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(spill(merged(levels[k])))
+            levels[k] = []
+            k += 1
+    older = [run for level in reversed(levels) for run in level]
+    return merged([*older, in_memory()] if held else older)
+
+
 def stream_limiter(calls: DataFrame, key: str, now: str, limit: int, window: float, most_rows: int = 10_000) -> DataFrame:
     """``key, now, allowed, retry_after`` of a stream of calls.
 
     The state of a key is the times of its live admissions, ``limit`` at most.
     Calls of one batch are taken by time, batches as they come. ``most_rows`` is
-    only how many rows of a key are handled between two looks at its state.
+    only how many rows of a key are given back at once.
     """
 
     def step(keys: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         limiter = Limiter(limit, window, list(state.get[0]) if state.exists else [])
-        for pdf in rows:
-            pdf = pdf.sort_values("now", kind="stable")
-            for at in range(0, len(pdf), most_rows):
-                part = pdf.iloc[at : at + most_rows]
-                seen = [limiter.offer(float(t)) for t in part["now"]]
-                yield pd.DataFrame({"key": keys[0], "now": part["now"].to_numpy(), "allowed": [a for a, _ in seen], "retry_after": [r for _, r in seen]})
+        calls = in_order(rows, ["now"])
+        while part := list(islice(calls, most_rows)):
+            out = [(keys[0], now, *limiter.offer(float(now))) for (now,) in part]
+            yield pd.DataFrame(out, columns=["key", "now", "allowed", "retry_after"])
         state.update((list(limiter.held),))
 
     picked = calls.select(F.col(key).cast("string").alias("key"), F.col(now).cast("double").alias("now")).where("key is not null and now is not null")
     return picked.groupBy("key").applyInPandasWithState(step, "key string, now double, allowed boolean, retry_after double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_ledger(events: DataFrame, account: str) -> DataFrame:
+def stream_ledger(events: DataFrame, account: str, most_rows: int = 10_000) -> DataFrame:
     """``account, seq, balance, error`` after each applied event of a stream ``account, seq, kind, amount``.
 
-    A sequence number not above the last applied one is passed over without a
-    row: an event delivered twice, or late, changes nothing.
+    Events of one batch are taken by sequence number, batches as they come. A
+    number not above the last applied one is passed over without a row: an event
+    delivered twice, or in a later batch than a higher one, changes nothing.
+    ``most_rows`` is only how many events are handled at once.
     """
 
     def step(keys: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         balance, last, error = state.get if state.exists else (0, -(1 << 62), None)
-        for pdf in rows:
+        ordered = in_order(rows, ["seq", "kind", "amount"])
+        while part := list(islice(ordered, most_rows)):
             out = []
-            for seq, kind, amount in pdf.sort_values("seq", kind="stable")[["seq", "kind", "amount"]].itertuples(index=False):
+            for seq, kind, amount in part:
                 if error is not None or seq <= last:
                     continue
                 after = {"deposit": balance + amount, "withdraw": balance - amount, "snapshot": amount}.get(kind)
