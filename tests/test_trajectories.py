@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import export as E
 from tracemill.operators import trajectories as T
+from tracemill.plans import agents
 from tracemill.sources import files as FS
 from tracemill.sources.traces import first_error, flatten, read_lines, read_traces
 
@@ -118,6 +119,16 @@ def test_chains_and_branches(spark):
     assert [tuple(r) for r in T.off_chain(chain, df.where("trace_id = 'a'").select("trace_id", "node")).collect()] == [("a", 2)]
 
 
+def test_splits_by_meaning(spark, tmp_path):
+    """Splits count by what they mean, however they are written."""
+    tasks = [(1, "b", "f", "validation"), (2, "a", "f", " Val "), (3, None, "f", "val"), (4, "c", "g", "TEST"), (5, "d", "h", "holdout"), (6, "e", "h", "Training"), (7, "f", "i", "odd"), (8, "g", None, "test")]
+    spark.createDataFrame(tasks, "record_id bigint, task_id string, family string, split string").write.parquet(f"{tmp_path}/tasks.parquet")
+    spelt = [("validation", "validation"), ("val", "validation"), ("test", "holdout"), ("holdout", "holdout"), ("training", "train"), ("train", "train")]
+    spark.createDataFrame([("split", w, m) for w, m in spelt], "field string, written string, means string").write.parquet(f"{tmp_path}/spellings.parquet")
+    assert {(r.record_id, r.idx) for r in agents.task_places(spark, str(tmp_path)).collect()} == {(2, 0), (1, 1)}
+    assert [r.family for r in agents.holdout_only_families(spark, str(tmp_path)).collect()] == ["g"]
+
+
 def test_export(spark, tmp_path):
     other = looped() | {"id": "looped"}
     failed, early = trace("failed", rewards={"tests": {"score": 0.0}}), trace("early", stop_condition="budget")

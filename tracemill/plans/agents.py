@@ -40,6 +40,11 @@ def nodes_of(spark: SparkSession, d: str) -> DataFrame:
     return last.select("trace_id", "node", "r.*")
 
 
+def tasks_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks, with what ``split`` means in its place."""
+    return spelled(load(spark, d, "tasks").withColumnRenamed("split", "given"), "given", load(spark, d, "spellings"), "split", "split").drop("given")
+
+
 _NODES = """
 WITH RECURSIVE node AS (
     SELECT m.*, s.means AS means FROM trace_messages m LEFT JOIN spellings s ON s.field = 'role' AND s.written = lower(trim(m.role))
@@ -147,7 +152,7 @@ SELECT w.split, coalesce(n, 0) AS trajectories, CAST(100 AS BIGINT) AS least, co
 ) USING (split)
 """)
 def split_counts(spark, d):
-    rows = spelled(load(spark, d, "tasks").withColumnRenamed("split", "given"), "given", load(spark, d, "spellings"), "split", "split").where("split is not null")
+    rows = tasks_by_split(spark, d).where("split is not null")
     return E.split_counts(rows.select("split", F.col("record_id").alias("trace_id")), {"train": 100, "validation": 100, "holdout": 100})
 
 
@@ -238,7 +243,8 @@ def training_losses(spark, d):
 
 @query("SELECT DISTINCT family FROM tasks WHERE family IS NOT NULL AND split = 'holdout' EXCEPT SELECT family FROM tasks WHERE split = 'train'")
 def holdout_only_families(spark, d):
-    t = load(spark, d, "tasks").where("family is not null")
+    """Families as they are written, of tasks by what their split means."""
+    t = tasks_by_split(spark, d).where("family is not null")
     return t.where("split = 'holdout'").select("family").distinct().join(t.where("split = 'train'").select("family").distinct(), "family", "left_anti")
 
 
@@ -269,8 +275,8 @@ def payload_kinds(spark, d):
 SELECT record_id, row_number() OVER (ORDER BY task_id, record_id) - 1 AS idx FROM tasks WHERE split = 'validation' AND task_id IS NOT NULL
 """)
 def task_places(spark, d):
-    """The tasks of a split, numbered in order."""
-    return task_list(load(spark, d, "tasks").where("task_id is not null").select("record_id", "task_id", "split"), "validation", ["task_id", "record_id"]).select("record_id", "idx")
+    """The tasks that mean a split, numbered in order."""
+    return task_list(tasks_by_split(spark, d).where("task_id is not null").select("record_id", "task_id", "split"), "validation", ["task_id", "record_id"]).select("record_id", "idx")
 
 
 @query("SELECT sample_id, sha256('7|1|' || sample_id) AS sort_key FROM training_samples")
