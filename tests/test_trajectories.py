@@ -119,6 +119,19 @@ def test_chains_and_branches(spark):
     assert [tuple(r) for r in T.off_chain(chain, df.where("trace_id = 'a'").select("trace_id", "node")).collect()] == [("a", 2)]
 
 
+def test_depths(spark):
+    """Cycles, ways into cycles and missing parents have no depth; a trace may be deeper than any list."""
+    rows = [("a", 0, None), ("a", 1, 0), ("a", 2, 1), ("a", 3, 1), ("c", 0, 1), ("c", 1, 0), ("c", 2, 0), ("c", 3, None), ("m", 0, 7), ("m", 1, 0), ("s", 0, 0)]
+    df = spark.createDataFrame(rows, "trace_id string, node int, parent int")
+    got = {(r.trace_id, r.node): r.depth for r in T.depths(df).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 2, ("a", 2): 3, ("a", 3): 3, ("c", 0): None, ("c", 1): None, ("c", 2): None, ("c", 3): 1, ("m", 0): None, ("m", 1): None, ("s", 0): None}
+    assert T.depths(df.limit(0)).count() == 0
+    n = 140_000
+    deep = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("int").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent"))
+    got = T.depths(deep)
+    assert got.where("depth = node + 1").count() == n and got.where("depth is null").count() == 0
+
+
 def test_splits_by_meaning(spark, tmp_path):
     """Splits count by what they mean, however they are written."""
     tasks = [(1, "b", "f", "validation"), (2, "a", "f", " Val "), (3, None, "f", "val"), (4, "c", "g", "TEST"), (5, "d", "h", "holdout"), (6, "e", "h", "Training"), (7, "f", "i", "odd"), (8, "g", None, "test")]

@@ -162,7 +162,7 @@ SELECT trace_id, node, CAST(max(depth) AS INTEGER) AS depth FROM up GROUP BY ALL
 """)
 def parent_chain(spark, d):
     """The depth of every node that has a way to a root."""
-    return T.chains(nodes_of(spark, d)).where("chain is not null").select("trace_id", "node", F.size("chain").alias("depth"))
+    return T.depths(nodes_of(spark, d)).where("depth is not null")
 
 
 @query(_NODES + """
