@@ -123,6 +123,24 @@ def test_tiles_of_endless_repetition():
     assert sum(n for _, _, n in found) == 100
 
 
+def test_tiles_without_listing_matches():
+    rnd = random.Random(8)
+    for _ in range(400):
+        k = rnd.randint(0, 3)
+        a = np.array([rnd.randint(0, k) for _ in range(rnd.randint(1, 60))], np.uint64)
+        b = np.array([rnd.randint(0, k) for _ in range(rnd.randint(1, 90))], np.uint64)
+        assert leaks.tiles(a, b, 3, most_seeds=-1) == leaks.tiles(a, b, 3)
+
+
+def test_tiles_of_long_passages_behind_short_ones():
+    """17 million matches of seeds; the short passages stand first."""
+    own = iter(range(1, 1 << 20))
+    runs = lambda n, size: np.array([w for _ in range(n) for w in [0] * size + [next(own)]], np.uint64)
+    item = runs(200, 23)
+    found = leaks.tiles(item, np.r_[runs(4800, 12), runs(200, 23)], 12)
+    assert len(found) == 200 and {n for _, _, n in found} == {23} and len(item) == 4800
+
+
 def test_leaks_by_scan_and_by_shuffle(spark, small):
     docs, items = load(spark, small, "documents"), load(spark, small, "eval_items")
     scan = sorted(map(tuple, find_leaks(docs, items).collect()))

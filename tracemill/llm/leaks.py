@@ -26,13 +26,12 @@ _FILTER = 1 << 20
 TILES = "doc_id bigint, item_id bigint, n_tiles int, tile_words int, longest int, item_words int, coverage double"
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, least: int, most_seeds: int = 4_000_000) -> list[tuple[int, int, int]]:
     """Tiles ``(item position, document position, words)`` of two word sequences, longest first.
 
     Ties go to the earlier item position, then the earlier document position.
-    A word of either side lies in one tile at most. Of a passage that repeats
-    without end only as many places in the document are tried as the item has
-    words: more can't be marked.
+    A word of either side lies in one tile at most. Beyond ``most_seeds`` matches
+    of ``least`` words the tiles, the same ones, are found without listing matches.
     """
     if len(item) < least or len(doc) < least:
         return []
@@ -41,14 +40,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     order = np.argsort(a, kind="stable")
     at = np.flatnonzero(np.isin(b, a))
     left, right = np.searchsorted(a[order], b[at]), np.searchsorted(a[order], b[at], "right")
-    if int((right - left).sum()) > 4_000_000:
-        _, group = np.unique(b[at], return_inverse=True)
-        by = np.argsort(group, kind="stable")
-        first = np.r_[0, np.flatnonzero(np.diff(group[by])) + 1]
-        rank = np.empty(len(at), np.int64)
-        rank[by] = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        keep = rank < len(item)
-        at, left, right = at[keep], left[keep], right[keep]
+    if int((right - left).sum()) > most_seeds:
+        return _tiles_by_length(item, doc, least, np.flatnonzero(np.isin(a, b)), at)
     n = right - left
     j = np.repeat(at, n)
     i = order[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -75,6 +68,74 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
+def _tiles_by_length(item: np.ndarray, doc: np.ndarray, least: int, at_item: np.ndarray, at_doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same tiles, all of a length at a time: of the greatest length that free words still share, then the next.
+
+    ``at_item`` and ``at_doc`` are where shared sequences of ``least`` words begin. A
+    sequence of any length is named by the ranks of the two powers of two that
+    cover it. Lengths differ from round to round, so that rounds are at most as
+    the root of the words, each a few sorts.
+    """
+    ranks = [np.unique(np.r_[item, doc], return_inverse=True)[1].astype(np.int32)]
+    n, whole = len(item), len(item) + len(doc)
+    side = np.r_[np.full(n, n), np.full(len(doc), whole)]  # where each word's text ends
+
+    def names(at: np.ndarray, size: int) -> np.ndarray:
+        k = size.bit_length() - 1
+        while len(ranks) <= k:
+            half, last = 1 << (len(ranks) - 1), ranks[-1]
+            begin = np.flatnonzero(np.arange(whole) + 2 * half <= side)
+            longer = np.full(whole, -1, np.int32)
+            longer[begin] = np.unique(last[begin].astype(np.int64) << 32 | last[begin + half], return_inverse=True)[1]
+            ranks.append(longer)
+        return ranks[k][at].astype(np.int64) << 32 | ranks[k][at + size - (1 << k)]
+
+    def shared(size: int) -> tuple[np.ndarray, ...]:
+        """Places of both sides from which ``size`` free words begin that the other has too, with their names."""
+        x, y = at_item[room_item >= size], at_doc[room_doc >= size]
+        p, q = names(x, size), names(y + n, size)
+        in_both = np.isin(p, q), np.isin(q, p)
+        return x[in_both[0]], y[in_both[1]], p[in_both[0]], q[in_both[1]]
+
+    def room(free: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many free words begin at each place."""
+        taken = np.r_[np.flatnonzero(~free), len(free)]
+        return taken[np.searchsorted(taken, at)] - at
+
+    free_item, free_doc, out = np.ones(n, bool), np.ones(len(doc), bool), []
+    most = min(n, len(doc))
+    while True:
+        room_item, room_doc = room(free_item, at_item), room(free_doc, at_doc)
+        at_item, room_item = at_item[room_item >= least], room_item[room_item >= least]
+        at_doc, room_doc = at_doc[room_doc >= least], room_doc[room_doc >= least]
+        if most < least or not len(shared(least)[0]):
+            return out
+        low = least
+        while low < most and len(shared(min(2 * low, most))[0]):
+            low = min(2 * low, most)
+        high = min(2 * low - 1, most)
+        while low < high:  # the greatest shared length
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[0]) else (low, middle - 1)
+        x, y, p, q = shared(low)
+        by = np.argsort(q, kind="stable")
+        y, q = y[by], q[by]
+        place = np.searchsorted(q, p).tolist()
+        end = np.searchsorted(q, p, "right").tolist()
+        following = dict(zip(place, place))
+        for i, first, to in zip(x.tolist(), place, end):
+            if not (free_item[i] and free_item[i + low - 1]):
+                continue
+            k = following[first]
+            while k < to and not (free_doc[y[k]] and free_doc[y[k] + low - 1]):
+                k += 1
+            following[first] = k
+            if k < to:
+                free_item[i : i + low] = free_doc[y[k] : y[k] + low] = False
+                out.append((i, int(y[k]), low))
+        most = low - 1
+
+
 def _row(doc: int, item: int, words: np.ndarray, text: np.ndarray, least: int) -> tuple | None:
     found = tiles(words, text, least)
     if not found:
