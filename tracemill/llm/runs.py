@@ -226,9 +226,9 @@ def near_repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: floa
 def repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """Longest runs of two or more equal turns, columns as of :func:`near_repeated_turns`.
 
-    The segmentation gives runs of near-identical turns; the exact check keeps
-    of each those neighbours that are equal. No boundary lies between equal
-    turns, so each longest run of equal turns is a piece of one run.
+    These are the pieces that equal neighbours are joined into before the dynamic
+    program; its runs are not read here. No boundary lies between equal turns, so
+    each longest run of equal turns is a piece of one run.
     """
     equal = segmented_turns(messages, spellings, penalty).where("n_turns > 1")
     return equal.select("trace_id", "first_node", "last_node", "n_turns", _seconds("first_at", "last_at"))
