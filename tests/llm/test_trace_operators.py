@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 
 from tests.llm import reference as ref
 from tracemill.llm import messages as M
-from tracemill.llm.conversations import rebuild_conversations
+from tracemill.llm.conversations import NEVER, feasible, merged_order, rebuild_conversations
 from tracemill.llm.queries import queries
 from tracemill.llm.runs import _runs_of, near_repeated_turns, repeated_turns, segment
 from tracemill.tables import load
@@ -142,9 +142,56 @@ def test_clock_offsets_are_estimated(spark, spellings):
     for k in range(10):  # the tools' clock is 100 s behind
         rows.add("t", 1 + 2 * k, "assistant", "", [call(k)], after=10 * k + 1).add("t", 2 + 2 * k, "tool", "x", None, f"c{k}", after=10 * k + 2 - 100)
     rows.add("t", 21, "assistant", after=120)
-    by_role = {r.role: r.clock_offset_s for r in rebuild_conversations(rows.frame(spark), spellings).collect()}
+    turns = sorted(rebuild_conversations(rows.frame(spark), spellings).collect(), key=lambda r: r.pos)
+    by_role = {r.role: r.clock_offset_s for r in turns}
     assert 95 < by_role["tool"] - by_role["assistant"] < 100
     assert by_role["user"] == 0
+    assert [r.msg_id for r in turns] == list(range(1, 23))
+    assert all(a.corrected_at <= b.corrected_at for a, b in zip(turns, turns[1:]))
+    raw = [rows.rows[r.msg_id - 1][11] for r in turns]
+    assert sum(a > b for a, b in zip(raw, raw[1:])) == 10  # as recorded, each tool came first
+
+
+def test_clocks_across_chunks(spark, spellings):
+    """Skewed clocks in a trace of several chunks, a time missing: times rise along replies, places have no gap."""
+    rows = Rows()
+    n = sound_trace(rows, "long", 400)
+    skewed = [(*r[:11], None if r[4] in (0, 300) else r[11] - dt.timedelta(seconds=5000 if r[6] == "tool" else 0), r[12]) for r in rows.rows]
+    random.Random(4).shuffle(skewed)
+    turns = sorted(rebuild_conversations(spark.createDataFrame(skewed, SCHEMA), spellings).collect(), key=lambda r: r.pos)
+    assert [(r.pos, r.msg_id) for r in turns] == [(i, i + 1) for i in range(n)]
+    assert turns[0].corrected_at is None and turns[300].corrected_at == turns[299].corrected_at
+    assert all(a.corrected_at <= b.corrected_at for a, b in zip(turns[1:], turns[2:]))
+    assert 4990 < turns[2].clock_offset_s - turns[1].clock_offset_s < 5000
+    true = [int((START + dt.timedelta(seconds=i) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for i in range(n)]
+    shift = int(turns[1].clock_offset_s * 1e6)
+    assert all(abs(r.corrected_at - shift - t) < 5e6 for r, t in list(zip(turns, true))[1:])
+
+
+def test_the_merge_holds_replies_back():
+    """A turn takes the time of what it replies to if its own is earlier, also over the start of a chunk."""
+    times = np.array([10, 30, 20, 5, 5, 4])
+    order, held = merged_order(times, np.array([1, 2, 2, 1, 3, 2]), np.array([0, 3, 6]), np.array([NEVER, 5]))
+    assert order.tolist() == [0, 1, 2, 3, 4, 5] and held.tolist() == [10, 30, 30, 5, 5, 5]
+    assert feasible(np.array([0, 1, 2, 0]), np.array([-1, 0, 0, 3]), np.array([False, True, True, True])).tolist() == [True, True, False, False]
+
+
+def test_runs_come_from_the_segmentation(spark, small, spellings):
+    """Boundaries that are paid for leave every turn a run of its own; then nothing repeats."""
+    messages = load(spark, small, "trace_messages")
+    for penalty in (-1e-3, -1.0):
+        assert near_repeated_turns(messages, spellings, penalty).where("n_turns > 1").count() == 0
+        assert repeated_turns(messages, spellings, penalty).count() == 0
+    assert near_repeated_turns(messages, spellings, 1e9).where("n_turns > 1").count() > repeated_turns(messages, spellings, 1e9).count() > 0
+
+
+def test_missing_times_leave_no_duration(spark, spellings):
+    rows = Rows().add("t", 0, "user")
+    for k in range(1, 4):
+        rows.add("t", k, "assistant", "", [call(k, path="f")])
+    frame = spark.createDataFrame([(*r[:11], None if r[4] == 1 else r[11], r[12]) for r in rows.rows], SCHEMA)
+    assert [tuple(r) for r in repeated_turns(frame, spellings).collect()] == [("t", 1, 3, 3, None)]
+    assert [r.duration_s for r in repeated_turns(rows.frame(spark), spellings).collect()] == [2.0]
 
 
 def test_equal_turns():

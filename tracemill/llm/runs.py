@@ -5,9 +5,9 @@ runs plus a penalty for each boundary is smallest. Events are 64-bit feature
 vectors; the dissimilarity of a run is the share of bits that differ from its
 majority vector, summed over its events. Cutting a run never makes that dearer,
 so the dynamic program forgets a start as soon as it can't win (pruning), and
-the result stays optimal. Events of other names never share a run, and equal
-neighbours are never parted by an optimum, so they are joined beforehand into
-pieces; both parts the problem without changing its solution.
+the result stays optimal. Events of other names never share a run, which parts
+the problem. Unless boundaries are paid for no optimum parts equal neighbours, so
+the program steps over them as one event of their joint weight.
 
 Pieces of a stretch of equal names within one chunk of a trace are segmented
 where they are. Only stretches at the ends of chunks are shuffled, to be put
@@ -21,16 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.messages import CHUNK, chunk_edges, chunks, flat_messages
+from tracemill.session import cut
 
 PIECES = (
     "trace_id string, chunk bigint, place int, open boolean, first_node int, last_node int, n_turns int, first_at bigint, last_at bigint,"
-    " signature bigint, names bigint, bits bigint, head boolean, run_node int, run_last_node int, run_turns int, run_first_at bigint, run_last_at bigint"
+    " signature bigint, names bigint, bits bigint, head boolean, run_last_node int, run_turns int, run_last_at bigint,"
+    " same_head boolean, same_last_node int, same_turns int, same_last_at bigint"
 )
-_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+_NAMES, _KINDS = zip(*(x.split() for x in PIECES.split(", ")))
+_BASE = list(_NAMES[:12])  # what a piece has before it is segmented
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+#: Stands for a missing time within this module.
+NO_TIME = np.iinfo(np.int64).min
 #: A stretch of more pieces is handled as it comes, up to where all ways to go on agree.
 STRETCH = 20_000
 #: What a boundary costs, as the share of differing bits summed over a run.
@@ -88,24 +94,28 @@ def _runs_of(names: np.ndarray, fresh: np.ndarray, bits: np.ndarray, weights: np
     return head
 
 
-def _labelled(columns: dict[str, np.ndarray], head: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns of each piece's run."""
+def _spans(prefix: str, columns: dict[str, np.ndarray], head: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the span that begins at a head, its last node, turns and last time, at each of its pieces."""
     start = np.flatnonzero(head)
-    run = np.cumsum(head) - 1
+    of = np.cumsum(head) - 1
     stop = np.r_[start[1:], len(head)] - 1
-    return {
-        "head": head,
-        "run_node": columns["first_node"][start][run],
-        "run_last_node": columns["last_node"][stop][run],
-        "run_turns": np.add.reduceat(columns["n_turns"], start)[run] if len(start) else run,
-        "run_first_at": columns["first_at"][start][run],
-        "run_last_at": columns["last_at"][stop][run],
-    }
+    turns = np.add.reduceat(columns["n_turns"], start) if len(start) else start
+    return {f"{prefix}_last_node": columns["last_node"][stop][of], f"{prefix}_turns": turns[of], f"{prefix}_last_at": columns["last_at"][stop][of]}
+
+
+def _labelled(columns: dict[str, np.ndarray], head: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns with each piece's run, and with the stretch of equal events of that run it lies in."""
+    same = head.copy()
+    same[1:] |= columns["signature"][1:] != columns["signature"][:-1]
+    return columns | {"head": head, "same_head": same} | _spans("run", columns, head) | _spans("same", columns, same)
 
 
 def _batch(trace: pa.Array, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    kinds = {"chunk": pa.int64(), "first_at": pa.int64(), "last_at": pa.int64(), "signature": pa.int64(), "names": pa.int64(), "bits": pa.int64(), "run_first_at": pa.int64(), "run_last_at": pa.int64(), "open": pa.bool_(), "head": pa.bool_()}
-    return pa.RecordBatch.from_arrays([trace, *(pa.array(columns[c].astype(bool) if kinds.get(c) == pa.bool_() else columns[c], kinds.get(c, pa.int32())) for c in _NAMES[1:])], _NAMES)
+    def column(name: str, kind: str) -> pa.Array:
+        values = columns[name]
+        return pa.array(values.astype(bool) if kind == "boolean" else values, _ARROW[kind], mask=values == NO_TIME if name.endswith("_at") else None)
+
+    return pa.RecordBatch.from_arrays([trace, *map(column, _NAMES[1:], _KINDS[1:])], _NAMES)
 
 
 def _within_chunks(penalty: float):
@@ -118,13 +128,13 @@ def _within_chunks(penalty: float):
             if not len(turn):
                 continue
             seg, sig = seg[turn], np.asarray(at["signature"])[turn]
-            start = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (sig[1:] != sig[:-1])])
+            start = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (sig[1:] != sig[:-1]) | (penalty < 0)])
             stop = np.r_[start[1:], len(turn)] - 1
             pseg = seg[start]
             first = np.r_[True, pseg[1:] != pseg[:-1]]
             a, b = turn[start], turn[stop]
             node = np.asarray(at["node"].fill_null(-1)).astype(np.int64)
-            time = np.asarray(at["recorded_at"].fill_null(0)).astype(np.int64)
+            time = np.asarray(at["recorded_at"].fill_null(NO_TIME)).astype(np.int64)
             names = np.asarray(at["names"])[a]
             c = {"chunk": node[a] // CHUNK, "first_node": node[a], "last_node": node[b], "n_turns": stop - start + 1, "first_at": time[a], "last_at": time[b], "signature": sig[start], "names": names, "bits": np.asarray(at["bits"])[a]}
             lead = np.flatnonzero(first)
@@ -137,7 +147,7 @@ def _within_chunks(penalty: float):
             ends[stretch[first & (c["chunk"] != 0)]] = True
             c["open"] = ends[stretch]
             head = _runs_of(names, first, c["bits"], c["n_turns"].astype(np.float64), penalty)
-            yield _batch(at["trace_id"].take(pa.array(a)), c | _labelled(c, head))
+            yield _batch(at["trace_id"].take(pa.array(a)), _labelled(c, head))
 
     return run
 
@@ -147,11 +157,11 @@ def _across_chunks(penalty: float):
 
     def pieces(rows: pa.Table) -> tuple[pa.Array, dict[str, np.ndarray], np.ndarray]:
         trace = rows["trace_id"].combine_chunks()
-        c = {name: np.asarray(rows[name]).astype(np.int64) for name in _NAMES[1:12]}
+        c = {name: np.asarray(rows[name].fill_null(NO_TIME) if name.endswith("_at") else rows[name]).astype(np.int64) for name in _BASE[1:]}
         n = len(c["chunk"])
         same_chunk = c["chunk"][1:] == c["chunk"][:-1]
         apart = np.asarray(pc.not_equal(trace.slice(1), trace.slice(0, n - 1))) | (same_chunk & (c["place"][1:] != c["place"][:-1] + 1))
-        new = np.r_[True, apart | (c["signature"][1:] != c["signature"][:-1])]
+        new = np.r_[True, apart | (c["signature"][1:] != c["signature"][:-1]) | (penalty < 0)]
         start = np.flatnonzero(new)
         stop = np.r_[start[1:], n] - 1
         out = {k: v[start] for k, v in c.items()}
@@ -170,7 +180,7 @@ def _across_chunks(penalty: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch]).select(_NAMES[:12])
+            rows = pa.Table.from_batches([batch]).select(_BASE)
             rows = rows if rest is None else pa.concat_tables([rest, rows])
             trace, c, fresh = pieces(rows)
             n = len(fresh)
@@ -193,42 +203,46 @@ def _across_chunks(penalty: float):
         fresh = fresh.copy()
         fresh[0] = True
         head = _runs_of(part["names"], fresh, part["bits"], part["n_turns"].astype(np.float64), penalty)
-        return _batch(trace, part | _labelled(part, head))
+        return _batch(trace, _labelled(part, head))
 
     return run
 
 
 def segmented_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
-    """The pieces of all traces (neighbouring equal turns, as TESTDATA.md defines them), each with its run.
+    """The events of all traces, equal neighbours as one piece of ``n_turns``, each with its run.
 
     A piece has ``trace_id, first_node, last_node, n_turns, first_at, last_at``
-    (recorded, microseconds), its run ``run_node`` (first node), ``run_last_node,
-    run_turns, run_first_at, run_last_at``; ``head`` marks a run's first piece.
-    Rows without a trace id or node, of other roles, or without readable calls are
-    no turns; a missing time counts as 0; equal deliveries count once.
+    (recorded, microseconds). ``head`` marks the first piece of a run of the
+    segmentation, ``same_head`` the first of a stretch of equal events (as
+    TESTDATA.md defines them) within a run; ``run_last_node, run_turns, run_last_at``
+    and ``same_last_node, same_turns, same_last_at`` tell how far each goes. With a negative penalty
+    nothing is joined and each event is a run. Rows without a trace id
+    or node, of other roles, or without readable calls are no events; a missing
+    time is null; equal deliveries count once.
     """
-    pieces = flat_messages(messages, spellings, signed=True).mapInArrow(_within_chunks(penalty), PIECES)
-    ends = pieces.where("open").repartition("trace_id").sortWithinPartitions("trace_id", "chunk", "place")
-    out = ["trace_id", "first_node", "last_node", "n_turns", "first_at", "last_at", "head", "run_node", "run_last_node", "run_turns", "run_first_at", "run_last_at"]
-    return pieces.where("not open").select(out).unionByName(ends.mapInArrow(_across_chunks(penalty), PIECES).select(out))
+    pieces = cut(flat_messages(messages, spellings, signed=True).mapInArrow(_within_chunks(penalty), PIECES), "pieces")
+    ends = pieces.where("open").select(_BASE).repartition("trace_id").sortWithinPartitions("trace_id", "chunk", "place")
+    return pieces.where("not open").unionByName(ends.mapInArrow(_across_chunks(penalty), PIECES)).drop("chunk", "place", "open", "signature", "names", "bits")
 
 
-def _seconds(first: str, last: str) -> Column:
-    return ((F.col(last) - F.col(first)) / 1e6).alias("duration_s")
+def _found(pieces: DataFrame, of: str) -> DataFrame:
+    seconds = ((F.col(f"{of}_last_at") - F.col("first_at")) / 1e6).alias("duration_s")
+    return pieces.select("trace_id", "first_node", F.col(f"{of}_last_node").alias("last_node"), F.col(f"{of}_turns").alias("n_turns"), seconds)
 
 
 def near_repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
-    """All runs of near-identical turns, single turns included: ``trace_id, first_node, last_node, n_turns, duration_s``."""
-    runs = segmented_turns(messages, spellings, penalty).where("head")
-    return runs.select("trace_id", F.col("run_node").alias("first_node"), F.col("run_last_node").alias("last_node"), F.col("run_turns").alias("n_turns"), _seconds("run_first_at", "run_last_at"))
+    """All runs of near-identical turns, single turns included: ``trace_id, first_node, last_node, n_turns, duration_s``.
+
+    The duration lies between the recorded times of the first and the last turn;
+    it is null if one of them is missing.
+    """
+    return _found(segmented_turns(messages, spellings, penalty).where("head"), "run")
 
 
 def repeated_turns(messages: DataFrame, spellings: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """Longest runs of two or more equal turns, columns as of :func:`near_repeated_turns`.
 
-    These are the pieces that equal neighbours are joined into before the dynamic
-    program; its runs are not read here. No boundary lies between equal turns, so
-    each longest run of equal turns is a piece of one run.
+    The runs of the segmentation, each split where neighbours aren't equal. As no
+    optimum parts equal neighbours, no longest run of equal turns is cut by a run's end.
     """
-    equal = segmented_turns(messages, spellings, penalty).where("n_turns > 1")
-    return equal.select("trace_id", "first_node", "last_node", "n_turns", _seconds("first_at", "last_at"))
+    return _found(segmented_turns(messages, spellings, penalty).where("same_head and same_turns > 1"), "same")
