@@ -11,7 +11,7 @@ from tracemill.llm.chunking import PARAGRAPH, SENTENCE, RangeMaximum, pieces, sp
 from tracemill.llm.mixing import Mixture, count_tokens
 from tracemill.llm.queries import queries
 from tracemill.llm.splits import assign_splits, related_groups, task_entities
-from tracemill.llm.tokens import RANKS, tokenizer
+from tracemill.llm.tokens import LONG_RUN, RANKS, tokenizer
 from tracemill.tables import load
 
 import numpy as np
@@ -95,6 +95,21 @@ def test_multipliers_solve_the_dual(spark):
         assert abs(sum(uses) - x["weight"] * mix.total) < 1e-3
 
 
+def test_mixture_without_solution_is_an_error(spark):
+    targets = spark.createDataFrame([("a", 0.2, 2), ("b", 0.8, 3)], "source string, weight double, max_repeats int")
+    with pytest.raises(RuntimeError, match="no solution"):
+        Mixture(documents(spark, 3), targets, total=3000.0, most_steps=1)
+
+
+def test_long_texts_have_the_tokens_of_the_whole():
+    """White space and words far longer than the pattern's matcher takes; near the limit the plain call says the same."""
+    tok, n = tokenizer(RANKS), LONG_RUN
+    for text in ("a b" + " " * n + "c d", "a" + "\n" * n + "b", " " * n, " " * n + "x", "x" + "\t \n" * n, "a" + " " * (n - 1) + "b", "a \x1c" + "\u3000" * n + "!", ("word " * 30 + "\n" * n) * 3 + "é"):
+        assert tok.encode(text) == tok._encode(text)
+    assert tok.count("abcdefghij" * 12_000) == 8 * 6000 == tok.count("abcdefghij") * 12_000
+    assert tok.count("x" + "\n" * 3_000_000 + "y") == 2 + tok.count("\n" * (3_000_000 - 1)) + 1
+
+
 def test_tokens_are_those_of_the_tokenizer(spark):
     tok = tokenizer(RANKS)
     texts = ["", "plain words", "né à   Zürich\r\n\n§", "x" * 250_000, " " * 5000]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -11,8 +12,10 @@ import numpy as np
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that parts texts before merges. A fixed value of that tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longest piece of a text encoded in one call; a cut is made at white space where there is some.
-LONGEST = 100_000
+#: Runs of white space (as the pattern has it) that are too long for its matcher.
+LONG_RUN = 10_000
+_WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{LONG_RUN},}}")
 
 
 class Tokenizer:
@@ -23,23 +26,25 @@ class Tokenizer:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode, self._encode_part = encoding.encode_ordinary, encoding._encode_single_piece
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LONGEST:
-            return self._encode(text)
+        """The tokens of a whole text, however long.
+
+        The pattern makes a run of white space one part, but for its last character
+        where something follows. Long runs are parted here in that way.
+        """
         out, at = [], 0
-        while at < len(text):
-            to = at + LONGEST
-            if to < len(text):
-                space = max(text.rfind(c, at + LONGEST // 2, to) for c in " \n\t")
-                to = space if space > at else to
-            out += self._encode(text[at:to])
-            at = to
-        return out
+        for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() - (run.end() < len(text))
+            out += self._encode(text[at : run.start()])
+            out += self._encode_part(text[run.start() : end])
+            at = end
+        return out + self._encode(text[at:])
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text)) if text else 0
