@@ -174,7 +174,7 @@ def test_awkward_rows(spark):
     got = {(r.record_id_held, r.record_id_train) for r in find_overlaps(records, 0.7, 3).collect()}
     assert got == {(4, 5), (6, 5)}
     empty = records.limit(0)
-    assert find_overlaps(empty, 0.7, 3).count() == 0 and len(find_overlaps(empty).columns) == 7
+    assert find_overlaps(empty, 0.7, 3).count() == 0 and len(find_overlaps(empty).columns) == 8
 
     lists = records.select("record_id", F.array("text", F.lit(None)).alias("texts"), "gram", "cls")
     lists = lists.unionByName(spark.createDataFrame([(50, None, "g", 1), (51, [], "g", 1)], "record_id bigint, texts array<string>, gram string, cls int"))

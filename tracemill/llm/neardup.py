@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.wordhash import distinct_in, grams_of, list_array, words_of
+from tracemill.functions.wordhash import distinct_in, grams_of, words_of
 from tracemill.llm import shingles as S
 from tracemill.llm.components import connected_components
 from tracemill.session import cut
 
 #: Bits of the fingerprints the pivots are compared with, and words of those in the join.
-BITS, PRINT = 1024, 8
-#: Reference fingerprints, records drawn by hash: a fixed number, whatever the collection.
-PIVOTS = 64
+BITS, PRINT = 1024, 4
+#: Reference fingerprints, records drawn by hash: a fixed number, whatever the collection; and those whose distances go into the join.
+PIVOTS, NEAR = 64, 4
 
 
 def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -46,74 +46,67 @@ def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(k: int):
-    """Distinct shingles of all texts of a row, each text for itself."""
+def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of the texts of each row, each text for itself, and their bounds."""
+    words, bounds = words_of(texts.flatten())
+    grams, at = grams_of(words, bounds, k)
+    offsets = np.asarray(texts.offsets)
+    return distinct_in(grams, at[offsets - offsets[0]])
+
+
+def _units(k: int):
+    """The rows with a shingle, with signatures of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = S.row_ids()
         for whole in batches:
             for batch in S.parts_of(whole, 1000):
-                texts = S.column(batch, "texts")
-                words, bounds = words_of(texts.flatten())
-                grams, at = grams_of(words, bounds, k)
-                edges = at[np.asarray(texts.offsets) - np.asarray(texts.offsets)[0]]
-                grams, at = distinct_in(grams, edges)
-                one, two = S.signatures(grams, at)
+                grams, at = sets_of(S.column(batch, "texts"), k)
                 n = np.diff(at)
                 out = pa.RecordBatch.from_arrays(
-                    [S.column(batch, "id"), pa.array(one), pa.array(two), pa.array(n.astype(np.int32)), list_array(grams, at)],
-                    ["id", "sig1", "sig2", "n", "grams"],
+                    [pa.array([next(ids) for _ in range(batch.num_rows)], pa.int64()), S.column(batch, "id"), *map(pa.array, S.signatures(grams, at)), pa.array(n.astype(np.int32)), S.column(batch, "texts")],
+                    ["row", "id", "sig1", "sig2", "n", "texts"],
                 )
                 yield out.filter(pa.array(n > 0))
 
     return run
 
 
-def _probes(counts, pivots, t: float):
+def _probes(counts, pivots, t: float, k: int):
     """The rarest shingles of each class, with its coordinates and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in S.parts_of(whole, 1000):
-                grams, at = S.lists(batch, "grams")
-                n = np.diff(at)
-                row = np.repeat(np.arange(batch.num_rows), n)
-                order = np.lexsort((S.ranks(grams, counts.value), row))
-                most = S.probes(n, t)
-                take = S.first_of(order, at, most)
-                r = row[take]
-                place = np.arange(len(take)) - np.repeat(np.cumsum(most) - most, most)
-                table = distances(S.fingerprints(grams, at, BITS), pivots.value)
-                near = np.ascontiguousarray(table[:, :8]).view(np.int64)
+                grams, at = sets_of(S.column(batch, "texts"), k)
+                take, r, place = S.rarest(grams, at, counts.value, t)
+                near = np.ascontiguousarray(distances(S.fingerprints(grams, at, BITS), pivots.value[:NEAR])).view(np.int64)
                 prints = S.fingerprints(grams, at, 64 * PRINT)
+                of = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[take].view(np.int64)), S.column(batch, "cls").take(pa.array(r)), S.column(batch, "n").take(pa.array(r)), pa.array(place.astype(np.int32))]
-                    + [pa.array(near[r, i]) for i in (0, 1)]
+                    [pa.array(grams[take].view(np.int64)), S.column(batch, "cls").take(of), S.column(batch, "n").take(of), pa.array(place.astype(np.int32)), pa.array(near[r, 0])]
                     + [pa.array(prints[r, i]) for i in range(PRINT)],
-                    ["gram", "cls", "n", "place", "near1", "near2", *(f"f{i}" for i in range(PRINT))],
+                    ["gram", "cls", "n", "place", "near", *(f"f{i}" for i in range(PRINT))],
                 )
 
     return run
 
 
 def _apart(a: str, b: str) -> Column:
-    """The largest difference of the first eight pivot distances, 16 bits each."""
-    gaps = [
-        F.abs(F.shiftright(f"{a}.near{w}", 16 * i).bitwiseAND(0xFFFF) - F.shiftright(f"{b}.near{w}", 16 * i).bitwiseAND(0xFFFF))
-        for w in (1, 2)
-        for i in range(4)
-    ]
+    """The largest difference of the first pivot distances, 16 bits each."""
+    gaps = [F.abs(F.shiftright(f"{a}.near", 16 * i).bitwiseAND(0xFFFF) - F.shiftright(f"{b}.near", 16 * i).bitwiseAND(0xFFFF)) for i in range(NEAR)]
     return F.greatest(*gaps)
 
 
-def _verified(pivots, t: float, stats: bool):
+def _verified(pivots, t: float, k: int, stats: bool):
     """Discard by the whole table, then count; ``stats`` yields counts of both instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3, np.int64)
         for whole in batches:
             for batch in S.parts_of(whole, 2000):
-                a, ab = S.lists(batch, "grams_a")
-                b, bb = S.lists(batch, "grams_b")
+                a, ab = sets_of(S.column(batch, "texts_a"), k)
+                b, bb = sets_of(S.column(batch, "texts_b"), k)
                 na, nb = np.diff(ab), np.diff(bb)
                 x, y = (distances(S.fingerprints(g, e, BITS), pivots.value).astype(np.int32) for g, e in ((a, ab), (b, bb)))
                 left = np.abs(x - y).max(axis=1, initial=0) <= na + nb - 2 * S.least_common(na, nb, t)
@@ -144,22 +137,20 @@ class NearDuplicates:
     """
 
     def __init__(self, records: DataFrame, id_column: str, texts: str, threshold: float = 0.8, shingle: int = 5, pivots: int = PIVOTS):
-        self.threshold = threshold
+        self.threshold, self.shingle = threshold, shingle
         source = records.select(F.col(id_column).cast("bigint").alias("id"), F.col(texts).alias("texts")).where("id is not null and size(texts) > 0")
-        self.units = cut(source.mapInArrow(_sets(shingle), "id bigint, sig1 bigint, sig2 bigint, n int, grams array<bigint>"), "units")
-        key = ["sig1", "sig2"]
-        self.classes = cut(
-            self.units.groupBy(*key).agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.min("n").alias("n"), F.min_by("grams", "id").alias("grams")).withColumn("cls", F.xxhash64(*key)),
-            "classes",
-        )
-        self.members = self.units.select("id", F.xxhash64(*key).alias("cls"))
-        context = self.classes.sparkSession.sparkContext
-        counts = context.broadcast(S.sketch(self.classes.select("grams"), lambda batch: S.lists(batch, "grams")[0]))
-        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(max(pivots, 8)).select("grams").collect()
-        prints = [S.fingerprints(np.array(r.grams, np.int64).view(np.uint64), np.array([0, len(r.grams)]), BITS)[0] for r in drawn]
-        prints += [np.zeros(BITS // 64, np.int64)] * max(0, 8 - len(prints))
+        self.units = cut(source.mapInArrow(_units(shingle), "row bigint, id bigint, sig1 bigint, sig2 bigint, n int, texts array<string>"), "units")
+        self.several, self.copies = S.copies_of(self.units.select("row", "id", "sig1", "sig2"), ["sig1", "sig2"], F.min("id").alias("first_id"))
+        self.classes = self.units.join(self.copies.select("row"), "row", "left_anti").select(F.col("row").alias("cls"), "id", "n", "texts")
+        self.members = self.units.select("row", "id").join(self.copies, "row", "left").select("id", F.coalesce("cls", "row").alias("cls"))
+        context = self.units.sparkSession.sparkContext
+        total = self.units.agg(F.sum("n")).first()[0] or 0
+        counts = context.broadcast(S.sketch(self.classes.select("texts"), lambda batch: sets_of(batch.column(0), shingle)[0], total))
+        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(max(pivots, NEAR)).select("texts").collect()  # a fixed number of records
+        prints = [*S.fingerprints(*sets_of(pa.array([r.texts for r in drawn], pa.list_(pa.string())), shingle), BITS)] if drawn else []
+        prints += [np.zeros(BITS // 64, np.int64)] * max(0, NEAR - len(prints))
         self._pivots = context.broadcast(np.array(prints))
-        self._probes = self.classes.select("cls", "n", "grams").mapInArrow(_probes(counts, self._pivots, threshold), "gram bigint, cls bigint, n int, place int, near1 bigint, near2 bigint" + "".join(f", f{i} bigint" for i in range(PRINT)))
+        self._probes = self.classes.select("cls", "n", "texts").mapInArrow(_probes(counts, self._pivots, threshold, shingle), "gram bigint, cls bigint, n int, place int, near bigint" + "".join(f", f{i} bigint" for i in range(PRINT)))
 
     def _candidates(self, pivots: bool = True) -> DataFrame:
         """Pairs of classes that share a rare shingle and pass the bounds; a is the smaller set."""
@@ -170,8 +161,7 @@ class NearDuplicates:
         on = (
             (F.col("a.gram") == F.col("b.gram"))
             & F.expr("a.n < b.n or (a.n = b.n and a.cls < b.cls)")
-            & F.expr(f"a.n >= {t!r}D * b.n - 1e-9D")
-            & F.expr(f"least(a.n - a.place, b.n - b.place) >= {S.least_common_sql('a.n', 'b.n', t)}")
+            & F.expr(S.meet_sql("a.", "b.", t))
         )
         if pivots:
             on = on & (_apart("a", "b") <= bound)
@@ -179,12 +169,12 @@ class NearDuplicates:
         return pairs.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
 
     def _compared(self, stats: bool, schema: str) -> DataFrame:
-        sets = self.classes.select("cls", "grams")
+        texts = self.classes.select("cls", "texts")
         return (
             self._candidates(not stats)
-            .join(sets.toDF("cls_a", "grams_a"), "cls_a")
-            .join(sets.toDF("cls_b", "grams_b"), "cls_b")
-            .mapInArrow(_verified(self._pivots, self.threshold, stats), schema)
+            .join(texts.toDF("cls_a", "texts_a"), "cls_a")
+            .join(texts.toDF("cls_b", "texts_b"), "cls_b")
+            .mapInArrow(_verified(self._pivots, self.threshold, self.shingle, stats), schema)
         )
 
     def class_pairs(self) -> DataFrame:
@@ -205,8 +195,7 @@ class NearDuplicates:
         """Similar records ``id_a < id_b``, copies included."""
         a = self.members.select(F.col("id").alias("id_a"), F.col("cls").alias("cls_a"))
         b = self.members.select(F.col("id").alias("id_b"), F.col("cls").alias("cls_b"))
-        several = self.classes.where("copies > 1").select("cls")
-        own = a.join(several, a.cls_a == several.cls, "left_semi")
+        own = a.join(self.several, a.cls_a == self.several.cls, "left_semi")
         within = own.join(b, own.cls_a == b.cls_b).select("id_a", "id_b").where("id_a < id_b")
         across = self.class_pairs().join(a, "cls_a").join(b, "cls_b").select("id_a", "id_b").where("id_a <> id_b")
         return within.unionByName(across).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
@@ -216,7 +205,7 @@ class NearDuplicates:
         number of similar other classes (``links``), and ``group_id``, the smallest id
         among all that are linked to it, also by way of others."""
         pairs = cut(self.class_pairs().select("cls_a", "cls_b"), "pairs")
-        first = self.classes.select("cls", "first_id")
+        first = self.classes.join(self.several.select("cls", "first_id"), "cls", "left").select("cls", F.coalesce("first_id", "id").alias("first_id"))
         edges = (
             pairs.join(first.toDF("cls_a", "a"), "cls_a").join(first.toDF("cls_b", "b"), "cls_b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         )

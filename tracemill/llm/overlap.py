@@ -2,18 +2,19 @@
 
 Winnowing: of each window of consecutive rolling hashes of some words the
 minimum is selected, in an order that puts rare hashes first. The selected
-hashes of the evaluation side meet the hashes of the train side in one join.
-The seeds a pair of texts shares are chained where they lie in the same order,
-the chain is extended word by word, and the words under it are the coverage. An
-exact count of the common shingles decides.
-
-No pair is missed: if t is the similarity asked for, a text of n shingles shares
-at least t*n of them with any similar text, so n - ceil(t*n) + 1 selected
-ones always contain a shared one. Windows of three select that many of most
-texts; where they don't, the rarest others are added, and where they select
-more, the most frequent are left out. So boilerplate is a seed only in texts
-that are almost nothing else. With each hash goes a parity fingerprint of the
-whole set; texts too far apart by it are dropped within the join.
+hashes of the two sides meet in one join. The seeds a pair of texts shares are
+chained where they lie in the same order, the chain is extended word by word,
+and the words under it are the coverage. An exact count of the common shingles
+decides.
+
+Window minima alone may miss a pair: a shared hash that is the minimum of its
+window in one text needn't be in the other. So that none is missed both sides
+select their n - ceil(t n) + 1 rarest hashes, most of which are window minima
+(``winnowed`` tells of a pair whether minima of both met): of similar texts the
+rarest hash they share is among these on both sides. Frequent minima are left
+out, so boilerplate is a seed only in texts that are almost nothing else. With
+each hash goes a parity fingerprint of the whole set; texts too far apart by it
+are dropped within the join.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.wordhash import distinct_in, grams_of, list_array, slices, words_of
+from tracemill.functions.wordhash import distinct_in, grams_of, slices, words_of
 from tracemill.llm import shingles as S
 from tracemill.session import cut
 
@@ -34,8 +35,9 @@ from tracemill.session import cut
 WINDOW = 3
 #: Words of the fingerprints that go with each hash into the join.
 PRINT = 4
-#: Bits of the filter of selected hashes: 4 MB, however many there are.
-FILTER = 1 << 25
+#: Bits of the filter of selected hashes: this many for each, between the two bounds (32 MB at most); with over half the upper bound hashes there is none.
+FILTER_BITS, FILTER = 8, (1 << 18, 1 << 28)
+BLOCK = 1 << 18
 
 
 def _distinct(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,102 +116,86 @@ def align(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int]:
 
 def _units(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = S.row_ids()
         for whole in batches:
             for batch in slices(whole, "text"):
-                words, bounds = words_of(S.column(batch, "text"))
-                grams, at = _distinct(words, bounds, k)
-                one, two = S.signatures(grams, at)
+                grams, at = _distinct(*words_of(S.column(batch, "text")), k)
                 n = np.diff(at)
                 out = pa.RecordBatch.from_arrays(
-                    [S.column(batch, "record_id"), S.column(batch, "field"), S.column(batch, "held"), pa.array(one), pa.array(two), pa.array(n.astype(np.int32)), list_array(words, bounds)],
-                    ["record_id", "field", "held", "sig1", "sig2", "n", "words"],
+                    [pa.array([next(ids) for _ in range(batch.num_rows)], pa.int64()), *(S.column(batch, c) for c in ("record_id", "field", "held")), *map(pa.array, S.signatures(grams, at)), pa.array(n.astype(np.int32)), S.column(batch, "text")],
+                    ["row", "record_id", "field", "held", "sig1", "sig2", "n", "text"],
                 )
                 yield out.filter(pa.array(n > 0))
 
     return run
 
 
-def _selected(shared, t: float, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for whole in batches:
-            for batch in S.parts_of(whole, 2000):
-                words, bounds = S.lists(batch, "words")
-                salt = np.asarray(S.column(batch, "field")).astype(np.uint64)
-                grams, at = grams_of(words, bounds, k)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                keys = S.ranks(grams, counts)
-                chosen = winnowed(keys, at, WINDOW)
-                order = np.lexsort((keys, ~chosen, grams, row))  # of equal grams a selected one first
-                g, r = grams[order], row[order]
-                first = np.ones(len(g), bool)
-                first[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-                at_first = order[first]
-                r = row[at_first]
-                edges = np.searchsorted(r, np.arange(batch.num_rows + 1))
-                by = np.lexsort((keys[at_first], ~chosen[at_first], r))
-                n = np.diff(edges)
-                take = at_first[S.first_of(by, edges, S.probes(n, t))]
-                prints = S.fingerprints(grams[at_first], edges, 64 * PRINT)[row[take]]
-                r = pa.array(row[take])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((grams[take] ^ salt[row[take]]).view(np.int64)), S.column(batch, "cls").take(r), S.column(batch, "n").take(r), *map(pa.array, prints.T)],
-                    ["gram", "held_cls", "held_n", *(f"h{i}" for i in range(PRINT))],
-                )
+SELECTED = "gram bigint, cls bigint, n int, place int, minimum boolean" + "".join(f", f{i} bigint" for i in range(PRINT))
 
-    return run
 
+def _selected(shared, t: float, k: int, known=None):
+    """The rarest hashes of each class, marked if the minimum of a window; with a filter only those it knows."""
 
-def _indexed(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        counts = shared.value
         for whole in batches:
-            for batch in S.parts_of(whole, 2000):
-                words, bounds = S.lists(batch, "words")
-                grams, at = _distinct(words, bounds, k)
+            for batch in slices(whole, "text"):
+                words, bounds = words_of(S.column(batch, "text"))
+                grams, at = grams_of(words, bounds, k)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                prints = S.fingerprints(grams, at, 64 * PRINT)
-                grams ^= np.asarray(S.column(batch, "field")).astype(np.uint64)[row]
-                h = grams & np.uint64(FILTER - 1)
-                good = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                r = pa.array(row[good])
+                chosen = winnowed(S.ranks(grams, counts), at, WINDOW)
+                order = np.lexsort((~chosen, grams, row))  # of equal grams a selected one first
+                grams, row, chosen = grams[order], row[order], chosen[order]
+                first = np.ones(len(grams), bool)
+                first[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+                grams, chosen = grams[first], chosen[first]
+                edges = np.searchsorted(row[first], np.arange(batch.num_rows + 1))
+                prints = S.fingerprints(grams, edges, 64 * PRINT)
+                take, r, place = S.rarest(grams, edges, counts, t)
+                keys = grams[take] ^ np.asarray(S.column(batch, "field")).astype(np.uint64)[r]
+                if known is not None:
+                    bits = known.value
+                    h = keys & np.uint64(8 * len(bits) - 1)
+                    good = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    take, r, place, keys = take[good], r[good], place[good], keys[good]
+                of = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[good].view(np.int64)), S.column(batch, "cls").take(r), S.column(batch, "n").take(r), *map(pa.array, prints[row[good]].T)],
-                    ["gram", "train_cls", "train_n", *(f"t{i}" for i in range(PRINT))],
+                    [pa.array(keys.view(np.int64)), S.column(batch, "cls").take(of), S.column(batch, "n").take(of), pa.array(place.astype(np.int32)), pa.array(chosen[take]), *map(pa.array, prints[r].T)],
+                    [x.split()[0] for x in SELECTED.split(", ")],
                 )
 
     return run
 
 
-def _bits(selected: DataFrame) -> np.ndarray:
-    """The filter of all selected hashes, built in the tasks, ORed in the driver in eight parts."""
+def _filter(selected: DataFrame) -> np.ndarray | None:
+    """Bits of all selected hashes; each block of them is made by one task. None if there are too many for a filter."""
+    n = selected.count()
+    if 2 * n > FILTER[1]:
+        return None
+    size = min(max(1 << (FILTER_BITS * n).bit_length(), FILTER[0]), FILTER[1])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            g = np.asarray(batch.column(0)).view(np.uint64)
-            bits[(g & np.uint64(FILTER - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+            h = (np.asarray(batch.column(0)).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            for i in np.unique(h // BLOCK).tolist():
+                blocks.setdefault(i, np.zeros(BLOCK, bool))[h[h // BLOCK == i] % BLOCK] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in blocks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER // 8, np.uint8)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                bits |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(FILTER // 8, np.uint8)
-    for row in selected.select("gram").mapInArrow(mark, "bits binary").repartition(4).mapInArrow(merge, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, np.uint8)
-    return bits
+    bits = np.zeros((size // BLOCK, BLOCK // 8), np.uint8)
+    grams = selected.select("gram").repartition(F.expr(f"(gram & {size - 1}L) div {BLOCK}"))
+    for row in grams.mapInArrow(mark, "block int, bits binary").toLocalIterator():
+        bits[row.block] |= np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
 
 
 def _verified(t: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in S.parts_of(whole, 2000):
-                a, ab = S.lists(batch, "held_words")
-                b, bb = S.lists(batch, "train_words")
+            for batch in slices(whole, "held_text"):
+                a, ab = words_of(S.column(batch, "held_text"))
+                b, bb = words_of(S.column(batch, "train_text"))
                 da, dab = _distinct(a, ab, k)
                 db, dbb = _distinct(b, bb, k)
                 both = S.common(da, dab, db, dbb)
@@ -219,8 +205,8 @@ def _verified(t: float, k: int):
                 seeds, ca, cb = (np.array(x, np.int32) for x in (zip(*chains) if chains else ([], [], [])))
                 r = pa.array(good)
                 yield pa.RecordBatch.from_arrays(
-                    [S.column(batch, "held_cls").take(r), S.column(batch, "train_cls").take(r), pa.array((both / np.maximum(either, 1))[good]), pa.array(seeds), pa.array(ca / np.diff(ab)[good]), pa.array(cb / np.diff(bb)[good])],
-                    ["held_cls", "train_cls", "similarity", "seeds", "held_coverage", "train_coverage"],
+                    [*(S.column(batch, c).take(r) for c in ("held_cls", "train_cls", "winnowed")), pa.array((both / np.maximum(either, 1))[good]), pa.array(seeds), pa.array(ca / np.diff(ab)[good]), pa.array(cb / np.diff(bb)[good])],
+                    ["held_cls", "train_cls", "winnowed", "similarity", "seeds", "held_coverage", "train_coverage"],
                 )
 
     return run
@@ -234,57 +220,44 @@ def find_overlaps(records: DataFrame, threshold: float = 0.8, shingle: int = 5)
     The result has a row per pair and field: ``record_id_held``,
     ``record_id_train``, ``field``, ``similarity`` (of their sets of ``shingle`` words, at least ``threshold``),
     ``seeds``, ``held_coverage``, ``train_coverage`` (share of words under the
-    extended chain).
+    extended chain), ``winnowed`` (window minima of both met).
 
     Rows with a null in any of the four, and texts of fewer words,
     pair with nothing; other columns are ignored. Equal texts form one class,
     compared once and expanded at the end; an id given twice with one field
     appears for each of its texts.
     """
-    units = cut(
-        records.select(F.col("record_id").cast("bigint"), F.col("field").cast("int"), "held", "text")
-        .dropna()
-        .mapInArrow(_units(shingle), "record_id bigint, field int, held boolean, sig1 bigint, sig2 bigint, n int, words array<bigint>"),
-        "units",
-    )
-    key = ["field", "sig1", "sig2"]
-    classes = cut(
-        units.groupBy(*key).agg(
-            F.max("held").alias("some_held"),
-            F.min("held").alias("all_held"),
-            F.min("n").alias("n"),
-            F.min_by("words", "record_id").alias("words"),
-        ).withColumn("cls", F.xxhash64(*key)),
-        "classes",
-    )
-    context = classes.sparkSession.sparkContext
-    counts = S.sketch(classes.select("words"), lambda batch: _distinct(*S.lists(batch, "words"), shingle)[0])
-    shape = classes.select("cls", "field", "n", "words")
-    selected = cut(
-        shape.where(classes.some_held).mapInArrow(_selected(context.broadcast(counts), threshold, shingle), "gram bigint, held_cls bigint, held_n int" + "".join(f", h{i} bigint" for i in range(PRINT))),
-        "selected",
-    )
-    index = shape.where(~classes.all_held).mapInArrow(_indexed(context.broadcast(_bits(selected)), shingle), "gram bigint, train_cls bigint, train_n int" + "".join(f", t{i} bigint" for i in range(PRINT)))
     t = threshold
-    asked = f"(held_n - ceil({t!r}D * held_n - 1e-9D) + 1)"
+    source = records.select(F.col("record_id").cast("bigint"), F.col("field").cast("int"), "held", "text").dropna()
+    units = cut(source.mapInArrow(_units(shingle), "row bigint, record_id bigint, field int, held boolean, sig1 bigint, sig2 bigint, n int, text string"), "units")
+    flags = F.max("held").alias("some_held"), F.max(~F.col("held")).alias("some_train")
+    several, copies = S.copies_of(units.select("row", "field", "held", "sig1", "sig2"), ["field", "sig1", "sig2"], *flags)
+    sides = several.select(F.col("cls").alias("row"), "some_held", "some_train")
+    classes = units.join(copies.select("row"), "row", "left_anti").join(sides, "row", "left")
+    classes = classes.select(F.col("row").alias("cls"), "field", "n", "text", F.coalesce("some_held", "held").alias("some_held"), F.coalesce("some_train", ~F.col("held")).alias("some_train"))
+    context = units.sparkSession.sparkContext
+    total = units.agg(F.sum("n")).first()[0] or 0
+    counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: np.concatenate([np.zeros(0, np.uint64), *(_distinct(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text"))]), total))
+    shape = ["cls", "field", "n", "text"]
+    selected = cut(classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED), "selected")
+    bits = _filter(selected)
+    known = None if bits is None else context.broadcast(bits)
+    index = classes.where("some_train").select(shape).mapInArrow(_selected(counts, t, shingle, known), SELECTED)
+    h, x = selected.alias("h"), index.alias("x")
+    near = S.hamming("h.f", "x.f", PRINT) <= F.expr(S.most_apart_sql("h.n", "x.n", t))
     pairs = (
-        selected.join(index, "gram")
-        .where(S.sizes_fit_sql("held_n", "train_n", t))
-        .where(S.hamming("h", "t", PRINT) <= F.expr(S.most_apart_sql("held_n", "train_n", t)))
-        .groupBy("held_cls", "train_cls", "held_n", "train_n")
-        .agg(F.count("*").alias("hits"))
-        .where(f"hits >= greatest(1, {asked} - (held_n - {S.least_common_sql('held_n', 'train_n', t)}))")
-        .select("held_cls", "train_cls")
+        h.join(x, (F.col("h.gram") == F.col("x.gram")) & F.expr(S.meet_sql("h.", "x.", t)) & near)
+        .groupBy(F.col("h.cls").alias("held_cls"), F.col("x.cls").alias("train_cls"))
+        .agg(F.max(F.col("h.minimum") & F.col("x.minimum")).alias("winnowed"))
     )
-    words = classes.select("cls", "words")
     found = (
-        pairs.join(words.toDF("held_cls", "held_words"), "held_cls")
-        .join(words.toDF("train_cls", "train_words"), "train_cls")
-        .mapInArrow(_verified(t, shingle), "held_cls bigint, train_cls bigint, similarity double, seeds int, held_coverage double, train_coverage double")
+        pairs.join(classes.where("some_held").select(F.col("cls").alias("held_cls"), F.col("text").alias("held_text")), "held_cls")
+        .join(classes.where("some_train").select(F.col("cls").alias("train_cls"), F.col("text").alias("train_text")), "train_cls")
+        .mapInArrow(_verified(t, shingle), "held_cls bigint, train_cls bigint, winnowed boolean, similarity double, seeds int, held_coverage double, train_coverage double")
     )
-    members = units.select("record_id", "field", "held", F.xxhash64(*key).alias("cls"))
+    members = units.select("row", "record_id", "field", "held").join(copies, "row", "left").withColumn("cls", F.coalesce("cls", "row"))
     return (
         found.join(members.where("held").select(F.col("cls").alias("held_cls"), "field", F.col("record_id").alias("record_id_held")), "held_cls")
         .join(members.where("not held").select(F.col("cls").alias("train_cls"), F.col("record_id").alias("record_id_train")), "train_cls")
-        .select("record_id_held", "record_id_train", "field", "similarity", "seeds", "held_coverage", "train_coverage")
+        .select("record_id_held", "record_id_train", "field", "similarity", "seeds", "held_coverage", "train_coverage", "winnowed")
     )

@@ -1,4 +1,4 @@
-"""Sets of word shingles: classes of equal sets, a count sketch, exact similarity.
+"""Sets of word shingles: classes of equal sets, a count sketch, rarest shingles, exact similarity.
 
 ``t`` is a Jaccard similarity of two sets: those in both over those in either.
 """
@@ -8,16 +8,21 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.wordhash import list_parts, mix
+from tracemill.session import cut
 
-#: Counters of the sketch; 8 bytes each, so 2 MB however large the collection.
-COUNTERS = 1 << 18
+#: Least and most counters of the sketch, 8 bytes each: 32 MB at most, however large the collection.
+COUNTERS = 1 << 16, 1 << 22
+#: Counters of the sketch that are summed up together.
+BLOCK = 1 << 12
 _SALTS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -57,42 +62,85 @@ def hamming(a: str, b: str, words: int) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(words)))
 
 
-def sketch(sets: DataFrame, grams) -> np.ndarray:
+def row_ids() -> Iterator[int]:
+    """Numbers for the rows a task makes: no two tasks make the same, a task run again makes the same ones.
+
+    Only numbers that were written by :func:`tracemill.session.cut` may be relied on.
+    """
+    first = TaskContext.get().partitionId() << 33
+    return count(first)
+
+
+def copies_of(units: DataFrame, key: list[str], *flags: Column) -> tuple[DataFrame, DataFrame]:
+    """``(several, copies)`` of rows that are alike in ``key``, told apart by ``row``.
+
+    ``several`` has a row per class of two or more rows: its key, ``cls`` (its smallest
+    row), ``copies`` and the flags; ``copies`` the ``row`` and ``cls`` of the other rows.
+    A row in neither is a class of its own.
+    """
+    classes = units.groupBy(*key).agg(F.min("row").alias("cls"), F.count("*").alias("copies"), *flags)
+    several = cut(classes.where("copies > 1"), "several")
+    of = [units[c].eqNullSafe(several[c]) for c in key]
+    return several, cut(units.join(several, of).where("row <> cls").select("row", "cls"), "copies")
+
+
+def sketch(sets: DataFrame, grams, total: int) -> np.ndarray:
     """Counts of all grams of all rows, by the last bits of the gram.
 
-    ``grams(batch)`` gives the values of a batch. Each task sums its rows into
-    one vector of fixed size; the vectors are summed in two further steps, so
-    neither a task nor the driver holds more than two of them.
+    ``grams(batch)`` gives the values of a batch, ``total`` is about how many there
+    are; it decides the size. Each task sums its rows into one vector of bounded
+    size. Its blocks are shuffled and summed, so that no task reads a vector of every other.
     """
+    size = min(max(1 << max(total // 8, 1).bit_length(), COUNTERS[0]), COUNTERS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount((grams(batch) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield _packed(total)
+            total += np.bincount((grams(batch) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        yield packed({i: x for i, x in enumerate(total.reshape(-1, BLOCK)) if x.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(x), np.int64)
-        yield _packed(total)
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(x), np.int64)
+                blocks[i] = blocks[i] + part if i in blocks else part
+        yield packed(blocks)
 
-    parts = sets.mapInArrow(count, "counts binary").repartition(8).mapInArrow(add, "counts binary")
-    total = np.zeros(COUNTERS, np.int64)
-    for row in parts.collect():  # 8 vectors
-        total += np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return total
+    def packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        values = [zlib.compress(x.tobytes(), 1) for x in blocks.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(values, pa.binary())], ["block", "counts"])
 
-
-def _packed(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+    out = np.zeros((size // BLOCK, BLOCK), np.int64)
+    parts = sets.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    for row in parts.toLocalIterator():  # one row a block
+        out[row.block] += np.frombuffer(zlib.decompress(row.counts), np.int64)
+    return out.ravel()
 
 
 def ranks(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A total order of grams, rare ones first by the sketch, the same for all rows."""
-    often = np.minimum(counts[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
-    return (often << np.uint64(40)) | (grams >> np.uint64(24))
+    """An order of grams, rare ones first by the sketch, the same for all rows."""
+    often = counts[(grams & np.uint64(len(counts) - 1)).astype(np.int64)] >> max(0, int(counts.max(initial=0)).bit_length() - 24)
+    return (often.astype(np.uint64) << np.uint64(40)) | (grams >> np.uint64(24))
+
+
+def rarest(grams: np.ndarray, bounds: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct ascending grams of sets, where the rarest are that every similar set shares one of, their rows and ranks in the row.
+
+    If two sets are similar, the rarest gram they share is among these in both.
+    """
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((ranks(grams, counts), row))
+    most = np.minimum(n, probes(n, t))
+    take = first_of(order, bounds, most)
+    return take, row[take], np.arange(len(take)) - np.repeat(np.cumsum(most) - most, most)
+
+
+def meet_sql(a: str, b: str, t: float) -> str:
+    """Sets that meet at a gram of these places can be similar: enough grams are left in both."""
+    left = f"least({a}n - {a}place, {b}n - {b}place)"
+    return f"least({a}n, {b}n) >= {t!r}D * greatest({a}n, {b}n) - 1e-9D and {left} >= {least_common_sql(a + 'n', b + 'n', t)}"
 
 
 def first_of(order: np.ndarray, bounds: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -125,11 +173,6 @@ def most_apart_sql(na: str, nb: str, t: float) -> str:
     return f"{na} + {nb} - 2 * {least_common_sql(na, nb, t)}"
 
 
-def sizes_fit_sql(na: str, nb: str, t: float) -> str:
-    """Sets of these sizes can be similar at all."""
-    return f"least({na}, {nb}) >= {t!r}D * greatest({na}, {nb}) - 1e-9D"
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -141,5 +184,3 @@ def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def parts_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
-
-
