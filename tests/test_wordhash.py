@@ -75,3 +75,18 @@ def test_cut_runs_once_and_is_dropped(spark):
     assert paths and all(p.startswith(session.shared_dir(spark)) for p in paths)
     session.drop_cuts()
     assert not any(os.path.exists(p) for p in paths)
+
+
+def test_sorting_within_parts():
+    """Short and long parts take different ways to the same result."""
+    rnd = np.random.default_rng(3)
+    for sizes in ([0, 1, 3, 0, 2], [200, 0, 1, 90], [40] * 5, []):
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        values = rnd.integers(0, 30, bounds[-1]).astype(np.uint64)
+        before = values.copy()
+        order = W.order_in(values, bounds)
+        found, at = W.distinct_in(values, bounds)
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            assert order[a:b].tolist() == sorted(range(a, b), key=lambda k: (values[k], k))
+            assert found[at[i] : at[i + 1]].tolist() == sorted(set(values[a:b].tolist()))
+        assert (values == before).all() and len(at) == len(sizes) + 1

@@ -111,14 +111,31 @@ def grams_of(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(total), out
 
 
+def order_in(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The places of all values, those of each part in ascending order of value, equal ones as they stand."""
+    sizes = np.diff(bounds)
+    if len(values) < 16 * len(sizes):  # many short parts: all of them at once
+        return np.lexsort((values, np.repeat(np.arange(len(sizes)), sizes)))
+    order = np.arange(len(values))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        order[a:b] = values[a:b].argsort(kind="stable")
+        order[a:b] += a
+    return order
+
+
 def distinct_in(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each part, ascending, and their bounds."""
-    part = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((values, part))
-    values, part = values[order], part[order]
+    sizes = np.diff(bounds)
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    if len(values) < 16 * len(sizes):  # many short parts: all of them at once
+        values = values[np.lexsort((values, part))]
+    else:
+        values = values.copy()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            values[a:b].sort()
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (part[1:] != part[:-1])
-    counts = np.bincount(part[keep], minlength=len(bounds) - 1)
+    counts = np.bincount(part[keep], minlength=len(sizes))
     return values[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
