@@ -46,12 +46,21 @@ def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of the texts of each row, each text for itself, and their bounds."""
-    words, bounds = words_of(texts.flatten())
-    grams, at = grams_of(words, bounds, k)
+def shingles_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the texts of each row, each text for itself, and their bounds."""
+    grams, at = grams_of(*words_of(texts.flatten()), k)
     offsets = np.asarray(texts.offsets)
-    return distinct_in(grams, at[offsets - offsets[0]])
+    return grams, at[offsets - offsets[0]]
+
+
+def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of the texts of each row, and their bounds."""
+    return distinct_in(*shingles_of(texts, k))
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    """Fingerprints from a column of binaries."""
+    return np.frombuffer(column.buffers()[2], np.int64)[: (column.offset + len(column)) * BITS // 64].reshape(-1, BITS // 64)[column.offset :]
 
 
 def _units(k: int):
@@ -64,8 +73,9 @@ def _units(k: int):
                 grams, at = sets_of(S.column(batch, "texts"), k)
                 n = np.diff(at)
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array([next(ids) for _ in range(batch.num_rows)], pa.int64()), S.column(batch, "id"), *map(pa.array, S.signatures(grams, at)), pa.array(n.astype(np.int32)), S.column(batch, "texts")],
-                    ["row", "id", "sig1", "sig2", "n", "texts"],
+                    [pa.array([next(ids) for _ in range(batch.num_rows)], pa.int64()), S.column(batch, "id"), *map(pa.array, S.signatures(grams, at)), pa.array(n.astype(np.int32)), S.column(batch, "texts")]
+                    + [pa.array([x.tobytes() for x in S.fingerprints(grams, at, BITS)], pa.binary())],
+                    ["row", "id", "sig1", "sig2", "n", "texts", "print"],
                 )
                 yield out.filter(pa.array(n > 0))
 
@@ -76,12 +86,13 @@ def _probes(counts, pivots, t: float, k: int):
     """The rarest shingles of each class, with its coordinates and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in S.parts_of(whole, 1000):
+        for rows in batches:
+            for batch in S.parts_of(rows, 1000):
                 grams, at = sets_of(S.column(batch, "texts"), k)
                 take, r, place = S.rarest(grams, at, counts.value, t)
-                near = np.ascontiguousarray(distances(S.fingerprints(grams, at, BITS), pivots.value[:NEAR])).view(np.int64)
-                prints = S.fingerprints(grams, at, 64 * PRINT)
+                whole = _prints(S.column(batch, "print"))
+                near = distances(whole, pivots.value[:NEAR]).view(np.int64)
+                prints = np.bitwise_xor.reduce(whole.reshape(len(whole), -1, PRINT), axis=1)  # parities by fewer bits of the shingles
                 of = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[take].view(np.int64)), S.column(batch, "cls").take(of), S.column(batch, "n").take(of), pa.array(place.astype(np.int32)), pa.array(near[r, 0])]
@@ -98,30 +109,37 @@ def _apart(a: str, b: str) -> Column:
     return F.greatest(*gaps)
 
 
-def _verified(pivots, t: float, k: int, stats: bool):
-    """Discard by the whole table, then count; ``stats`` yields counts of both instead."""
+def _left(pivots, t: float):
+    """Of pairs with their fingerprints those whose distances to all pivots differ little enough, then those that are close themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(3, np.int64)
         for whole in batches:
             for batch in S.parts_of(whole, 2000):
-                a, ab = sets_of(S.column(batch, "texts_a"), k)
-                b, bb = sets_of(S.column(batch, "texts_b"), k)
-                na, nb = np.diff(ab), np.diff(bb)
-                x, y = (distances(S.fingerprints(g, e, BITS), pivots.value).astype(np.int32) for g, e in ((a, ab), (b, bb)))
-                left = np.abs(x - y).max(axis=1, initial=0) <= na + nb - 2 * S.least_common(na, nb, t)
-                both = S.common(a[np.repeat(left, na)], np.r_[0, np.cumsum(na * left)], b[np.repeat(left, nb)], np.r_[0, np.cumsum(nb * left)])
-                either = na + nb - both
-                good = left & (both >= t * either - 1e-9)
-                seen += (len(left), int(left.sum()), int(good.sum()))
-                if not stats:
-                    r = pa.array(np.flatnonzero(good))
-                    yield pa.RecordBatch.from_arrays(
-                        [S.column(batch, "cls_a").take(r), S.column(batch, "cls_b").take(r), pa.array((both / np.maximum(either, 1))[good])],
-                        ["cls_a", "cls_b", "similarity"],
-                    )
-        if stats:
-            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in seen], ["candidates", "left", "similar"])
+                x, y = _prints(S.column(batch, "print_a")), _prints(S.column(batch, "print_b"))
+                na, nb = (np.asarray(S.column(batch, c)).astype(np.int64) for c in ("n_a", "n_b"))
+                bound = na + nb - 2 * S.least_common(na, nb, t)
+                left = np.abs(distances(x, pivots.value).astype(np.int32) - distances(y, pivots.value)).max(axis=1, initial=0) <= bound
+                near = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= bound
+                yield batch.select(["cls_a", "cls_b"]).filter(pa.array(left & near))
+
+    return run
+
+
+def _verified(t: float, k: int):
+    """Pairs whose sets are similar, by an exact count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in S.parts_of(whole, 1000):
+                a, b = sets_of(S.column(batch, "texts_a"), k), sets_of(S.column(batch, "texts_b"), k)
+                both = S.common(*a, *b)
+                either = np.diff(a[1]) + np.diff(b[1]) - both
+                good = np.flatnonzero(both >= t * either - 1e-9)
+                r = pa.array(good)
+                yield pa.RecordBatch.from_arrays(
+                    [S.column(batch, "cls_a").take(r), S.column(batch, "cls_b").take(r), pa.array((both / np.maximum(either, 1))[good])],
+                    ["cls_a", "cls_b", "similarity"],
+                )
 
     return run
 
@@ -139,18 +157,17 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, id_column: str, texts: str, threshold: float = 0.8, shingle: int = 5, pivots: int = PIVOTS):
         self.threshold, self.shingle = threshold, shingle
         source = records.select(F.col(id_column).cast("bigint").alias("id"), F.col(texts).alias("texts")).where("id is not null and size(texts) > 0")
-        self.units = cut(source.mapInArrow(_units(shingle), "row bigint, id bigint, sig1 bigint, sig2 bigint, n int, texts array<string>"), "units")
+        self.units = cut(source.mapInArrow(_units(shingle), "row bigint, id bigint, sig1 bigint, sig2 bigint, n int, texts array<string>, print binary"), "units")
         self.several, self.copies = S.copies_of(self.units.select("row", "id", "sig1", "sig2"), ["sig1", "sig2"], F.min("id").alias("first_id"))
-        self.classes = self.units.join(self.copies.select("row"), "row", "left_anti").select(F.col("row").alias("cls"), "id", "n", "texts")
+        self.classes = self.units.join(self.copies.select("row"), "row", "left_anti").select(F.col("row").alias("cls"), "id", "n", "texts", "print")
         self.members = self.units.select("row", "id").join(self.copies, "row", "left").select("id", F.coalesce("cls", "row").alias("cls"))
         context = self.units.sparkSession.sparkContext
         total = self.units.agg(F.sum("n")).first()[0] or 0
-        counts = context.broadcast(S.sketch(self.classes.select("texts"), lambda batch: sets_of(batch.column(0), shingle)[0], total))
-        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(max(pivots, NEAR)).select("texts").collect()  # a fixed number of records
-        prints = [*S.fingerprints(*sets_of(pa.array([r.texts for r in drawn], pa.list_(pa.string())), shingle), BITS)] if drawn else []
-        prints += [np.zeros(BITS // 64, np.int64)] * max(0, NEAR - len(prints))
+        counts = context.broadcast(S.sketch(self.classes.select("texts"), lambda batch: (shingles_of(x.column(0), shingle)[0] for x in S.parts_of(batch, 1000)), total))
+        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(max(pivots, NEAR)).select("print").collect()  # a fixed number of records
+        prints = [np.frombuffer(r.print, np.int64) for r in drawn] + [np.zeros(BITS // 64, np.int64)] * max(0, NEAR - len(drawn))
         self._pivots = context.broadcast(np.array(prints))
-        self._probes = self.classes.select("cls", "n", "texts").mapInArrow(_probes(counts, self._pivots, threshold, shingle), "gram bigint, cls bigint, n int, place int, near bigint" + "".join(f", f{i} bigint" for i in range(PRINT)))
+        self._probes = self.classes.select("cls", "n", "texts", "print").mapInArrow(_probes(counts, self._pivots, threshold, shingle), "gram bigint, cls bigint, n int, place int, near bigint" + "".join(f", f{i} bigint" for i in range(PRINT)))
 
     def _candidates(self, pivots: bool = True) -> DataFrame:
         """Pairs of classes that share a rare shingle and pass the bounds; a is the smaller set."""
@@ -168,22 +185,23 @@ class NearDuplicates:
         pairs = a.join(b, on & (S.hamming("a.f", "b.f", PRINT) <= bound))
         return pairs.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
 
-    def _compared(self, stats: bool, schema: str) -> DataFrame:
-        texts = self.classes.select("cls", "texts")
+    def class_pairs(self) -> DataFrame:
+        """Similar classes and their ``similarity``, each pair once."""
+        prints, texts = self.classes.select("cls", "n", "print"), self.classes.select("cls", "texts")
+        left = (
+            self._candidates()
+            .join(prints.toDF("cls_a", "n_a", "print_a"), "cls_a")
+            .join(prints.toDF("cls_b", "n_b", "print_b"), "cls_b")
+            .mapInArrow(_left(self._pivots, self.threshold), "cls_a bigint, cls_b bigint")
+        )
         return (
-            self._candidates(not stats)
-            .join(texts.toDF("cls_a", "texts_a"), "cls_a")
+            left.join(texts.toDF("cls_a", "texts_a"), "cls_a")
             .join(texts.toDF("cls_b", "texts_b"), "cls_b")
-            .mapInArrow(_verified(self._pivots, self.threshold, self.shingle, stats), schema)
+            .mapInArrow(_verified(self.threshold, self.shingle), "cls_a bigint, cls_b bigint, similarity double")
         )
 
-    def class_pairs(self) -> DataFrame:
-        """Similar classes and their ``similarity``, each pair once."""
-        return self._compared(False, "cls_a bigint, cls_b bigint, similarity double")
-
     def pruning(self) -> DataFrame:
-        """How many of the pairs that share a rare shingle the pivots leave, and how many
-        of all pairs of a bounded sample (1,000 classes drawn by hash) they would."""
+        """How many of the meetings at a rare shingle the pivots within the join leave, and how many the distance."""
         t, p = self.threshold, self._probes
         bound = F.expr(S.most_apart_sql("a.n", "b.n", t))
         on = (F.col("a.gram") == F.col("b.gram")) & F.expr("a.n < b.n or (a.n = b.n and a.cls < b.cls)") & F.expr(f"a.n >= {t!r}D * b.n - 1e-9D")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.wordhash import distinct_in, grams_of, slices, words_of
+from tracemill.functions.wordhash import distinct_in, grams_of, order_in, slices, words_of
 from tracemill.llm import shingles as S
 from tracemill.session import cut
 
@@ -144,11 +144,12 @@ def _selected(shared, t: float, k: int, known=None):
                 grams, at = grams_of(words, bounds, k)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(at))
                 chosen = winnowed(S.ranks(grams, counts), at, WINDOW)
-                order = np.lexsort((~chosen, grams, row))  # of equal grams a selected one first
-                grams, row, chosen = grams[order], row[order], chosen[order]
+                order = order_in(grams, at)
+                grams, row = grams[order], row[order]
                 first = np.ones(len(grams), bool)
                 first[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-                grams, chosen = grams[first], chosen[first]
+                chosen = np.logical_or.reduceat(chosen[order], np.flatnonzero(first)) if len(grams) else chosen
+                grams = grams[first]
                 edges = np.searchsorted(row[first], np.arange(batch.num_rows + 1))
                 prints = S.fingerprints(grams, edges, 64 * PRINT)
                 take, r, place = S.rarest(grams, edges, counts, t)
@@ -237,7 +238,7 @@ def find_overlaps(records: DataFrame, threshold: float = 0.8, shingle: int = 5)
     classes = classes.select(F.col("row").alias("cls"), "field", "n", "text", F.coalesce("some_held", "held").alias("some_held"), F.coalesce("some_train", ~F.col("held")).alias("some_train"))
     context = units.sparkSession.sparkContext
     total = units.agg(F.sum("n")).first()[0] or 0
-    counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: np.concatenate([np.zeros(0, np.uint64), *(_distinct(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text"))]), total))
+    counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: (grams_of(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text")), total))
     shape = ["cls", "field", "n", "text"]
     selected = cut(classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED), "selected")
     bits = _filter(selected)

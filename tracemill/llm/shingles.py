@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.wordhash import list_parts, mix
+from tracemill.functions.wordhash import list_parts, mix, order_in
 from tracemill.session import cut
 
 #: Least and most counters of the sketch, 8 bytes each: 32 MB at most, however large the collection.
@@ -87,8 +87,8 @@ def copies_of(units: DataFrame, key: list[str], *flags: Column) -> tuple[DataFra
 def sketch(sets: DataFrame, grams, total: int) -> np.ndarray:
     """Counts of all grams of all rows, by the last bits of the gram.
 
-    ``grams(batch)`` gives the values of a batch, ``total`` is about how many there
-    are; it decides the size. Each task sums its rows into one vector of bounded
+    ``grams(batch)`` gives the values of a batch in parts, ``total`` is about how many there
+    are in all; it decides the size. Each task sums its rows into one vector of bounded
     size. Its blocks are shuffled and summed, so that no task reads a vector of every other.
     """
     size = min(max(1 << max(total // 8, 1).bit_length(), COUNTERS[0]), COUNTERS[1])
@@ -96,7 +96,8 @@ def sketch(sets: DataFrame, grams, total: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount((grams(batch) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            for part in grams(batch):
+                np.add.at(total, (part & np.uint64(size - 1)).astype(np.int64), 1)
         yield packed({i: x for i, x in enumerate(total.reshape(-1, BLOCK)) if x.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def rarest(grams: np.ndarray, bounds: np.ndarray, counts: np.ndarray, t: float)
     """
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((ranks(grams, counts), row))
+    order = order_in(ranks(grams, counts), bounds)
     most = np.minimum(n, probes(n, t))
     take = first_of(order, bounds, most)
     return take, row[take], np.arange(len(take)) - np.repeat(np.cumsum(most) - most, most)
@@ -150,13 +151,13 @@ def first_of(order: np.ndarray, bounds: np.ndarray, most: np.ndarray) -> np.ndar
 
 
 def common(a: np.ndarray, ab: np.ndarray, b: np.ndarray, bb: np.ndarray) -> np.ndarray:
-    """How many values the distinct sets a[i] and b[i] share, for all i."""
-    pair = np.concatenate([np.repeat(np.arange(len(ab) - 1), np.diff(ab)), np.repeat(np.arange(len(bb) - 1), np.diff(bb))])
-    value = np.concatenate([a, b])
-    order = np.lexsort((value, pair))
-    pair, value = pair[order], value[order]
-    same = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
-    return np.bincount(pair[1:][same], minlength=len(ab) - 1)
+    """How many values the distinct ascending sets a[i] and b[i] share, for all i."""
+    out = np.zeros(len(ab) - 1, np.int64)
+    for i, (p, q, r, s) in enumerate(zip(ab[:-1].tolist(), ab[1:].tolist(), bb[:-1].tolist(), bb[1:].tolist())):
+        x, y = a[p:q], b[r:s]
+        if len(x) and len(y):
+            out[i] = np.count_nonzero(y[np.minimum(y.searchsorted(x), len(y) - 1)] == x)
+    return out
 
 
 def least_common(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
