@@ -135,6 +135,14 @@ def test_tagged_values():
     assert V.tagged(True) != V.tagged(1) and V.tagged((1,)) != V.tagged([1]) and V.tagged({"a": 1, "b": 2}) == V.tagged({"b": 2, "a": 1})
     with pytest.raises(ValueError):
         V.tagged(float("nan"))
+    assert V.tagged([1, ("a",)]) == {"kind": "list", "items": [{"kind": "int", "value": "1"}, {"kind": "tuple", "items": [{"kind": "str", "value": "a"}]}]}
+    assert V.tagged({"b": None, "a": True}) == {"kind": "dict", "items": [[{"kind": "str", "value": "a"}, {"kind": "bool", "value": True}], [{"kind": "str", "value": "b"}, {"kind": "none"}]]}
+    assert V.untagged({"kind": "list", "items": [{"kind": "ref", "name": "x"}]}, {"x": 7}) == [7]
+    made = V.untagged({"kind": "object", "type": "m:T", "fields": {"a": {"kind": "bigint", "value": "12"}}})
+    assert made == {"a": 12} and made.type == "m:T"
+    for bad in (1, {}, {"kind": "ref", "name": "x"}, {"kind": "bool", "value": 1}, {"kind": "list", "value": []}, {"kind": "dict", "items": [[1]]}, {"kind": "float", "value": "inf"}, {"kind": "int", "value": 1}):
+        with pytest.raises(ValueError):
+            V.untagged(bad)
 
 
 def test_closeness():
@@ -145,6 +153,20 @@ def test_closeness():
     assert V.close_within(V.tagged([1.0, {"a": 2.0}]), V.tagged([1.05, {"a": 2.0}]), "0.1") and not V.close_within(V.tagged([1.0]), V.tagged([1.0, 2.0]), "1")
 
 
+def test_what_can_be_compared():
+    n = lambda v, kind="float": {"kind": kind, "value": v}
+    want = lambda v, how="close", tolerance=0.5: {"compare": how, "value": v, "absolute": tolerance}
+    assert V.matches(want(n("1")), n("1.5")) and not V.matches(want(n("1")), n("1.51")) and V.matches(want(n("1"), tolerance=0), n("1.0"))
+    for odd in (want(n("1"), "near"), want(n("1"), None), want(n("1"), tolerance=5), want(n("1"), tolerance=-0.1), want(n("1"), tolerance=True), want(n("1"), tolerance="0.5"), {"compare": "close", "value": n("1")}):
+        assert not V.matches(odd, n("1")) and not V.matches(odd, odd)
+    assert not V.close(n("1.5", "int"), n("1.5"), "1") and not V.close(n("01", "bigint"), n("1"), "1") and not V.close({"kind": "float", "value": 1.0}, n("1"), "1")
+    assert V.close(n("-0", "int"), n("0"), "0") and V.close(n("1e9999"), n("1e9999"), "0") and not V.close(n("4e-19"), n("0"), "0")
+    deep = lambda x, s="a": {"kind": "list", "items": [n(x), {"kind": "str", "value": s}]}
+    assert V.matches(want(deep("1"), "close_recursive"), deep("1.2")) and not V.matches(want(deep("1"), "close_recursive"), deep("1", "b")) and not V.matches(want(deep("1")), deep("1"))
+    assert V.matches(n("1"), n("1")) and not V.matches(n("1"), n("1.0"))
+    assert not V.close_within({"a": 1}, {"a": True}, "1") and not V.close_within({"a": 1}, {"b": 1}, "1") and V.close_within([None, "x"], [None, "x"], "0")
+
+
 def test_verdicts(spark):
     ok = lambda **v: json.dumps({"status": "ok", "values": {k: V.tagged(x) for k, x in v.items()}})
     error = lambda **e: json.dumps({"status": "error", "operation": 1, "error": {"type": "E", "message": "m"}} | e)
@@ -153,12 +175,13 @@ def test_verdicts(spark):
     rows = [
         (ok(a=1), ok(a=1), None), (ok(a=1), ok(a=1.0), "a differs"), (ok(a=1), ok(b=1), "names differ"), (ok(a=1), error(), "status differs"), (wants, error(), None),
         (wants, error(operation=2), "operation differs"), (wants, error(error={"type": "F"}), "type differs"), (near, ok(a=1.05), None), (near, ok(a=1.2), "a differs"), (ok(a=1), None, "not JSON"),
+        (wants, json.dumps({"status": "error", "operation": 1}), "error has no shape"), (ok(a=1), '{"status":"ok"}', "values have no shape"), ("[]", ok(), "expected outcome has no shape"), (ok(a=[1, {"k": 2}]), ok(a=[1, {"k": 2}]), None),
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, e string, r string, want string")
     got = df.withColumn("why", V.case_failure("e", "r"))
     assert [(r.i, r.why) for r in got.orderBy("i").collect()] == [(i, w) for i, (_, _, w) in enumerate(rows)]
     reward = V.case_reward(got.withColumn("ok", F.col("why").isNull()), [], "ok").first()
-    assert (reward.passed, reward.total, reward.reward) == (3, 10, 0.3)
+    assert (reward.passed, reward.total) == (4, 14)
     order = V.after_failure(spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 1, False)], "k string, i int, f boolean"), ["k"], ["i"], F.col("f"))
     assert sorted((r.k, r.i) for r in order.where("not_run").collect()) == [("a", 3)]
 
@@ -174,6 +197,17 @@ def test_json_helpers(spark):
     for arguments, why in (({"n": 1}, None), ({}, "missing argument n"), ({"n": True}, "n is no integer"), ({"n": 4}, "n is out of bounds"), ({"n": 1, "z": 1}, "unknown argument z"), ({"n": 1, "s": 1}, "s is no string")):
         assert V.argument_faults(schema, arguments) == why
     assert V.argument_faults({"type": "array"}, {}) == "schema is not an object"
+    of = lambda **p: {"type": "object", "properties": p}
+    cases = [
+        (of(n={"type": "number", "minimum": 1}), {"n": 0}, "n is out of bounds"), (of(n={"type": "number", "minimum": 1}), {"n": 0.5}, None), (of(n={"type": "integer", "maximum": 1.5}), {"n": 2}, None),
+        (of(n=True), {"n": 0}, "type of n is missing"), (of(n={}), {"n": 0}, "type of n is missing"), (of(n={"type": "array"}), {"n": []}, "type of n is unknown"), ({"type": "object"}, {}, "properties are missing"),
+        (of() | {"required": [1]}, {}, "required is no list of names"), (of(), {"z": 1}, "unknown argument z"), (of() | {"required": ["q"]}, {"z": 1}, "missing argument q"), (of() | {"additionalProperties": False}, {"z": 1}, "unknown argument z"), (of() | {"additionalProperties": False, "required": ["q"]}, {"z": 1}, "unknown argument z"),
+        (of(b={"type": "boolean"}), {"b": 1}, "b is no boolean"), (of(n={"type": "integer"}), {"n": 1.0}, "n is no integer"), (of(n={"type": "number"}), {"n": True}, "n is no number"), ([], {}, "schema is not an object"),
+    ]
+    for schema, arguments, why in cases:
+        assert V.argument_faults(schema, arguments) == why
+    texts = spark.createDataFrame([(json.dumps(s), json.dumps(a)) for s, a, _ in cases] + [("{", "{}"), (None, "{}"), (json.dumps(of()), "[]")], "s string, a string")
+    assert [r[0] for r in texts.select(V.argument_fault("s", "a")).collect()] == [w for _, _, w in cases] + ["schema is no JSON", "missing", "arguments are no object"]
 
 
 def test_budgets(spark):
