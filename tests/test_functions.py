@@ -30,6 +30,7 @@ def test_texts(spark):
     assert one(spark, S.words(X), "It's 2 Late", "", None) == [["it", "s", "2", "late"], [], None]
     coded = one(spark, S.rle_encode(X), "aaab", "", "x", "zzzzzzzzzzzz")
     assert coded == ["3a1b", "", "1x", "12z"]
+    assert one(spark, S.rle_encode(X), "a\0b", "\0\0", "a\n\nb", "😀😀é", None) == ["1a1\x001b", "2\0", "1a2\n1b", "2😀1é", None]
     assert one(spark, S.rle_decode(X), *coded, "3", "a3", "2a3", None) == ["aaab", "", "x", "z" * 12, None, None, None, None]
     assert one(spark, S.replace_once(X, F.lit("ab"), F.lit("-")), "xaby", "abab", "none", "") == ["x-y", None, None, None]
     assert one(spark, S.numbered_lines(X, 2, 2), "a\nb\nc\nd", "a", "") == [("2:b\n3:c", 4, True), ("", 1, False), ("", 1, False)]
@@ -37,6 +38,8 @@ def test_texts(spark):
 
 def test_maps(spark):
     assert one(spark, S.query_string(X), "?a=1&b=&&c&a=2%20x+y&d=e=f", "", "?") == [{"b": "", "c": "", "a": "2 x+y", "d": "e=f"}, {}, {}]
+    many = "&".join(f"k{i % 700}={i}" for i in range(2000))
+    assert one(spark, S.query_string(X), many, None) == [{f"k{i}": str(i + 1400 if i < 600 else i + 700) for i in range(700)}, None]
     assert one(spark, S.parse_fields(X, "|"), " a | 1 \n\nb|x|y\nno\na|2") == [{"b": "x|y", "a": "2"}]
     df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 4})], "x map<string,int>, y map<string,int>")
     assert df.select(S.merge_counts(F.col("x"), F.col("y"))).first()[0] == {"a": 1, "b": 5, "c": 4}
@@ -47,7 +50,13 @@ def test_numbers(spark):
     assert one(spark, S.fizzbuzz(X.cast("int")), "1", "3", "5", "15", "0", None)[:5] == ["1", "Fizz", "Buzz", "FizzBuzz", "FizzBuzz"]
     kinds = one(spark, S.coerce_cell(X), " 7 ", "7.0", "007", "-0", "1e3", "+1", "", None, "-1.50", "0.5", ".5")
     assert [k["t"] for k in kinds] == ["int", "float", "str", "int", "str", "str", "null", "null", "float", "float", "str"]
+    long, other = "1" * 40, "2" * 40
+    cells = one(spark, S.coerce_cell(X), "\t7\n", "\u00a07\u2003", "-0", long, other, "7 7")
+    assert [(c["t"], c["i"]) for c in cells] == [("int", "7"), ("int", "7"), ("int", "0"), ("int", long), ("int", other), ("str", None)]
     assert one(spark, S.decimal_close(X, F.lit("1.0"), "0.1"), "1.1", "1.11", "x", None) == [True, False, None, None]
+    assert one(spark, S.decimal_close(X, F.lit("0"), "0"), "4e-19", "0.0", "-0", "0." + "0" * 30 + "1", "nan", "") == [False, True, True, False, None, None]
+    assert one(spark, S.decimal_close(X, F.lit("1" + "0" * 25), "1"), "1" + "0" * 24 + "1", "1" + "0" * 24 + "2", "1e25", "1" + "0" * 25 + ".5") == [True, False, True, True]
+    assert one(spark, S.decimal_close(X, F.lit("0"), 1e-20), "0.00000000000000000001", "0.000000000000000000011") == [True, False]
 
 
 def test_arrays(spark):

@@ -32,6 +32,13 @@ def test_routes(spark):
     paths = ["/a/b", "/a/c", "/a/c/d", "/q/b", "/q", "/a.b/1", "/axb/1", "/c/1/d", "/c/1/2/d", "/a/", "", None]
     got = {r.path: r.route for r in R.match_routes(spark.createDataFrame([(p,) for p in paths], "path string"), routes).collect()}
     assert got == {"/a/b": "/a/b", "/a/c": "/a/:x", "/a/c/d": "/a/*rest", "/q/b": "/:y/b", "/q": "/*all", "/a.b/1": "/a.b/:z", "/axb/1": "/*all", "/c/1/d": "/c/:p/d", "/c/1/2/d": "/*all", "/a/": "/*all", "": None, None: None}
+    odd = spark.createDataFrame([("//files/x/y/", 1, "z"), ("/files", 2, "z"), ("/u/7", 3, "z"), ("/", 4, "z")], "path string, params int, route string")
+    more = spark.createDataFrame([(r,) for r in ("/files/*rest", "/u/:id", "/", "/u/:id", None)], "route string")
+    assert [(r.path, r.route, r.params) for r in R.match_routes(odd, more).collect()] == [("//files/x/y/", "/files/*rest", {"rest": "x/y"}), ("/files", None, None), ("/u/7", "/u/:id", {"id": "7"}), ("/", "/", {})]
+    assert R.match_routes(odd, more.limit(0)).where("route is null").count() == 4
+    for bad, why in ((["/dup", "/dup/"], "duplicate route"), (["/w/*a", "/w/*b"], "duplicate route"), (["/p/:id", "/p/:name"], "conflicting param"), (["/p/:id/x", "/p/:name/y"], "conflicting param"), (["/x/*rest/tail"], "wildcard must")):
+        with pytest.raises(ValueError, match=why):
+            R.route_table(bad)
     with pytest.raises(ValueError):
         R.match_routes(spark.createDataFrame([("/",)], "path string"), routes, most_routes=3)
 

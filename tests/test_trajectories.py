@@ -70,6 +70,26 @@ def test_lines_and_faults(spark, tmp_path):
             read_lines(spark, paths, most_files=most)
     with pytest.raises(Exception, match="over the size limit"):
         read_lines(spark, [str(tmp_path)], most_bytes=4).collect()
+    with pytest.raises(ValueError, match="over the size limit"):
+        read_lines(spark, [str(tmp_path)], most_total=900)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers don't depend on where a file is split, on batches, or on other files of a task."""
+    sizes = {"a": 300, "b": 7, "c": 41}
+    for f, n in sizes.items():
+        (tmp_path / f).mkdir()
+        (tmp_path / f / "traces.jsonl").write_bytes(b"".join(b"" if i == n else (b"x%d" % i * (i % 5) + (b"\r\n" if i % 2 else b"\n")) for i in range(n + 1)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.openCostInBytes")}
+    try:
+        for most, batch, cost in (("128m", "10000", "4m"), ("300", "3", "0"), ("64", "1", "0")):
+            for k, v in zip(before, (most, batch, cost)):
+                spark.conf.set(k, v)
+            got = {(Path(r.file).parent.name, r.file_ord, r.line_no): r.line for r in read_lines(spark, [str(tmp_path)]).collect()}
+            assert got == {(f, o, i + 1): f"x{i}" * (i % 5) for o, f in enumerate("abc", 1) for i in range(sizes[f]) if i % 5}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def looped():

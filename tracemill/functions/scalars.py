@@ -1,9 +1,13 @@
-"""Scalar functions as column expressions; all stay in the JVM."""
+"""Scalar functions as column expressions; all stay in the JVM, but for numbers too long for it."""
 
 from __future__ import annotations
 
+from decimal import Decimal, InvalidOperation, localcontext
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def slugify(value: Column) -> Column:
@@ -31,9 +35,11 @@ def convert_temperature(value: Column) -> Column:
 
 
 def last_wins(entries: Column) -> Column:
-    """An array of ``struct(key, value)`` as a map in which the last of equal keys counts."""
-    fresh = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(fresh)
+    """An array of ``struct(key, value)`` as a map in which the last of equal keys counts; its keys are in order."""
+    placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"), x["value"].alias("value"))))
+    following = F.concat(F.slice(F.transform(placed, lambda x: x["key"]), F.lit(2), F.greatest(F.size(placed), F.lit(1))), F.array(F.lit(None).cast("string")))
+    marked = F.zip_with(placed, following, lambda x, key: F.when(x.isNotNull() & ((x["key"] != key) | key.isNull()), F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    return F.map_from_entries(F.array_compact(marked))
 
 
 def _pair(text: Column, delimiter: str, strip: bool) -> Column:
@@ -62,9 +68,7 @@ def parse_fields(value: Column, delimiter: str = ":") -> Column:
 
 def rle_encode(value: Column) -> Column:
     """``aaab`` as ``3a1b``."""
-    # a run ends where the next character differs: a zero-width place is marked there
-    marked = F.regexp_replace(value, r"(?s)(.)(?!\1)", "$1\u0000")
-    runs = F.filter(F.split(marked, "\u0000"), lambda x: x != "")
+    runs = F.regexp_extract_all(value, F.lit(r"(?s)(.)\1*"), F.lit(0))
     return F.array_join(F.transform(runs, lambda x: F.concat(F.length(x).cast("string"), F.substring(x, 1, 1))), "")
 
 
@@ -102,27 +106,60 @@ def merge_counts(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 
 
+#: White space that is stripped from cells, as a class of a regular expression. Fixed values.
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def coerce_cell(value: Column) -> Column:
     """A cell's type and value: ``null``, ``int``, ``float`` or ``str``, as ``struct(t, i, d, s)``.
 
-    Digits with a leading zero, a plus sign or an exponent make a string.
+    White space at the ends doesn't count. Digits with a leading zero, a plus sign or an exponent make a
+    string. Integers have any number of digits; ``i`` is their text (``-0`` is ``0``).
     """
-    cell = F.trim(value)
+    cell = F.regexp_replace(value, f"^{_BLANK}+|{_BLANK}+\\z", "")
     is_int, is_float = cell.rlike(r"^-?(0|[1-9][0-9]*)\z"), cell.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]+\z")
     kind = F.when(cell.isNull() | (cell == ""), "null").when(is_int, "int").when(is_float, "float").otherwise("str")
     return F.struct(
         kind.alias("t"),
-        F.when(is_int, cell.try_cast("decimal(38,0)")).alias("i"),
+        F.when(is_int, F.when(cell == "-0", "0").otherwise(cell)).alias("i"),
         F.when(is_float, cell.try_cast("double")).alias("d"),
         F.when(kind == "str", cell).alias("s"),
     )
 
 
-def decimal_close(a: Column, b: Column, tolerance: Column | float) -> Column:
-    """Whether two decimal texts differ by at most the tolerance; null if one is no number."""
-    x, y = (c.try_cast("decimal(38,18)") for c in (a, b))
-    limit = tolerance if isinstance(tolerance, Column) else F.lit(str(tolerance)).cast("decimal(38,18)")
-    return F.abs(x - y) <= limit
+@F.pandas_udf(BooleanType())
+def _exactly_close(a: pd.Series, b: pd.Series, tolerance: pd.Series) -> pd.Series:
+    def number(text):
+        try:
+            out = Decimal(text)
+        except InvalidOperation:
+            return None
+        return out if out.is_finite() and abs(out.adjusted()) <= 10_000 else None
+
+    def one(*texts):
+        if None in texts:
+            return None
+        x, y, most = map(number, texts)
+        if x is None or y is None or most is None:
+            return None
+        low = min(n.as_tuple().exponent for n in (x, y, most))
+        with localcontext() as context:
+            context.prec = max(n.adjusted() for n in (x, y, most)) - low + 3
+            return abs(x - y) <= most
+
+    return pd.Series([one(*x) for x in zip(a, b, tolerance)], dtype=object)
+
+
+def decimal_close(a: Column, b: Column, tolerance: Column | float | str) -> Column:
+    """Whether two decimal texts differ by at most the tolerance, to the last digit; null if one is no number.
+
+    Numbers of up to 20 digits before and 18 after the point stay in the JVM; others are compared in Python.
+    """
+    limit = tolerance.cast("string") if isinstance(tolerance, Column) else F.lit(f"{Decimal(str(tolerance)):f}")
+    few = lambda c: c.rlike(r"^-?[0-9]{1,19}(\.[0-9]{1,18})?\z")
+    fits = F.coalesce(few(a) & few(b) & few(limit), F.lit(False))
+    x, y, most = (F.when(fits, c).try_cast("decimal(38,18)") for c in (a, b, limit))
+    return F.coalesce(F.abs(x - y) <= most, _exactly_close(*(F.when(~fits, c) for c in (a, b, limit))))
 
 
 def is_plain_path(path: Column) -> Column:

@@ -28,39 +28,76 @@ def coerced_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return joined.select(*kept, *(F.col(f"__right.c{i}").alias(c) for i, c in enumerate(right.columns)))
 
 
-def route_pattern(route: Column) -> Column:
-    """A route as a regular expression: ``:name`` is one segment, ``*`` at the end one or more."""
-    quoted = F.regexp_replace(route, r"([.\\+?^$(){}\[\]|])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r":[A-Za-z_][A-Za-z0-9_]*", "([^/]+)"), r"\*[A-Za-z0-9_]*", "(.+)"), F.lit(r"\z"))
+def route_table(routes: list[str]) -> dict[str, list[tuple[str, str, dict[str, int]]]]:
+    """Routes by shape: per segment 0 for a fixed one, 1 for a parameter, 2 for a wildcard.
 
-
-def route_rank(route: Column) -> Column:
-    """Per segment 0 for a fixed one, 1 for a parameter, 2 for a wildcard: the smallest match is the best."""
-    return F.array_join(F.transform(F.split(F.ltrim(route, F.lit("/")), "/"), lambda x: F.when(x.startswith(":"), "1").when(x.startswith("*"), "2").otherwise("0")), "")
-
-
-def match_routes(paths: DataFrame, routes: DataFrame, path: str = "path", route: str = "route", most_routes: int = 10_000) -> DataFrame:
-    """Each path's best route, ``route`` null where none matches.
+    A route has its fixed segments, its text, and the place of each parameter (from 0; of
+    equal names the last). Empty segments don't count. A wildcard before the end, a
+    second route of one shape and fixed segments, and parameters of two names at one
+    place of the tree are errors.
+    """
+    shapes: dict[str, list[tuple[str, str, dict[str, int]]]] = {}
+    named: dict[tuple[str, ...], str] = {}
+    taken: set[tuple[str, ...]] = set()
+    for route in sorted(set(routes)):
+        parts = [x for x in route.split("/") if x]
+        kinds = "".join({":": "1", "*": "2"}.get(x[0], "0") for x in parts)
+        if "2" in kinds[:-1]:
+            raise ValueError(f"wildcard must be the last segment: {route}")
+        way: tuple[str, ...] = ()
+        for x, kind in zip(parts, kinds):
+            way = (*way, x if kind == "0" else kind)
+            if kind == "1" and named.setdefault(way, x) != x:
+                raise ValueError(f"conflicting param names: {route}")
+        if (*way, "") in taken:
+            raise ValueError(f"duplicate route: {route}")
+        taken.add((*way, ""))
+        fixed = "/".join(x for x, kind in zip(parts, kinds) if kind == "0")
+        shapes.setdefault(kinds, []).append((fixed, route, {x[1:]: i for i, x in enumerate(parts) if kinds[i] != "0"}))
+    return shapes
+
+
+def _segment(n: int, wild: bool):
+    """The segment at a place; at the last place of a shape with a wildcard all that are left."""
+    rest = F.array_join(F.slice("__parts", n, F.greatest(F.size("__parts"), F.lit(1))), "/") if n else F.lit("")
+
+    def at(_, place: Column) -> Column:
+        one = F.get("__parts", place)
+        return F.when(place == n - 1, rest).otherwise(one) if wild else one
+
+    return at
+
+
+def match_routes(paths: DataFrame, routes: DataFrame, path: str = "path", route: str = "route", most_routes: int = 10_000, most_shapes: int = 128) -> DataFrame:
+    """Each path's best ``route`` and the segments of its ``params`` (a map), null where none matches.
 
     Fixed segments beat parameters, parameters beat wildcards, segment by segment
-    from the left. Routes are a configuration table; over ``most_routes`` is an
-    error. Only routes of as many segments, or shorter ones with a wildcard, whose
-    first segment can fit, are tried on a path.
+    from the left; a wildcard takes one segment or more. Empty segments don't count. Routes
+    are a configuration table: over ``most_routes`` or ``most_shapes`` (see
+    :func:`route_table`) is an error. For each shape the segments of a path that the
+    shape fixes are looked up in a hash table, so paths are neither shuffled nor
+    tried one by one against routes. Columns ``route`` and ``params`` of the paths are replaced.
     """
-    table = [r[0] for r in routes.select(route).distinct().limit(most_routes + 1).collect()]
-    if len(table) > most_routes:
-        raise ValueError(f"more than {most_routes} routes")
-    spark = paths.sparkSession
-    frame = spark.createDataFrame([(r,) for r in table if r is not None], "route string")
-    keyed = frame.select("route", route_pattern(F.col("route")).alias("pattern"), route_rank(F.col("route")).alias("rank"))
-    first = lambda c: F.split(F.ltrim(c, F.lit("/")), "/")[0]
-    open_head = first(F.col("route")).startswith(":") | first(F.col("route")).startswith("*")
-    keyed = keyed.withColumn("head", F.when(open_head, F.lit(None).cast("string")).otherwise(first(F.col("route"))))
-    distinct = paths.select(F.col(path).alias("__path")).where("__path is not null").distinct().withColumn("__head", first(F.col("__path")))
-    fixed = distinct.join(F.broadcast(keyed.where("head is not null")), (F.col("head") == F.col("__head")) & F.expr("__path rlike pattern"))
-    loose = distinct.withColumn("__one", F.lit(1)).join(F.broadcast(keyed.where("head is null").withColumn("one", F.lit(1))), (F.col("one") == F.col("__one")) & F.expr("__path rlike pattern"))
-    best = fixed.select("__path", "route", "rank").unionByName(loose.select("__path", "route", "rank")).groupBy("__path").agg(F.min_by("route", F.struct("rank", "route")).alias("route"))
-    return paths.join(best, F.col(path) == F.col("__path"), "left").drop("__path")
+    listed = [r[0] for r in routes.select(route).where(F.col(route).isNotNull()).distinct().limit(most_routes + 1).collect()]
+    shapes = route_table(listed)
+    if len(listed) > most_routes or len(shapes) > most_shapes:
+        raise ValueError(f"more than {most_routes} routes or {most_shapes} shapes of routes")
+    kept = [c for c in paths.columns if c not in ("route", "params")]
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    rows = paths.withColumn("__parts", parts)
+    found = []
+    for i, shape in enumerate(sorted(shapes)):
+        n, wild = len(shape), shape.endswith("2")
+        fixed = [F.get("__parts", F.lit(j)) for j, kind in enumerate(shape) if kind == "0"]
+        fits = F.size("__parts") >= n if wild else F.size("__parts") == n
+        table = paths.sparkSession.createDataFrame(shapes[shape], "fixed string, route string, places map<string,int>")
+        table = F.broadcast(table.select(F.col("fixed").alias(f"__key{i}"), F.struct("route", "places").alias(f"__found{i}")))
+        rows = rows.withColumn("__want", F.when(fits, F.concat_ws("/", *fixed) if fixed else F.lit("")))
+        rows = rows.join(table, F.col("__want") == F.col(f"__key{i}"), "left").drop("__want", f"__key{i}")
+        one = F.col(f"__found{i}")
+        found.append(F.when(one.isNotNull(), F.struct(one["route"].alias("route"), F.transform_values(one["places"], _segment(n, wild)).alias("params"))))
+    best = F.coalesce(*found) if found else F.lit(None).cast("struct<route string, params map<string,string>>")
+    return rows.withColumn("__best", best).select(*kept, F.col("__best.route").alias("route"), F.col("__best.params").alias("params"))
 
 
 def run_lengths(df: DataFrame, entity: list[str], order: list[str], value: str) -> DataFrame:

@@ -241,7 +241,10 @@ def training_losses(spark, d):
     return losses_of(logs, "text").select("doc_id", "place", "kind", "loss")
 
 
-@query("SELECT DISTINCT family FROM tasks WHERE family IS NOT NULL AND split = 'holdout' EXCEPT SELECT family FROM tasks WHERE split = 'train'")
+@query("""
+WITH t AS (SELECT family, s.means AS split FROM tasks t JOIN spellings s ON s.field = 'split' AND s.written = lower(trim(t.split)) WHERE family IS NOT NULL)
+SELECT DISTINCT family FROM t WHERE split = 'holdout' EXCEPT SELECT family FROM t WHERE split = 'train'
+""")
 def holdout_only_families(spark, d):
     """Families as they are written, of tasks by what their split means."""
     t = tasks_by_split(spark, d).where("family is not null")
@@ -272,7 +275,8 @@ def payload_kinds(spark, d):
 
 
 @query("""
-SELECT record_id, row_number() OVER (ORDER BY task_id, record_id) - 1 AS idx FROM tasks WHERE split = 'validation' AND task_id IS NOT NULL
+SELECT record_id, row_number() OVER (ORDER BY task_id, record_id) - 1 AS idx FROM tasks t JOIN spellings s ON s.field = 'split' AND s.written = lower(trim(t.split))
+WHERE s.means = 'validation' AND task_id IS NOT NULL
 """)
 def task_places(spark, d):
     """The tasks that mean a split, numbered in order."""

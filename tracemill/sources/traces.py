@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import strict_json as J
 
 
-def read_lines(spark: SparkSession, paths: list[str], name: str = "traces.jsonl", most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], name: str = "traces.jsonl", most_bytes: int | None = None, most_files: int | None = None, most_total: int | None = None) -> DataFrame:
     """``file, file_ord, line_no, line`` of the non-blank lines of files and of folders' files of that name.
 
     Lines end with ``\\n`` (a ``\\r`` before it is dropped), nothing else parts
     them, so a line separator within a JSON text stays. A file over
-    ``most_bytes`` is an error, as are more than ``most_files`` files, a missing
-    path and a folder without files. Line numbers and file ordinals count from 1.
+    ``most_bytes`` is an error, as are more than ``most_files`` files, over ``most_total``
+    bytes, a missing path and a folder without files. Line numbers and file
+    ordinals count from 1; a file found by several paths counts once. Files are read in
+    splits: a line's number is its place in its split after the lines of the splits before.
     """
-    found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name or None)
-    files = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").dropDuplicates(["file"])
-    n = found.select(F.col("_metadata.file_path").alias("file")).distinct().limit((most_files or 0) + 1).count()
-    if not n or (most_files is not None and n > most_files):
-        raise ValueError("no trace file" if not n else f"more than {most_files} trace files")
-    if most_bytes is not None:
-        whole = F.when(F.col("size") <= most_bytes, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("over the size limit: "), F.col("file"))).cast("string"))
-        files = files.withColumn("value", whole)
-    names = files.select("file").distinct()
-    order = names.select("file", F.rank().over(_by_file()).alias("file_ord"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
-    return lines.where(F.trim("line") != "").join(F.broadcast(order), "file").select("file", "file_ord", "line_no", "line")
-
-
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.orderBy("file")  # over file names only, a bounded list
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name or "*").load(paths)
+    files = sorted({(r.path, r.length) for r in listed.select("path", "length").distinct().toLocalIterator()})  # names only
+    if not files or (most_files is not None and len(files) > most_files):
+        raise ValueError("no trace file" if not files else f"more than {most_files} trace files")
+    large = next((f for f, size in files if most_bytes is not None and size > most_bytes), None)
+    if large is not None or (most_total is not None and sum(size for _, size in files) > most_total):
+        raise ValueError(f"over the size limit: {large or 'all files together'}")
+    rows = spark.read.option("lineSep", "\n").text([f for f, _ in files])
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    inorder = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("file", "start").agg(F.count("*").alias("n")).select("file", "start", F.coalesce(F.sum("n").over(inorder), F.lit(0)).alias("before"))
+    order = before.select("file").distinct().select("file", F.rank().over(Window.orderBy("file")).cast("int").alias("file_ord"))  # over names only
+    lines = rows.mapInArrow(_numbered, "file string, start bigint, line string, at bigint").where(F.trim(F.rtrim("line", F.lit("\r"))) != "")
+    placed = lines.join(before, ["file", "start"]).join(F.broadcast(order), "file")
+    return placed.select("file", "file_ord", (F.col("before") + F.col("at")).cast("int").alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows of each split, which come one after the other."""
+    last, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, start = batch.column(0), np.asarray(batch.column(1))
+        other = np.r_[True, np.asarray(pc.not_equal(file.slice(1), file.slice(0, len(start) - 1))) | (start[1:] != start[:-1])]
+        begin = np.flatnonzero(other)
+        at = np.arange(1, len(start) + 1) - np.repeat(begin, np.diff(np.r_[begin, len(start)]))
+        if last == (file[0].as_py(), start[0]):
+            at[: begin[1] if len(begin) > 1 else None] += n
+        last, n = (file[-1].as_py(), start[-1]), int(at[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["file", "start", "line", "at"])
 
 
 def read_traces(lines: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
