@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import export as E
+from tracemill.operators import report as RP
 from tracemill.operators import trajectories as T
 from tracemill.plans import agents
 from tracemill.sources import files as FS
@@ -28,7 +29,7 @@ def trace(name, split="train", **change):
     out = {
         "id": name, "ok": True, "stop_condition": "agent_completed", "rewards": {"tests": {"score": 1.0}},
         "task": {"data": {"task_id": f"t-{name}", "task_revision": 2, "split": split}},
-        "tools": [{"name": n, "description": "d", "parameters": {"type": "object"}} for n in KINDS],
+        "tools": [{"name": n, "description": "d", "parameters": {"type": "object", "properties": {"p": {"type": "integer"}, "a": {"type": "integer"}}}} for n in KINDS],
         "nodes": [
             node("system", "sys", None), node("user", [{"type": "text", "text": "fix"}, {"type": "text", "text": "it"}], 0),
             node("assistant", "", 1, True, tool_calls=[use(1, "look", {"p": 1})]), node("tool", '{"ok": false}', 2, tool_call_id="k1"), node("assistant", "Done.", 3, True),
@@ -123,6 +124,61 @@ def test_invalid_calls(spark, tmp_path):
     assert (m.sampled_turns, m.parsed_turns, m.tool_call_attempts, m.parsed_calls, m.invalid_calls, m.unavailable_tool_calls, m.repeated_call_turns) == (7, 3, 9, 5, 5, 1, 1)
 
 
+def test_arguments_are_held_against_tools(spark, tmp_path):
+    """Calls whose arguments don't fit are invalid, though parsed and available; of equal names the last tool counts."""
+    kind = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}}, "required": ["n"], "additionalProperties": False}
+    tools = [{"name": "look", "description": "d", "parameters": {}}, {"name": "look", "description": "d", "parameters": kind}]
+    calls = [use(1, "look", {"n": 1}), use(2, "look", {"n": 0}, text=False), use(3, "look", {}), use(4, "look", {"n": 1, "z": 1}), use(5, "gone", {}), {"id": "6"}]
+    write(tmp_path, "a", [trace("t", tools=tools, nodes=[node("assistant", "x", None, True, tool_calls=calls)])])
+    parts, _ = frames(spark, tmp_path)
+    m = T.measure_turns(parts["nodes"], parts["tools"]).first()
+    assert (m.tool_call_attempts, m.parsed_calls, m.invalid_calls, m.unavailable_tool_calls) == (6, 5, 5, 1)
+
+
+def identified(name, **change):
+    t = looped() | {"id": name} | change
+    t["task"] = {"data": t["task"]["data"] | {"task_digest": "d", "prompt": "p", "system_prompt": "s"}}
+    return t
+
+
+def test_report(spark, tmp_path):
+    key = ["file_ord", "line_no", "trace_ord"]
+    write(tmp_path, "a", [identified("x"), identified("x", rewards={"tests": {"score": 0.25}}, metrics={"passed_cases": "3", "total_cases": 4.5})], [identified("y", nodes=[], calls=[{"finish_reason": "length", "sampling": {"temperature": 0.0}}])])
+    lines = read_lines(spark, [str(tmp_path)])
+    traces, _ = read_traces(lines)
+    entries = RP.comparison_entries(lines, "native", key[:2])
+    r = RP.measure_report(flatten(traces, key), entries, "native", key).first()
+    assert tuple(r.asDict()) == RP.COLUMNS
+    # traces of one id all count
+    assert (r.schema_version, r.parser, r.trace_files, r.traces, r.sampled_turns, r.parsed_turns, r.parsed_calls, r.tool_call_attempts, r.invalid_calls, r.unavailable_tool_calls) == (1, "native", 1, 3, 6, 4, 4, 4, 0, 0)
+    assert (r.repeated_call_turns, r.completed_model_calls, r.model_calls, r.length_limited_calls, r.passed_cases, r.total_cases) == (2, 6, 7, 1, 6, 8)
+    assert (r.sealed_validation_reward, r.parsed_tool_call_rate, r.invalid_tool_rate, r.end_token_rate, r.loop_rate) == (0.75, 1.0, 0.0, 6 / 7, 0.5)
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    entry = lambda t: {k: t["task"]["data"][k] for k in RP.IDENTITY} | {"tools": t["tools"], "parser": "native", "sampling": t["calls"][0]["sampling"]}
+    made = sorted((e["task_id"], dump(e)) for e in [entry(identified("x"))] * 2 + [entry(identified("y", calls=[{"sampling": {"temperature": 0.0}}]))])
+    assert r.comparison_sha256 == hashlib.sha256(("[" + ",".join(e for _, e in made) + "]").encode()).hexdigest()
+    assert RP.trace_faults(traces, key).count() == 0
+    empty = RP.measure_report(flatten(traces.limit(0), key), entries.limit(0), "native", key).first()
+    assert (empty.traces, empty.model_calls, empty.loop_rate, empty.sealed_validation_reward) == (0, 0, 0.0, None)
+    with pytest.raises(ValueError):
+        RP.measure_report(flatten(traces, key), entries, "", key)
+
+
+def test_faults_of_reports(spark, tmp_path):
+    key = ["line_no", "trace_ord"]
+    bad = [
+        (identified("a") | {"tools": None}, 1), (identified("a") | {"tools": [{"name": 1, "parameters": {}}]}, 1), (identified("a") | {"nodes": [{"sampled": True}]}, 2), (identified("a") | {"calls": {}}, 3),
+        (identified("a") | {"calls": [{"finish_reason": None}]}, 3), (identified("a") | {"rewards": {"tests": {"score": True}}}, 4), (trace("a"), 5), (identified("a") | {"calls": []}, 5), (identified("a") | {"calls": [{"finish_reason": "stop"}]}, 5),
+    ]
+    changed = identified("z", calls=[{"finish_reason": "stop", "sampling": {"t": 0}}, {"finish_reason": "stop", "sampling": {"t": 0.0}}])
+    write(tmp_path, "a", [t for t, _ in bad] + [identified("fine"), changed])
+    lines = read_lines(spark, [str(tmp_path)])
+    traces, _ = read_traces(lines)
+    assert [(r.trace_ord, r.stage) for r in RP.trace_faults(traces, key).orderBy("trace_ord").collect()] == [(i, s) for i, (_, s) in enumerate(bad)]
+    last = RP.comparison_entries(lines, "p", ["line_no"]).orderBy("trace_ord").collect()[-2:]
+    assert last[0].fault is None and last[1].fault == "sampling changed within a trace" and last[1].entry is None
+
+
 def test_repeats_pass_over_empty_lists(spark):
     rows = [(1, ["a"]), (2, []), (3, None), (4, ["a"]), (5, ["b", "b"]), (6, ["b"]), (7, ["b"])]
     df = spark.createDataFrame([("t", *r) for r in rows], "t string, n int, s array<string>")
@@ -231,6 +287,13 @@ def test_fingerprint_is_of_the_multiset(spark):
 
     assert of(("b", "2"), ("a", "1"), ("a", "1")) == hashlib.sha256(b"[1,1,2]").hexdigest() == of(("a", "1"), ("a", "1"), ("b", "2"))
     assert of(("a", "1"), ("b", "2")) != of(("a", "1"), ("a", "1"), ("b", "2"))
+    many = spark.range(2503).select(F.lit("k").alias("k"), F.lit("é").alias("e"))
+    assert T.fingerprint(many, "k", "e").first().sha256 == hashlib.sha256(("[" + ",".join(["é"] * 2503) + "]").encode()).hexdigest()
+    none = hashlib.sha256(b"[]").hexdigest()
+    assert T.fingerprint(many.limit(0), "k", "e").first().sha256 == none
+    assert {(r.g, r.sha256 == none) for r in T.fingerprint(spark.createDataFrame([(1, "a", None), (2, None, "x"), (None, "b", "y")], "g int, k string, e string"), "k", "e", ("g",)).collect()} == {(1, True), (2, False), (None, False)}
+    with pytest.raises(Exception, match="more than 1 entries"):
+        T.fingerprint(many.unionByName(spark.createDataFrame([("k", "f")], "k string, e string")), "k", "e", most_entries=1).collect()
 
 
 def test_failed_results(spark):

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def sha256(value: Column) -> Column:
@@ -59,18 +59,41 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def call_of(call) -> dict | None:
+    """``{"arguments", "name"}`` of a call as JSON has it; None if it is malformed. A nested ``function`` wins over flat fields."""
+    inner = call.get("function") if isinstance(call, dict) and isinstance(call.get("function"), dict) else call
+    name, arguments = (inner.get("name"), inner.get("arguments")) if isinstance(inner, dict) else (None, None)
+    if isinstance(arguments, str):
+        try:
+            arguments = json.loads(arguments)
+        except (ValueError, RecursionError):
+            return None
+    return {"arguments": arguments, "name": name} if isinstance(name, str) and isinstance(arguments, dict) else None
+
+
 @F.pandas_udf(StringType())
 def call_signature(name: pd.Series, arguments: pd.Series) -> pd.Series:
-    """A call's name and arguments in canonical form; null if the arguments are no JSON object."""
+    """A call's name and arguments (an object's JSON text) in canonical form; null if it is malformed."""
+    found = (call_of({"name": n, "arguments": a}) for n, a in zip(name, arguments))
+    return pd.Series([None if c is None else canonical(c) for c in found], dtype=object)
+
 
-    def one(n, text):
+@F.pandas_udf(ArrayType(StringType()))
+def call_signatures(calls: pd.Series) -> pd.Series:
+    """Of a JSON list of calls the digests of those that aren't malformed, in order; empty for anything else.
+
+    Equal calls (names and arguments in canonical form, ``1`` isn't ``1.0``) have equal digests.
+    """
+
+    def one(text):
         try:
-            value = json.loads(text) if text is not None else None
+            listed = json.loads(text) if text is not None and text != "[]" else []
         except (ValueError, RecursionError):
-            return None
-        return canonical({"arguments": value, "name": n}) if n is not None and isinstance(value, dict) else None
+            return []
+        found = map(call_of, listed if isinstance(listed, list) else ())
+        return [hashlib.blake2b(canonical(c).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for c in found if c is not None]
 
-    return pd.Series([one(n, a) for n, a in zip(name, arguments)])
+    return calls.map(one)
 
 
 def tree_digest(entries: Iterable[tuple[str, bytes | None]], domain: str) -> str:

@@ -8,11 +8,16 @@ parent, sampled, role, content, tool_calls, tool_call_id)`` with JSON text in
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracemill.functions import strict_json as J
-from tracemill.functions.digests import call_signature
+from tracemill.functions.digests import call_signatures
+from tracemill.operators.verdicts import argument_fault
 
 
 def sampled_turns(nodes: DataFrame) -> DataFrame:
@@ -43,11 +48,17 @@ def parsed_calls(turns: DataFrame) -> DataFrame:
     )
 
 
-def tool_lookup(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """Calls with the parameters of their tool; of equal names of a trace the last tool counts."""
-    last = tools.groupBy(F.col("trace_id").alias("__trace"), F.col("name").alias("__tool")).agg(F.max_by("parameters", "tool_ord").alias("parameters"), F.lit(True).alias("available"))
-    joined = calls.join(last, (F.col("trace_id") == F.col("__trace")) & (F.col("name") == F.col("__tool")), "left").drop("__trace", "__tool")
-    return joined.withColumn("available", F.coalesce("available", F.lit(False)))
+def tool_lookup(calls: DataFrame, tools: DataFrame, trace: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+    """Calls with the ``parameters`` of their tool, whether it is ``available``, and why the arguments don't fit (``misfit``).
+
+    Of equal names of a trace the last tool counts. ``trace`` are the columns that
+    tell traces apart. Arguments are looked at once per distinct call and tool of a task.
+    """
+    keys = [F.col(c).alias(f"__{c}") for c in trace]
+    last = tools.groupBy(*keys, F.col("name").alias("__tool")).agg(F.max_by("parameters", "tool_ord").alias("parameters"), F.lit(True).alias("available"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in trace] + [F.col("name") == F.col("__tool")]
+    joined = calls.join(last, on, "left").drop("__tool", *(f"__{c}" for c in trace)).withColumn("available", F.coalesce("available", F.lit(False)))
+    return joined.withColumn("misfit", F.when(F.col("available"), argument_fault("parameters", "arguments")))
 
 
 def repeated(df: DataFrame, entity: list[str], order: list[str], signatures: str) -> DataFrame:
@@ -65,33 +76,34 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def measure_turns(nodes: DataFrame, tools: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def measure_turns(nodes: DataFrame, tools: DataFrame | None = None, by: tuple[str, ...] = (), trace: tuple[str, ...] = ("trace_id",)) -> DataFrame:
     """Counts and rates of turns and calls, over all traces or by columns of ``nodes``.
 
     A turn is parsed if its calls are a non-empty list. An attempt is an element
     of a list or calls that are no list; the latter and malformed calls are
-    invalid, as are calls of tools that aren't among ``tools`` (where given).
+    invalid, as are (where ``tools`` are given) calls of tools that aren't there and those
+    with arguments that don't fit their tool's parameters. ``trace`` are the columns that tell traces apart.
     """
-    keys = [*by, "trace_id", "node"]
+    keys = list(dict.fromkeys([*by, *trace, "node"]))
     calls = parsed_calls(sampled_turns(nodes).select(*dict.fromkeys([*keys, "tool_calls"])))
-    calls = tool_lookup(calls, tools) if tools is not None else calls.withColumn("available", F.lit(True))
+    calls = tool_lookup(calls, tools, trace) if tools is not None else calls.withColumns({"available": F.lit(True), "misfit": F.lit(None).cast("string")})
     present = F.col("call_ord").isNotNull()
-    calls = calls.withColumn("signature", call_signature(F.col("name"), F.col("arguments")))
     turns = calls.groupBy(*keys).agg(
         F.first("listed").alias("listed"),
         F.count_if(present).alias("calls"),
         F.count_if(present & F.col("name").isNotNull()).alias("parsed"),
         F.count_if(present & F.col("name").isNotNull() & ~F.col("available")).alias("unavailable"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("signature").isNotNull(), F.struct("call_ord", "signature")))), lambda x: x["signature"]).alias("signatures"),
-    )
-    turns = repeated(turns, ["trace_id"], ["node"], "signatures")
+        F.count_if(present & F.col("name").isNotNull() & F.col("misfit").isNotNull()).alias("misfits"),
+        F.first("tool_calls").alias("tool_calls"),
+    ).withColumn("signatures", call_signatures("tool_calls"))
+    turns = repeated(turns, list(trace), ["node"], "signatures")
     attempts = F.col("calls") + F.when(F.col("listed"), 0).otherwise(1)
     sums = turns.groupBy(*by).agg(
         F.count("*").alias("sampled_turns"),
         F.count_if(F.col("listed") & (F.col("calls") > 0)).alias("parsed_turns"),
         F.sum(attempts).alias("tool_call_attempts"),
         F.sum("parsed").alias("parsed_calls"),
-        F.sum(attempts - F.col("parsed") + F.col("unavailable")).alias("invalid_calls"),
+        F.sum(attempts - F.col("parsed") + F.col("unavailable") + F.col("misfits")).alias("invalid_calls"),
         F.sum("unavailable").alias("unavailable_tool_calls"),
         F.count_if("repeated").alias("repeated_call_turns"),
     )
@@ -114,16 +126,35 @@ def measure_model_calls(model_calls: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return sums.withColumn("end_token_rate", rate(F.col("completed_model_calls"), F.col("model_calls")))
 
 
-def fingerprint(entries: DataFrame, sort_by: str, entry: str, by: tuple[str, ...] = ()) -> DataFrame:
+def fingerprint(entries: DataFrame, sort_by: str, entry: str, by: tuple[str, ...] = (), most_entries: int = 1_000_000) -> DataFrame:
     """``sha256`` of the multiset of JSON entries: sorted by key and text, written as one list.
 
-    The list of a group is one value: entries are configurations, a row per
-    distinct one is counted first, so that copies aren't gathered.
+    A digest is taken in order, so the distinct entries of a group meet in one task: they are
+    configurations, counted first, and over ``most_entries`` of a group is an error. Copies
+    are neither gathered nor written out. Rows without an entry are passed over; a group
+    without any, and no rows at all, give the digest of an empty list.
     """
-    counted = entries.groupBy(*by, sort_by, entry).agg(F.count("*").alias("__n"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(sort_by).alias("k"), F.col(entry).alias("e"), F.col("__n").alias("n"))))
-    listed = F.array_join(F.flatten(F.transform(rows, lambda x: F.array_repeat(x["e"], x["n"].cast("int")))), ",")
-    return counted.groupBy(*by).agg(F.sha2(F.concat(F.lit("["), listed, F.lit("]")).cast("binary"), 256).alias("sha256"))
+    counted = entries.groupBy(*by, sort_by, entry).agg(F.count(entry).alias("__n"))
+    kept = [f for f in counted.schema.fields if f.name in by]
+    names = [f.name for f in kept]
+
+    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_entries:
+            raise ValueError(f"more than {most_entries} entries in one fingerprint")
+        h, mark = hashlib.sha256(b"["), b""
+        for _, e, n in sorted(zip(pdf[sort_by].fillna(""), pdf[entry], pdf["__n"])):
+            text = mark + e.encode()
+            h.update(text + (b"," + e.encode()) * min(n - 1, 1000))
+            for at in range(1000, n - 1, 1000):
+                h.update((b"," + e.encode()) * min(n - 1 - at, 1000))
+            mark = b","
+        h.update(b"]")
+        return pdf[names].head(1).assign(sha256=h.hexdigest()) if names else pd.DataFrame({"sha256": [h.hexdigest()]})
+
+    schema = StructType([*kept, StructField("sha256", StringType())])
+    found = counted.where("__n > 0").groupBy(*by).applyInPandas(digest, schema)
+    groups = entries.groupBy(*by).agg(F.lit(hashlib.sha256(b"[]").hexdigest()).alias("sha256"))
+    return found.unionByName(groups.select(*by, "sha256").withColumn("__none", F.lit(True)), True).groupBy(*by).agg(F.min_by("sha256", F.coalesce("__none", F.lit(False))).alias("sha256"))
 
 
 #: Why a candidate is turned down: a column, how it is held against the baseline, the reason. Order counts.

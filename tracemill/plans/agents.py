@@ -15,8 +15,10 @@ from tracemill.operators import trajectories as T
 from tracemill.operators.nested import trace_tables
 from tracemill.plans.nested import P6
 from tracemill.operators.protocol import first_failure
+from tracemill.operators.report import measure_report
 from tracemill.sources.contracts import bare_name, shuffled, task_list
 from tracemill.sources.files import training_losses as losses_of
+from tracemill.sources.traces import flatten, read_traces
 from tracemill.tables import load, spelled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +86,112 @@ def turn_metrics(spark, d):
     return rows.select("run_id", "sampled_turns", "parsed_turns", "tool_call_attempts", "parsed_calls", "invalid_calls", "parsed_tool_call_rate")
 
 
-@query()
+_TURNS = _NODES + """,
+turn AS (
+    SELECT trace_id, node, run_id, tool_calls, CASE WHEN json_valid(tool_calls) THEN CAST(tool_calls AS JSON) END AS c FROM node WHERE sampled AND means = 'assistant'
+),
+sized AS (SELECT *, tool_calls IS NULL OR coalesce(json_type(c) = 'ARRAY', false) AS listed, CASE WHEN json_type(c) = 'ARRAY' THEN CAST(json_array_length(c) AS BIGINT) ELSE 0 END AS n FROM turn),
+part AS (
+    SELECT trace_id, node, run_id, i, CASE WHEN json_type(c -> i -> 'function') = 'OBJECT' THEN c -> i -> 'function' ELSE c -> i END AS f FROM sized, unnest(range(n)) AS u(i)
+),
+given AS (
+    SELECT trace_id, node, run_id, i, f ->> 'name' AS name, CASE json_type(f -> 'arguments') WHEN 'OBJECT' THEN f -> 'arguments'
+        WHEN 'VARCHAR' THEN CASE WHEN json_valid(f ->> 'arguments') THEN CAST(f ->> 'arguments' AS JSON) END END AS a
+    FROM part WHERE json_type(f -> 'name') = 'VARCHAR'
+),
+parsed AS (SELECT * FROM given WHERE json_type(a) = 'OBJECT'),
+field AS (
+    SELECT trace_id, node, i, name, k, a -> ('$."' || k || '"') AS v FROM parsed, unnest(json_keys(a)) AS u(k) UNION ALL SELECT trace_id, node, i, name, '', NULL FROM parsed
+),
+signed AS (SELECT trace_id, node, i, name || string_agg(k || '=' || coalesce(json_type(v) || ':' || coalesce(v ->> '$', ''), ''), chr(1) ORDER BY k) AS sig FROM field GROUP BY trace_id, node, i, name),
+signature AS (SELECT trace_id, node, string_agg(sig, chr(2) ORDER BY i) AS sigs, count(DISTINCT sig) < count(*) AS twice FROM signed GROUP BY ALL),
+repeat AS (
+    SELECT trace_id, node, twice OR coalesce(sigs = lag(sigs) OVER (PARTITION BY trace_id ORDER BY node), false) AS repeated FROM signature
+)
+"""
+
+
+@query(_TURNS + """
+SELECT run_id, count(*) FILTER (listed AND n > 0) AS parsed_turns, count(*) FILTER (repeated) AS repeated_call_turns,
+    CASE WHEN count(*) FILTER (listed AND n > 0) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (repeated) AS DOUBLE) / count(*) FILTER (listed AND n > 0) END AS loop_rate
+FROM sized LEFT JOIN repeat USING (trace_id, node) GROUP BY run_id
+""")
 def turn_loops(spark, d):
-    """Repeated turns by whole signatures; the signatures are tested against a direct version."""
+    """Turns that repeat their calls, by whole signatures."""
     return T.measure_turns(nodes_of(spark, d), by=("run_id",)).select("run_id", "parsed_turns", "repeated_call_turns", "loop_rate")
 
 
+_RECORDS = """,
+record AS (SELECT record_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS p FROM trace_records),
+listed_trace AS (
+    SELECT record_id, i AS ord, p -> 'traces' -> i AS t FROM record, unnest(range(CAST(json_array_length(CASE WHEN json_type(p) = 'OBJECT' AND json_type(p -> 'traces') = 'ARRAY' THEN p -> 'traces' END) AS BIGINT))) AS u(i)
+),
+trace AS (
+    SELECT *, t ->> 'id' AS trace_id FROM listed_trace WHERE json_type(t) = 'OBJECT' AND json_type(t -> 'id') = 'VARCHAR'
+    QUALIFY row_number() OVER (PARTITION BY t ->> 'id' ORDER BY record_id, ord) = 1
+),
+owner AS (SELECT trace_id, min(run_id) AS run_id FROM node GROUP BY trace_id HAVING min(run_id) IS NOT NULL),
+number AS (
+    SELECT o.run_id, record_id, t, CASE WHEN json_type(t -> '$.rewards.tests.score') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(t ->> '$.rewards.tests.score' AS DOUBLE) END AS reward,
+        CASE WHEN json_type(t -> '$.metrics.passed_cases') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(t ->> '$.metrics.passed_cases' AS DOUBLE) END AS passed,
+        CASE WHEN json_type(t -> '$.metrics.total_cases') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(t ->> '$.metrics.total_cases' AS DOUBLE) END AS total
+    FROM trace JOIN owner o USING (trace_id)
+),
+head AS (
+    SELECT run_id, count(DISTINCT record_id) AS trace_files, count(*) AS traces, CAST(coalesce(sum(CASE WHEN passed = floor(passed) THEN passed END), 0) AS BIGINT) AS passed_cases,
+        CAST(coalesce(sum(CASE WHEN total = floor(total) THEN total END), 0) AS BIGINT) AS total_cases, round(avg(reward), 9) AS sealed_validation_reward,
+        sha256('[' || string_agg(coalesce(t ->> '$.task.data.task_id', '') || '|' || coalesce(t ->> '$.task.data.split', ''), ',' ORDER BY coalesce(t ->> '$.task.data.task_id', ''), coalesce(t ->> '$.task.data.split', '')) || ']') AS comparison_sha256
+    FROM number GROUP BY run_id
+),
+model_call AS (SELECT run_id, t -> 'calls' -> i ->> 'finish_reason' AS r FROM number, unnest(range(CAST(json_array_length(CASE WHEN json_type(t -> 'calls') = 'ARRAY' THEN t -> 'calls' END) AS BIGINT))) AS u(i)),
+model AS (SELECT run_id, count(*) AS model_calls, count(*) FILTER (r IN ('stop', 'tool_calls')) AS completed_model_calls, count(*) FILTER (r = 'length') AS length_limited_calls FROM model_call GROUP BY run_id),
+sample AS (SELECT trace_id, tools FROM training_samples QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC, sample_id DESC) = 1),
+tool AS (
+    SELECT trace_id, x.function.name AS name, CAST(x.function.parameters AS JSON) AS p FROM (SELECT trace_id, unnest(tools) AS x, unnest(range(CAST(len(tools) AS BIGINT))) AS i FROM sample)
+    QUALIFY row_number() OVER (PARTITION BY trace_id, x.function.name ORDER BY i DESC) = 1
+),
+checked AS (
+    SELECT c.trace_id, c.node, t.name IS NULL AS unavailable, t.name IS NOT NULL AND len(list_filter(json_keys(a), lambda k: NOT list_contains(json_keys(p -> 'properties'), k)
+        OR json_type(a -> ('$."' || k || '"')) IS DISTINCT FROM CASE p -> 'properties' -> k ->> 'type' WHEN 'string' THEN 'VARCHAR' WHEN 'boolean' THEN 'BOOLEAN' END)) > 0 AS misfit
+    FROM parsed c LEFT JOIN tool t ON t.trace_id = c.trace_id AND t.name = c.name
+),
+by_turn AS (SELECT trace_id, node, count(*) AS parsed, count(*) FILTER (unavailable) AS unavailable, count(*) FILTER (misfit) AS misfits FROM checked GROUP BY ALL),
+total AS (
+    SELECT o.run_id, count(*) AS sampled_turns, count(*) FILTER (listed AND n > 0) AS parsed_turns, CAST(coalesce(sum(b.parsed), 0) AS BIGINT) AS parsed_calls,
+        CAST(sum(n + CASE WHEN listed THEN 0 ELSE 1 END) AS BIGINT) AS tool_call_attempts, CAST(coalesce(sum(b.unavailable), 0) AS BIGINT) AS unavailable_tool_calls,
+        CAST(sum(n + CASE WHEN listed THEN 0 ELSE 1 END - coalesce(b.parsed, 0) + coalesce(b.unavailable, 0) + coalesce(b.misfits, 0)) AS BIGINT) AS invalid_calls, count(*) FILTER (repeated) AS repeated_call_turns
+    FROM sized s JOIN owner o USING (trace_id) LEFT JOIN by_turn b USING (trace_id, node) LEFT JOIN repeat r USING (trace_id, node) GROUP BY o.run_id
+),
+run AS (SELECT DISTINCT run_id FROM owner WHERE run_id IN (SELECT run_id FROM head) OR run_id IN (SELECT run_id FROM total))
+"""
+
+
+@query(_TURNS + _RECORDS + """
+SELECT run_id, 1 AS schema_version, 'native' AS parser, coalesce(trace_files, 0) AS trace_files, coalesce(traces, 0) AS traces, coalesce(sampled_turns, 0) AS sampled_turns, coalesce(parsed_turns, 0) AS parsed_turns,
+    coalesce(parsed_calls, 0) AS parsed_calls, coalesce(tool_call_attempts, 0) AS tool_call_attempts, coalesce(invalid_calls, 0) AS invalid_calls, coalesce(unavailable_tool_calls, 0) AS unavailable_tool_calls,
+    coalesce(repeated_call_turns, 0) AS repeated_call_turns, coalesce(completed_model_calls, 0) AS completed_model_calls, coalesce(model_calls, 0) AS model_calls, coalesce(length_limited_calls, 0) AS length_limited_calls,
+    coalesce(passed_cases, 0) AS passed_cases, coalesce(total_cases, 0) AS total_cases, sealed_validation_reward, CASE WHEN coalesce(tool_call_attempts, 0) = 0 THEN 0.0 ELSE CAST(parsed_calls AS DOUBLE) / tool_call_attempts END AS parsed_tool_call_rate,
+    CASE WHEN coalesce(tool_call_attempts, 0) = 0 THEN 0.0 ELSE CAST(invalid_calls AS DOUBLE) / tool_call_attempts END AS invalid_tool_rate, CASE WHEN coalesce(model_calls, 0) = 0 THEN 0.0 ELSE CAST(completed_model_calls AS DOUBLE) / model_calls END AS end_token_rate,
+    CASE WHEN coalesce(parsed_turns, 0) = 0 THEN 0.0 ELSE CAST(repeated_call_turns AS DOUBLE) / parsed_turns END AS loop_rate, comparison_sha256
+FROM run LEFT JOIN head USING (run_id) LEFT JOIN total USING (run_id) LEFT JOIN model USING (run_id)
+""")
+def trace_report(spark, d):
+    """The metrics report of every run: turns and calls by its messages, tools of its samples, model calls, cases and rewards by its records."""
+    nodes = nodes_of(spark, d)
+    owner = nodes.groupBy("trace_id").agg(F.min("run_id").alias("run_id")).where("run_id is not null")
+    lines = load(spark, d, "trace_records").select("record_id", F.col("payload").alias("line"))
+    frames = flatten(read_traces(lines, ["record_id"])[0], ["record_id", "trace_ord"])
+    heads = T.first_wins(frames["traces"].where("trace_id is not null"), ["trace_id"], ["record_id", "trace_ord"]).join(owner, "trace_id")
+    place = heads.select("record_id", "trace_ord", "run_id")
+    samples = load(spark, d, "training_samples").groupBy("trace_id").agg(F.max_by("tools", F.struct("created_at", "sample_id")).alias("tools"))
+    tools = samples.select("trace_id", F.posexplode("tools").alias("tool_ord", "t")).select("trace_id", "tool_ord", "t.function.name", "t.function.parameters")
+    parts = {"traces": heads, "tools": tools, "nodes": nodes.drop("run_id").join(owner, "trace_id"), "model_calls": frames["model_calls"].join(place, ["record_id", "trace_ord"])}
+    task, split = (F.coalesce(c, F.lit("")) for c in ("task_id", "split"))
+    entries = heads.select("run_id", task.alias("task_id"), F.concat_ws("|", task, split).alias("entry"))
+    report = measure_report(parts, entries, "native", ["trace_id"], "record_id", ("run_id",))
+    return report.withColumn("sealed_validation_reward", F.round("sealed_validation_reward", 9))
+
+
 _CALLS = P6[: P6.index("sampling AS (")].rstrip().rstrip(",")
 
 

@@ -76,7 +76,10 @@ def read_traces(lines: DataFrame, keep: list[str] | None = None) -> tuple[DataFr
 
 
 def flatten(traces: DataFrame, keep: list[str]) -> dict[str, DataFrame]:
-    """Frames ``traces, nodes, tools, model_calls`` of a frame with a VARIANT column ``trace``."""
+    """Frames ``traces, nodes, tools, model_calls`` of a frame with a VARIANT column ``trace``.
+
+    ``score`` is what makes a trace successful (true counts as one, none as zero), ``reward`` the number given, if one is.
+    """
     t = F.col("trace")
     get = lambda path, kind: F.try_variant_get(t, path, kind)
     base = traces.withColumn("trace_id", J.text(J.at(t, "$.id")))
@@ -87,6 +90,7 @@ def flatten(traces: DataFrame, keep: list[str]) -> dict[str, DataFrame]:
         get("$.stop_condition", "string").alias("stop_condition"),
         # true counts as one, as it compares equal to it
         F.coalesce(J.number(J.at(t, "$.rewards.tests.score")), J.is_true(J.at(t, "$.rewards.tests.score")).cast("double")).alias("score"),
+        J.number(J.at(t, "$.rewards.tests.score")).alias("reward"),
         get(f"{task}.task_id", "string").alias("task_id"),
         J.integer(J.at(t, f"{task}.task_revision")).alias("task_revision"),
         get(f"{task}.split", "string").alias("split"),
