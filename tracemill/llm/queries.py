@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.chunking import split_oversized
@@ -50,6 +50,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source of the held-out records: how many there are, recur in train, recur exactly, and their pairs."""
+    return p1_report(spark, d).select("split", "source", "records", "overlapping", "exact", "pairs")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(load(spark, d, "trace_messages"), load(spark, d, "spellings")).select("trace_id", "pos", "msg_id")
 
@@ -84,6 +89,13 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(task_entities(load(spark, d, "tasks"), load(spark, d, "spellings")), "record_id", ENTITIES, load(spark, d, "split_targets")).select("record_id", "split")
 
 
+def p4_together(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the task rows that got a split, and the groups of related rows that were torn apart."""
+    rows = assign_splits(task_entities(load(spark, d, "tasks"), load(spark, d, "spellings")), "record_id", ENTITIES, load(spark, d, "split_targets"))
+    groups = rows.groupBy("component").agg(F.count("split").alias("rows"), ((F.min("split") != F.max("split")) & F.col("component").isNotNull()).alias("apart"))
+    return groups.agg(F.sum("rows").alias("rows"), F.count_if("apart").alias("apart"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_turns(load(spark, d, "trace_messages"), load(spark, d, "spellings")).select("trace_id", "first_node", "last_node", "n_turns")
 
@@ -93,6 +105,12 @@ def p5_near_runs(spark: SparkSession, d: str) -> DataFrame:
     return near_repeated_turns(load(spark, d, "trace_messages"), load(spark, d, "spellings")).select("trace_id", "first_node", "last_node", "n_turns", "duration_s")
 
 
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    """What the runs of near-identical turns hold of each trace: every turn once."""
+    runs = near_repeated_turns(load(spark, d, "trace_messages"), load(spark, d, "spellings"))
+    return runs.groupBy("trace_id").agg(F.sum("n_turns").alias("n_turns"), F.min("first_node").alias("first_node"), F.max("last_node").alias("last_node"))
+
+
 def p5_reports(spark: SparkSession, d: str) -> DataFrame:
     """Repeated turns of each run by its messages beside what its report says."""
     messages = load(spark, d, "trace_messages")
@@ -112,6 +130,11 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p7_longest(spark: SparkSession, d: str) -> DataFrame:
+    """The longest passage that each document has of each item."""
+    return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id", "longest")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).copies()
 
@@ -120,13 +143,32 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).shares()
 
 
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: no document is used more often than allowed, and the tokens miss the target by less than a document."""
+    mix = Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    used = mix.copies().groupBy("source").agg(F.max("copies").alias("most"), F.max("n_tokens").alias("longest"))
+    whole = F.sum("tokens").over(Window.partitionBy())  # a row per source
+    shares = mix.shares().withColumn("miss", F.abs(F.col("tokens") - F.col("target_share") * whole))
+    return shares.join(used, "source").select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("miss") <= F.col("longest")).alias("near_target"))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(load(spark, d, "documents"), limit=512, overlap=64)
 
 
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: its characters, and whether its pieces hold them all in order, each within the limit and ending behind the one before."""
+    inorder = Window.partitionBy("doc_id").orderBy("piece")
+    rows = p9_pieces(spark, d).withColumns({"end_before": F.lag("end").over(inorder), "start_before": F.lag("start").over(inorder)})
+    first = (F.col("piece") == 0) & (F.col("start") == 0)
+    later = (F.col("start") > F.col("start_before")) & (F.col("start") <= F.col("end_before")) & (F.col("end") > F.col("end_before"))
+    fine = F.coalesce(first | later, F.lit(False)) & (F.col("n_tokens") <= 512) & (F.length("text") == F.col("end") - F.col("start"))
+    return rows.groupBy("doc_id").agg(F.max("end").alias("n_chars"), F.bool_and(fine).alias("whole"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_report, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_splits,
-        p5_found, p5_near_runs, p5_reports, p7_found, p7_coverage, p8_mix, p8_shares, p9_pieces,
+        p1_found, p1_report, p1_counts, p2_found, p2_conversations, p3_found, p3_groups, p4_found, p4_splits, p4_together,
+        p5_found, p5_near_runs, p5_turns, p5_reports, p7_found, p7_coverage, p7_longest, p8_mix, p8_shares, p8_bounds, p9_pieces, p9_bounds,
     )
     return {f.__name__: f for f in every}

