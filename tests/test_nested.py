@@ -4,11 +4,13 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracemill.operators.nested import OPEN_OBJECT, SCALAR, STRING, JsonIndex, _bytes, trace_children, trace_tables
+from tracemill.functions.wordhash import text_bytes
 from tracemill.tables import load
 
 TEXTS = [
@@ -179,3 +181,14 @@ def test_tables(spark):
 
 def test_scalar_is_a_kind():
     assert SCALAR > STRING
+
+
+def test_any_depth():
+    """Parents are right however deep a text is."""
+    n = (1 << 20) + 5
+    texts = pa.array(["[" * n + "[1],[2]" + "]" * n, '{"a":[1]}'])
+    index = JsonIndex(*text_bytes(texts, False))
+    assert index.valid.all()
+    deep = np.flatnonzero((index.doc == 0) & (index.kind == SCALAR))
+    one, two = index.parent[deep]
+    assert one != two and index.parent[one] == index.parent[two] and index.place[two] == 1

@@ -136,8 +136,8 @@ class JsonIndex:
         head = np.concatenate([np.full(len(member), -1), heads])
         rank = np.concatenate([level, depth[heads]])
         order = np.lexsort((entry, rank, doc[entry]))
-        group = doc[entry][order] * (1 << 20) + np.clip(rank[order], 0, (1 << 20) - 1)
-        fresh = np.r_[True, group[1:] != group[:-1]] if len(order) else np.zeros(0, bool)
+        d, r = doc[entry][order], rank[order]
+        fresh = np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])] if len(order) else np.zeros(0, bool)
         seen = np.where(head[order] >= 0, np.arange(len(order)), -1)
         seen = np.where(fresh & (seen < 0), np.arange(len(order)), seen)
         carried = np.maximum.accumulate(seen) if len(seen) else seen
