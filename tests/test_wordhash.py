@@ -90,3 +90,10 @@ def test_sorting_within_parts():
             assert order[a:b].tolist() == sorted(range(a, b), key=lambda k: (values[k], k))
             assert found[at[i] : at[i + 1]].tolist() == sorted(set(values[a:b].tolist()))
         assert (values == before).all() and len(at) == len(sizes) + 1
+
+
+def test_cuts_that_are_replaced_go(spark):
+    one = session.cut(spark.range(3), "one")
+    folder = session._places[id(one)][0]
+    two = session.cut(one.where("id > 0"), "two", one)
+    assert not os.path.exists(os.path.dirname(folder)) and two.count() == 2

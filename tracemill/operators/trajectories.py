@@ -215,7 +215,7 @@ def chains(nodes: DataFrame) -> DataFrame:
         longer = F.when(F.col("there"), F.concat("head", "chain")).otherwise(F.col("chain"))
         broken = F.col("up").isNotNull() & (F.col("there").isNull() | F.exists("head", lambda x: x == F.col("node")))
         now = cut(
-            joined.select("trace_id", "node", F.when(~broken, F.col("next")).alias("up"), F.when(~broken & F.col("chain").isNotNull(), longer).alias("chain")), "chains"
+            joined.select("trace_id", "node", F.when(~broken, F.col("next")).alias("up"), F.when(~broken & F.col("chain").isNotNull(), longer).alias("chain")), "chains", now
         )
     return now.select("trace_id", "node", "chain")
 
@@ -237,7 +237,7 @@ def depths(nodes: DataFrame) -> DataFrame:
         above = now.select("trace_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         joined = now.join(above, ["trace_id", "up"], "left")
         depth = F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("more"))
-        now = cut(joined.select("trace_id", "node", F.when(depth.isNotNull(), F.col("next")).alias("up"), depth.alias("depth")), "depths")
+        now = cut(joined.select("trace_id", "node", F.when(depth.isNotNull(), F.col("next")).alias("up"), depth.alias("depth")), "depths", now)
         passed *= 2
     return now.select("trace_id", "node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders written by :func:`cut`, removed when the process ends.
 _written: list[tuple[SparkSession, str]] = []
+#: Where the frames that :func:`cut` gave lie, by identity.
+_places: dict[int, tuple[str, DataFrame]] = {}
 
 
 def get_session(app: str = "tracemill", cores: int | None = None, shuffle: int | None = None) -> SparkSession:
@@ -54,25 +56,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     The plan upstream runs once, its result survives the loss of executors, and
-    later readers prune columns. The files go when the process ends.
+    later readers prune columns. The files go when the process ends, those of
+    ``instead_of`` (a cut that nothing else reads) as soon as these are written.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        _remove(spark, _places.pop(id(instead_of))[0])
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = path, out
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _written.remove((spark, path))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_cuts() -> None:
     """Remove what :func:`cut` wrote."""
+    _places.clear()
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(*_written[-1])
         except Exception:  # the JVM may be gone already
-            return
+            _written.clear()
