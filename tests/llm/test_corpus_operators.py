@@ -66,6 +66,15 @@ def documents(spark, seed=0, n=600):
     return spark.createDataFrame([*rows, (None, "a", "no id"), (n, "a", None), (n + 1, "b", "")], "doc_id bigint, source string, text string").withColumn("salt", F.lit("x")).withColumn("copies", F.lit(1))
 
 
+def test_fixed_ranges_keep_splits(spark):
+    """With fixed ranges a component's split doesn't depend on the other rows, however large one of them is."""
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split string, share double")
+    few = spark.range(600).selectExpr("id", "concat('f', id % 300) AS family")
+    more = few.unionByName(spark.range(600, 1500).selectExpr("id", "'large' AS family"))
+    one, two = ({r.component: r.split for r in assign_splits(x, "id", ["family"], targets, fixed=True).collect()} for x in (few, more))
+    assert {c: two[c] for c in one} == one and set(one.values()) == {"train", "test"}
+
+
 def test_mixture_reaches_its_shares(spark):
     docs = documents(spark)
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 4), ("absent", 0.5, 1), (None, 0.5, 1)], "source string, weight double, max_repeats int")

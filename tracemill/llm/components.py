@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``edges`` has ``src`` and ``dst`` of one orderable type, in any direction;
     repeated edges count once, a loop gives a component of its own node, edges
-    with a null end are ignored. An empty table gives an empty result.
+    with a null end are ignored. An empty table gives an empty result. Rounds grow
+    with the logarithm of the largest component; RuntimeError if ``most_rounds`` don't do.
     """
     kept = edges.select("src", "dst").where("src is not null and dst is not null")
     loops = kept.select(F.col("src").alias("node")).where("src = dst").distinct()
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         seen, mark = Observation(), F.xxhash64("src", "dst")
         steps = _star(_star(now, True), False).observe(seen, F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s"))
-        now = cut(steps, "edges")
+        now = cut(steps, "edges", now)
         state = seen.get  # taken while the edges were written
         if state == before:
             break

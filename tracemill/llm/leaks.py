@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.wordhash import grams_of, slices, words_of
+from tracemill.llm.shingles import hash_filter, may_hold
+from tracemill.session import cut
 
 #: Items of up to so many bytes of text go to every task; beyond, seeds are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -227,16 +229,21 @@ def _scan(docs: DataFrame, held: DataFrame, least: int) -> DataFrame:
 def _joined(docs: DataFrame, held: DataFrame, least: int) -> DataFrame:
     """Seeds of both sides meet in a shuffle; then each pair is tiled from its texts.
 
-    Rows are told apart by a row key, so that repeated ids keep their own rows.
+    Of the documents only seeds that pass a filter of the items' are shuffled, where
+    the items have few enough for one. Rows are told apart by a row key, so that
+    repeated ids keep their own rows.
     """
 
-    def seeds(of: str, key: str):
+    def seeds(of: str, key: str, known=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, of):
                     words, bounds = words_of(batch.column(batch.schema.get_field_index(of)))
                     grams, at = grams_of(words, bounds, least)
                     row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                    if known is not None:
+                        good = may_hold(known.value, grams)
+                        grams, row = grams[good], row[good]
                     ids = batch.column(batch.schema.get_field_index(key)).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), ids], ["seed", key])
 
@@ -244,8 +251,10 @@ def _joined(docs: DataFrame, held: DataFrame, least: int) -> DataFrame:
 
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     held = held.withColumn("item_key", F.xxhash64("item_id", "item_text"))
-    a = docs.mapInArrow(seeds("text", "doc_key"), "seed bigint, doc_key bigint").distinct()
-    b = held.mapInArrow(seeds("item_text", "item_key"), "seed bigint, item_key bigint").distinct()
+    b = cut(held.mapInArrow(seeds("item_text", "item_key"), "seed bigint, item_key bigint").distinct(), "seeds")
+    bits = hash_filter(b, "seed")
+    known = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+    a = docs.mapInArrow(seeds("text", "doc_key", known), "seed bigint, doc_key bigint").distinct()
     pairs = a.join(b, "seed").select("doc_key", "item_key").distinct()
     whole = pairs.join(docs, "doc_key").join(held, "item_key").select("doc_id", "item_id", "text", "item_text")
 

@@ -35,9 +35,6 @@ from tracemill.session import cut
 WINDOW = 3
 #: Words of the fingerprints that go with each hash into the join.
 PRINT = 4
-#: Bits of the filter of selected hashes: this many for each, between the two bounds (32 MB at most); with over half the upper bound hashes there is none.
-FILTER_BITS, FILTER = 8, (1 << 18, 1 << 28)
-BLOCK = 1 << 18
 
 
 def _distinct(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +152,7 @@ def _selected(shared, t: float, k: int, known=None):
                 take, r, place = S.rarest(grams, edges, counts, t)
                 keys = grams[take] ^ np.asarray(S.column(batch, "field")).astype(np.uint64)[r]
                 if known is not None:
-                    bits = known.value
-                    h = keys & np.uint64(8 * len(bits) - 1)
-                    good = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    good = S.may_hold(known.value, keys)
                     take, r, place, keys = take[good], r[good], place[good], keys[good]
                 of = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
@@ -168,29 +163,6 @@ def _selected(shared, t: float, k: int, known=None):
     return run
 
 
-def _filter(selected: DataFrame) -> np.ndarray | None:
-    """Bits of all selected hashes; each block of them is made by one task. None if there are too many for a filter."""
-    n = selected.count()
-    if 2 * n > FILTER[1]:
-        return None
-    size = min(max(1 << (FILTER_BITS * n).bit_length(), FILTER[0]), FILTER[1])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = (np.asarray(batch.column(0)).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
-            for i in np.unique(h // BLOCK).tolist():
-                blocks.setdefault(i, np.zeros(BLOCK, bool))[h[h // BLOCK == i] % BLOCK] = True
-        packed = [np.packbits(x, bitorder="little").tobytes() for x in blocks.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
-
-    bits = np.zeros((size // BLOCK, BLOCK // 8), np.uint8)
-    grams = selected.select("gram").repartition(F.expr(f"(gram & {size - 1}L) div {BLOCK}"))
-    for row in grams.mapInArrow(mark, "block int, bits binary").toLocalIterator():
-        bits[row.block] |= np.frombuffer(row.bits, np.uint8)
-    return bits.ravel()
-
-
 def _verified(t: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -241,7 +213,7 @@ def find_overlaps(records: DataFrame, threshold: float = 0.8, shingle: int = 5)
     counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: (grams_of(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text")), total))
     shape = ["cls", "field", "n", "text"]
     selected = cut(classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED), "selected")
-    bits = _filter(selected)
+    bits = S.hash_filter(selected, "gram")
     known = None if bits is None else context.broadcast(bits)
     index = classes.where("some_train").select(shape).mapInArrow(_selected(counts, t, shingle, known), SELECTED)
     h, x = selected.alias("h"), index.alias("x")

@@ -23,6 +23,8 @@ from tracemill.session import cut
 COUNTERS = 1 << 16, 1 << 22
 #: Counters of the sketch that are summed up together.
 BLOCK = 1 << 12
+#: Bits of a filter of hashes: this many for each, between two bounds (32 MB at most), made in blocks; for over half the upper bound hashes there is none.
+FILTER_BITS, FILTER, FILTER_BLOCK = 8, (1 << 18, 1 << 28), 1 << 18
 _SALTS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -119,6 +121,35 @@ def sketch(sets: DataFrame, grams, total: int) -> np.ndarray:
     return out.ravel()
 
 
+def hash_filter(hashes: DataFrame, column: str) -> np.ndarray | None:
+    """Bits of all hashes of a written frame; each block of them is made by one task. None if there are too many for a filter."""
+    n = hashes.count()
+    if 2 * n > FILTER[1]:
+        return None
+    size = min(max(1 << (FILTER_BITS * n).bit_length(), FILTER[0]), FILTER[1])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = (np.asarray(batch.column(0)).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            for i in np.unique(h // FILTER_BLOCK).tolist():
+                blocks.setdefault(i, np.zeros(FILTER_BLOCK, bool))[h[h // FILTER_BLOCK == i] % FILTER_BLOCK] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in blocks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+    bits = np.zeros((size // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
+    blocks = hashes.select(column).repartition(F.expr(f"({column} & {size - 1}L) div {FILTER_BLOCK}"))
+    for row in blocks.mapInArrow(mark, "block int, bits binary").toLocalIterator():
+        bits[row.block] |= np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter; all that are."""
+    h = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def ranks(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """An order of grams, rare ones first by the sketch, the same for all rows."""
     often = counts[(grams & np.uint64(len(counts) - 1)).astype(np.int64)] >> max(0, int(counts.max(initial=0)).bit_length() - 24)

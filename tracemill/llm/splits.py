@@ -74,12 +74,14 @@ def related_groups(records: DataFrame, record_id: str, entities: list[str]) -> D
     return rows.join(several, "component").select("record_id", F.substring("component", 2, 1 << 30).alias("group_name"))
 
 
-def assign_splits(records: DataFrame, record_id: str, entities: list[str], targets: DataFrame, seed: int = 0) -> DataFrame:
+def assign_splits(records: DataFrame, record_id: str, entities: list[str], targets: DataFrame, seed: int = 0, fixed: bool = False) -> DataFrame:
     """``record_id``, ``component`` and ``split`` of every record.
 
     ``targets`` has ``split`` and ``share``, a table of a handful of rows; shares
     are taken relative to their sum. A record without an entity is a component of
-    its own. The same rows and seed give the same splits.
+    its own. The same rows and seed give the same splits. With ``fixed`` ranges are
+    the shares themselves, for large components too: a component keeps its split whatever
+    other rows come, but a large one may take the splits far from their shares.
     """
     wanted = [(r["split"], float(r["share"])) for r in targets.where("share > 0").orderBy("split").limit(1001).collect()]
     if not wanted or len(wanted) > 1000:
@@ -90,7 +92,7 @@ def assign_splits(records: DataFrame, record_id: str, entities: list[str], targe
     total = rows.count()
     missing = {name: share / whole * total for name, share in wanted}
     placed = {}
-    for row in sizes.where(F.col("n") > LARGE * total).orderBy(F.desc("n"), "component").collect():  # at most 1 / LARGE
+    for row in sizes.where(F.lit(not fixed) & (F.col("n") > LARGE * total)).orderBy(F.desc("n"), "component").collect():  # at most 1 / LARGE
         best = max(wanted, key=lambda w: (missing[w[0]], w[1]))[0]
         placed[row.component] = best
         missing[best] -= row.n
