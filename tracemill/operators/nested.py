@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,8 +178,10 @@ class JsonIndex:
         named = context[value] == 1
         self.key_start = np.where(named, pos[np.maximum(value - 2, 0)], -1)
         self.key_end = np.where(named, ends[np.maximum(value - 2, 0)], -1)
-        # names written with escapes
-        self.escaped = named & (np.searchsorted(slash, self.key_start) != np.searchsorted(slash, self.key_end))
+        # names, and texts, written with escapes
+        within = lambda a, b: np.searchsorted(slash, a) != np.searchsorted(slash, b)
+        self.escaped = named & within(self.key_start, self.key_end)
+        self.text_escaped = (self.kind == STRING) & within(self.start, self.end)
         self.null = (self.kind == SCALAR) & (raw[self.start] == ord("n"))
 
     def _doc_of(self, positions: np.ndarray) -> np.ndarray:
@@ -214,20 +217,48 @@ class JsonIndex:
         span = self.data[self.key_start[value] : self.key_end[value]]
         return json.loads(span) if self.escaped[value] else span[1:-1].decode()
 
+    def names(self, values: np.ndarray) -> pa.Array:
+        """The decoded names of values of objects."""
+        return self._decoded(values, self.key_start[values], self.key_end[values], self.escaped[values])
+
+    def strings(self, values: np.ndarray) -> pa.Array:
+        """The decoded texts of strings."""
+        return self._decoded(values, self.start[values], self.end[values], self.text_escaped[values])
+
     def text(self, value: int) -> str:
         """The bytes of a value as they stand."""
         return self.data[self.start[value] : self.end[value]].decode()
 
-    def string(self, value: int) -> str:
-        """The decoded text of a string."""
-        span = self.data[self.start[value] : self.end[value]]
-        return json.loads(span) if b"\\" in span else span[1:-1].decode()
+    def texts(self, values: np.ndarray) -> pa.Array:
+        """The bytes of values as they stand."""
+        return self._spans(self.start[values], self.end[values])
+
+    def _spans(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(end - start)])
+        at = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)
+        kept = pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self.raw[at]))
+        return pa.Array.from_buffers(pa.large_string(), len(start), [None, *kept]).cast(pa.string())
+
+    def _decoded(self, values: np.ndarray, start: np.ndarray, end: np.ndarray, escaped: np.ndarray) -> pa.Array:
+        """What stands between quotes; only what is written with escapes is decoded one by one."""
+        out = self._spans(start + 1, end - 1)
+        odd = np.flatnonzero(escaped)
+        if not len(odd):
+            return out
+        found = _strings([json.loads(self.data[a:b]) for a, b in zip(start[odd].tolist(), end[odd].tolist())])
+        return pc.replace_with_mask(out, pa.array(escaped), found)
 
     def counted(self, child: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Whether a child counts: of equal names of an object only the last does."""
-        keys = [(o, self.name(c)) if k >= 0 else (o, c) for c, o, k in zip(child.tolist(), of.tolist(), self.key_start[child].tolist())]
-        final = dict(zip(keys, range(len(keys))))
-        return np.array([final[k] == i for i, k in enumerate(keys)], bool) if len(final) < len(keys) else np.ones(len(keys), bool)
+        out = np.ones(len(child), bool)
+        named = np.flatnonzero(self.key_start[child] >= 0)
+        if len(named):
+            codes = np.asarray(pc.dictionary_encode(self.names(child[named])).indices).astype(np.int64)
+            pair = of[named] * (codes.max() + 1) + codes
+            order = np.argsort(pair, kind="stable")
+            last = np.r_[pair[order][1:] != pair[order][:-1], True]
+            out[named[order[~last]]] = False
+        return out
 
 
 CHILDREN = "record_id bigint, trace_pos int, child string, child_key string, value string"
@@ -241,10 +272,29 @@ def _strings(values) -> pa.Array:
         return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
+class _Owners:
+    """The traces that values belong to: a place among the records, and in the record's traces; for samplings the call's place too."""
+
+    def __init__(self, record: np.ndarray, trace: np.ndarray, call: np.ndarray | None = None):
+        self.record, self.trace, self.call = record, trace, call
+
+    def take(self, at: np.ndarray) -> _Owners:
+        return _Owners(self.record[at], self.trace[at], None if self.call is None else self.call[at])
+
+
 class _Out:
-    def __init__(self):
-        self.rows: list[tuple] = []
-        self.texts: list[tuple] = []  # what is to be indexed in the next round
+    def __init__(self, values: bool):
+        self.values = values
+        self.rows: list[tuple[_Owners, str, pa.Array, pa.Array]] = []
+        self.texts: list[tuple[str, _Owners, pa.Array]] = []  # what is to be indexed in the next round
+
+    def add(self, owners: _Owners, child: str, keys: pa.Array, ix: JsonIndex, values: np.ndarray) -> None:
+        if len(values):
+            self.rows.append((owners, child, keys, ix.texts(values) if self.values else pa.nulls(len(values), pa.string())))
+
+
+def _numbers(values: np.ndarray) -> pa.Array:
+    return pa.array(values).cast(pa.string())
 
 
 def _elements(ix: JsonIndex, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,106 +305,104 @@ def _elements(ix: JsonIndex, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.r_[child, values[lone]], np.r_[arrays[of], lone], np.r_[ix.place[child], np.zeros(len(lone), np.int64)]
 
 
-def _take(ix: JsonIndex, what: str, values: np.ndarray, owners: list[tuple], out: _Out) -> None:
+def _take(ix: JsonIndex, what: str, values: np.ndarray, owners: _Owners, out: _Out) -> None:
     """Children of kind ``what`` below ``values``, or their texts for the next round."""
     texts = np.flatnonzero(ix.kind[values] == STRING)
-    for i in texts.tolist():
-        out.texts.append((what, owners[i], ix.string(values[i])))
+    if len(texts):
+        out.texts.append((what, owners.take(texts), ix.strings(values[texts])))
     rest = np.flatnonzero(ix.kind[values] <= OPEN_ARRAY)
-    values, owners = values[rest], [owners[i] for i in rest.tolist()]
+    values, owners = values[rest], owners.take(rest)
+    objects, lists = np.flatnonzero(ix.kind[values] == OPEN_OBJECT), np.flatnonzero(ix.kind[values] == OPEN_ARRAY)
     if what == "rewards":
-        objects = np.flatnonzero(ix.kind[values] == OPEN_OBJECT)
         child, of = ix.children(values[objects])
         fine = ix.counted(child, of) & ~ix.null[child]
-        for c, o in zip(child[fine].tolist(), objects[of[fine]].tolist()):
-            out.rows.append((*owners[o], "reward", ix.name(c), ix.text(c)))
-        lists = np.flatnonzero(ix.kind[values] == OPEN_ARRAY)
+        out.add(owners.take(objects[of[fine]]), "reward", ix.names(child[fine]), ix, child[fine])
         child, of = ix.children(values[lists])
         entry = ix.kind[child] == OPEN_OBJECT
         child, of = child[entry], of[entry]
         named, which = ix.fields(child, "name")
-        for c, w in zip(named.tolist(), which.tolist()):
-            if ix.kind[c] == STRING:
-                out.rows.append((*owners[lists[of[w]]], "reward", ix.string(c), ix.text(child[w])))
+        text = ix.kind[named] == STRING
+        out.add(owners.take(lists[of[which[text]]]), "reward", ix.strings(named[text]), ix, child[which[text]])
     elif what == "metrics":
-        paths = [(o, "") for o in owners]
+        paths = None
         while len(values):
             child, of = ix.children(values)
             fine = ix.counted(child, of) & ~ix.null[child]
             child, of = child[fine], of[fine]
-            inner, deeper = [], []
-            for c, o in zip(child.tolist(), of.tolist()):
-                owner, path = paths[o]
-                path += ("." if path else "") + (ix.name(c) if ix.key_start[c] >= 0 else str(ix.place[c]))
-                if ix.kind[c] >= STRING:
-                    out.rows.append((*owner, "metric", path, ix.text(c)))
-                else:
-                    inner.append(c)
-                    deeper.append((owner, path))
-            values, paths = np.array(inner, np.int64), deeper
+            own = ix.key_start[child] >= 0
+            step = _numbers(ix.place[child])
+            if own.any():
+                step = pc.replace_with_mask(step, pa.array(own), ix.names(child[own]))
+            if paths is not None:
+                above = paths.take(pa.array(of))
+                step = pc.if_else(pc.equal(above, ""), step, pc.binary_join_element_wise(above, step, "."))
+            owners = owners.take(of)
+            leaf = ix.kind[child] >= STRING
+            out.add(owners.take(leaf), "metric", step.filter(pa.array(leaf)), ix, child[leaf])
+            values, owners, paths = child[~leaf], owners.take(~leaf), step.filter(pa.array(~leaf))
     elif what == "calls":
         child, of, place = _elements(ix, values)
-        objects = ix.kind[child] == OPEN_OBJECT
-        child, of, place = child[objects], of[objects], place[objects]
-        for c, o, p in zip(child.tolist(), of.tolist(), place.tolist()):
-            out.rows.append((*owners[o], "call", str(p), ix.text(c)))
+        call = ix.kind[child] == OPEN_OBJECT
+        child, of, place = child[call], of[call], place[call]
+        out.add(owners.take(of), "call", _numbers(place), ix, child)
         found, which = ix.fields(child, "sampling")
-        _take(ix, "sampling", found, [(*owners[of[w]], str(place[w])) for w in which.tolist()], out)
-    else:  # sampling: owners carry the call's place
-        objects = np.flatnonzero(ix.kind[values] == OPEN_OBJECT)
+        mine = owners.take(of[which])
+        _take(ix, "sampling", found, _Owners(mine.record, mine.trace, place[which]), out)
+    else:  # sampling
         rules, which = ix.fields(values[objects], "stop_rules")
         child, of, place = _elements(ix, rules)
         fine = ~ix.null[child]
-        for c, o, p in zip(child[fine].tolist(), of[fine].tolist(), place[fine].tolist()):
-            record, trace, call = owners[objects[which[o]]]
-            out.rows.append((record, trace, "stop_rule", f"{call}.{p}", ix.text(c)))
-
-
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "payload", 1 << 20):
-            records = batch.column(0).to_pylist()
-            ix = JsonIndex(*_bytes(batch.column(1)))
-            out = _Out()
-            roots = ix.roots()
-            roots = roots[ix.kind[roots] == OPEN_OBJECT]
-            traces, of = ix.fields(roots, "traces")
-            arrays = ix.kind[traces] == OPEN_ARRAY
-            trace, _ = ix.children(traces[arrays])
-            trace = trace[ix.kind[trace] == OPEN_OBJECT]
-            owner = [(records[d], p) for d, p in zip(ix.doc[trace].tolist(), ix.place[trace].tolist())]
-            for what in ("rewards", "metrics", "calls"):
-                found, which = ix.fields(trace, what)
-                _take(ix, what, found, [owner[w] for w in which.tolist()], out)
-            while out.texts:  # JSON text in place of a value
-                texts, out.texts = out.texts, []
-                inner = JsonIndex(*_bytes(_strings([t for _, _, t in texts])))
-                tops = inner.roots()
-                kinds = np.array([texts[d][0] for d in inner.doc[tops]], object)
-                for what in ("rewards", "metrics", "calls", "sampling"):
-                    mine = tops[kinds == what]
-                    mine = mine[inner.kind[mine] <= OPEN_ARRAY]
-                    _take(inner, what, mine, [texts[d][1] for d in inner.doc[mine].tolist()], out)
-            columns = list(zip(*out.rows)) if out.rows else [[]] * 5
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *map(_strings, columns[2:])]
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHILDREN.split(", ")])
+        mine = owners.take(objects[which[of[fine]]])
+        out.add(mine, "stop_rule", pc.binary_join_element_wise(_numbers(mine.call), _numbers(place[fine]), "."), ix, child[fine])
+
+
+def _children(values: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "payload", 1 << 20):
+                ix = JsonIndex(*_bytes(batch.column(1)))
+                out = _Out(values)
+                roots = ix.roots()
+                roots = roots[ix.kind[roots] == OPEN_OBJECT]
+                traces, _ = ix.fields(roots, "traces")
+                trace, _ = ix.children(traces[ix.kind[traces] == OPEN_ARRAY])
+                trace = trace[ix.kind[trace] == OPEN_OBJECT]
+                owner = _Owners(ix.doc[trace], ix.place[trace])
+                for what in ("rewards", "metrics", "calls"):
+                    found, which = ix.fields(trace, what)
+                    _take(ix, what, found, owner.take(which), out)
+                while out.texts:  # JSON text in place of a value
+                    todo, out.texts = out.texts, []
+                    for what, owners, texts in todo:
+                        inner = JsonIndex(*_bytes(texts))
+                        tops = inner.roots()
+                        tops = tops[inner.kind[tops] <= OPEN_ARRAY]
+                        _take(inner, what, tops, owners.take(inner.doc[tops]), out)
+                if out.rows:
+                    record = batch.column(0).take(pa.array(np.concatenate([o.record for o, *_ in out.rows])))
+                    trace_pos = pa.array(np.concatenate([o.trace for o, *_ in out.rows]).astype(np.int32))
+                    child = pa.concat_arrays([pa.repeat(name, len(keys)) for _, name, keys, _ in out.rows])
+                    arrays = [record, trace_pos, child, *(pa.concat_arrays([r[i] for r in out.rows]) for i in (2, 3))]
+                    yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHILDREN.split(", ")])
+
+    return run
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(texts, fold=False)
 
 
-def trace_children(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
+def trace_children(records: DataFrame, record_id: str = "record_id", payload: str = "payload", values: bool = True) -> DataFrame:
     """Rewards, metrics, calls and stop rules of all traces of all payloads.
 
     One row each: ``record_id``, ``trace_pos`` (both name the parent trace),
     ``child``, ``child_key`` as TESTDATA.md defines them, and ``value``, the JSON
-    text of the child. A stop rule's key begins with its call's. Payloads that
+    text of the child (null without ``values``). A stop rule's key begins with its call's. Payloads that
     aren't one JSON object with an array ``traces``, null and empty ones included,
     give no row; of equal names in one object the last counts; equal rows each
     give their own rows; other columns are ignored.
     """
-    return records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).alias("payload")).where("payload is not null").mapInArrow(_children, CHILDREN)
+    return records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).alias("payload")).where("payload is not null").mapInArrow(_children(values), CHILDREN)
 
 
 def trace_tables(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> dict[str, DataFrame]:

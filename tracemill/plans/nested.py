@@ -11,7 +11,7 @@ from tracemill.tables import load
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return trace_children(load(spark, d, "trace_records")).select("record_id", "trace_pos", "child", "child_key")
+    return trace_children(load(spark, d, "trace_records"), values=False).select("record_id", "trace_pos", "child", "child_key")
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
