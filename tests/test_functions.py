@@ -105,3 +105,9 @@ def test_strict_json(spark):
     texts = ['"x"', '[{"type":"text","text":"a"},{"type":"text","text":"b"}]', "[]", '[{"type":"image"}]', "5", "null"]
     assert one(spark, J.flat_text(value), *texts) == ["x", "a\nb", "", None, None, None]
     assert one(spark, J.flat_text(J.at(value, "$.content")), "{}", '{"content":"  line"}') == ["", "  line"]
+
+
+def test_names(spark):
+    assert one(spark, S.fits(X, S.TASK_ID), "a/b", "ab", "A/b", "a" * 128, "a" * 129, "abc\n", "", None) == [True, False, False, True, False, False, False, False]
+    assert one(spark, S.fits(X, S.LICENSE), "MIT", "Apache-2.0", "GPL-2.0+", "MIT or", "-", None) == [True, True, True, False, False, False]
+    assert one(spark, S.fits(X, S.CASE_ID), "c1", "a.b_c-d", "a/b", "A") == [True, True, False, False]

@@ -239,6 +239,109 @@ def test_export(spark, tmp_path):
     assert E.within_length(samples, length, 5).count() == 3 and E.within_length(samples, length, 4).count() == 0
 
 
+def test_strict_exports(spark, tmp_path):
+    """The first fault of a successful trace stops a strict export; others' faults don't matter."""
+    call = use(1, "look", {"p": 1})
+    odd = {
+        "a role": ([node("narrator", "x", None)], "role is unknown"), "a text": ([node("user", [{"type": "image"}], None)], "content is no text"), "null": ([node("assistant", "x", None, tool_calls=None)], "calls are no list"),
+        "no id": ([node("assistant", "x", None, tool_calls=[call | {"id": None}])], "a call is not whole"), "no arguments": ([node("assistant", "x", None, tool_calls=[call | {"arguments": "["}])], "a call is not whole"),
+        "result": ([node("tool", "x", None)], "a result names no call"), "tool": ([node("assistant", "x", None, True, tool_calls=[use(1, "other", {})])], "unavailable tool: other"), "fine": ([node("assistant", "x", None, tool_calls=[use(1, "other", {})])], None),
+    }
+    write(tmp_path, "a", [trace(k, nodes=n) for k, (n, _) in odd.items()])
+    parts, _ = frames(spark, tmp_path)
+    order = ["file_ord", "line_no", "trace_ord"]
+    assert {r.trace_id: r.reason for r in E.export_faults(parts["nodes"], KINDS, order).collect()} == {k: why for k, (_, why) in odd.items() if why}
+    with pytest.raises(ValueError, match="a role, node 0: role is unknown"):
+        E.training_rows(parts["traces"], parts["nodes"], parts["tools"], KINDS, order, strict=True)
+    good = parts["traces"].where("trace_id = 'fine'")
+    assert E.training_rows(good, parts["nodes"], parts["tools"], KINDS, order, strict=True).count() == 0
+    (tmp_path / "b").mkdir()
+    write(tmp_path / "b", "c", [trace("one"), looped()])
+    parts, _ = frames(spark, tmp_path / "b")
+    with pytest.raises(ValueError, match="loop: a useful turn lies off the chain"):
+        E.training_rows(parts["traces"], parts["nodes"], parts["tools"], KINDS, order, strict=True)
+
+
+def test_prepared_rows(spark):
+    """A tokenizer of a token a character and four a message, two for the opening of a reply."""
+    count = lambda messages, generation: sum(len(m["content"] or "") + 4 for m in messages) + (2 if generation else 0)
+    say = lambda *texts: [{"role": "user" if i % 2 == 0 else "assistant", "content": t} for i, t in enumerate(texts)]
+    rows = [("a", "train", ["final"], say("hi", "ok")), ("b", "train", ["read"], say("hi", "x" * 90)), ("c", "validation", ["final"], say("hi", "ok")), ("d", "holdout", [], None)]
+    schema = "trace_id string, split string, target_kinds array<string>, messages array<struct<role string, content string>>"
+    df = spark.createDataFrame(rows, schema)
+    got = {r.trace_id: (r.total_tokens, r.completion_tokens, r.length_fault) for r in E.sample_lengths(df, count).collect()}
+    assert got == {"a": (12, 4, None), "b": (100, 92, None), "c": (12, 4, None), "d": (None, None, "no messages")}
+    assert [r.trace_id for r in E.prepare_rows(df, count, 99, {"train": 1, "validation": 1}, ["final"]).orderBy("trace_id").collect()] == ["a", "c"]
+    assert E.prepare_rows(df, count, 100, {"train": 2}, ["final", "read"]).count() == 3
+    for longest, least, required, why in ((99, {"train": 2}, [], "too few traces fit the length: train"), (99, {}, ["final", "read"], "train samples lack kinds: read"), (5, {"validation": 1}, [], "validation")):
+        with pytest.raises(ValueError, match=why):
+            E.prepare_rows(df, count, longest, least, required)
+    for messages, why in ((say("hi"), "not an assistant's"), (say("hi", ""), None), ([], "no messages")):
+        more = df.unionByName(spark.createDataFrame([("e", "train", [], messages)], schema))
+        if why:
+            with pytest.raises(ValueError, match=why):
+                E.prepare_rows(more, count, 1, {}, [])
+    with pytest.raises(ValueError, match="no completion"):
+        E.prepare_rows(df, lambda messages, generation: 7, 100, {}, [])
+
+
+TASK = """schema_version = 2
+task_id = "{id}"
+task_revision = 1
+family = "some-family"
+split = "train"
+prompt = "Do it."
+runtime = "python"
+runtime_version = "3.1"
+max_time_seconds = 60
+token_budget = 4096
+expected_cases = 3
+editable_files = ["a.py"]
+context_files = ["a.py", "d/b.py"]
+source = "here"
+source_revision = "r1"
+license = "MIT"
+sensitive_data = "public"
+seed = 0
+[environment]
+image = "i"
+image_digest = "d"
+os = "linux"
+architecture = "arm64"
+network = "none"
+cpus = 1.0
+memory_bytes = 1
+pids = 1
+workspace_bytes = 1
+temp_bytes = 1
+home_bytes = 1
+dependency_lock_digest = "x"
+[verifier]
+protocol = "p1"
+cases = "verifier/cases.json"
+"""
+
+
+def test_task_manifests(spark, tmp_path):
+    change = lambda old, new: TASK.format(id="x/odd").replace(old, new)
+    cases = {
+        "fine": (TASK.format(id="x/fine"), None), "other": (TASK.format(id="x/name"), "task_id does not end with the name of its folder"), "broken": ("id = ", None),
+        "one": (TASK.format(id="x/one"), None), "odd": (change("seed = 0\n", ""), "task lacks seed"), "odd2": (change("seed = 0", "seed = 0\nmore = 1"), "task has unknown more"), "odd3": (change("cpus = 1.0\n", ""), "environment lacks cpus"),
+        "odd4": (change("token_budget = 4096", "token_budget = true"), "token_budget is out of bounds"), "odd5": (change('"a.py", "d/b.py"', '"d/b.py"'), "a file to be edited is not in the context"), "odd6": (change('["a.py"]', '["../a.py"]').replace('["a.py",', '["../a.py",'), "editable_files holds a path that is not plain"),
+        "odd7": (change("MIT", "MIT or so"), "license is invalid"), "odd8": (change('"3.1"', '"3"'), "runtime is unknown or of another version"), "odd9": (change("cpus = 1.0", "cpus = 2"), "environment.cpus is another"), "odd10": (change("verifier/cases", "workspace/cases"), "verifier.cases is no file of the task"),
+        "odd11": (change("x/odd", "Odd"), "task_id is invalid"), "odd12": (change("schema_version = 2", "schema_version = 2.0"), "schema_version is another"), "odd13": (change('"Do it."', '" "'), "prompt is empty or too long"), "odd14": (change('["a.py"]', '["a.py", "a.py"]'), "editable_files is no list of files"),
+    }
+    for folder, (text, _) in cases.items():
+        (tmp_path / "tasks" / folder).mkdir(parents=True)
+        (tmp_path / "tasks" / folder / "task.toml").write_text(text)
+    (tmp_path / "more" / "one").mkdir(parents=True)
+    (tmp_path / "more" / "one" / "task.toml").write_text(TASK.format(id="y/one"))
+    manifests = FS.read_manifests(spark, str(tmp_path / "tasks")).unionByName(FS.read_manifests(spark, str(tmp_path / "more")))
+    got = {str(Path(r.path).parent.relative_to(tmp_path)): r.reason for r in FS.task_faults(manifests, 2, {"python": "3.1"}, "p1", {"cpus": 1, "os": "linux"}).collect()}
+    assert got.pop("tasks/broken")
+    assert got == {f"tasks/{k}": why for k, (_, why) in cases.items() if why} | {"tasks/one": "task name given twice: one", "more/one": "task name given twice: one"}
+
+
 def test_holdout_stops_an_export(spark, tmp_path):
     write(tmp_path, "a", [trace("one"), trace("two", split="holdout", ok=False)])
     parts, _ = frames(spark, tmp_path)

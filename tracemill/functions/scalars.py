@@ -167,6 +167,15 @@ def is_plain_path(path: Column) -> Column:
     return F.coalesce((path != "") & ~F.exists(F.split(path, "/"), lambda x: x.isin("", ".", "..")), F.lit(False))
 
 
+#: How names have to look. Fixed values.
+TASK_ID, LICENSE, CASE_ID = r"^[a-z0-9][a-z0-9._/-]{2,127}\z", r"^[A-Za-z0-9][A-Za-z0-9.+-]{0,63}\z", r"^[a-z0-9][a-z0-9._-]{0,79}\z"
+
+
+def fits(value: Column, pattern: str) -> Column:
+    """Whether a text has the form of TASK_ID, LICENSE or CASE_ID; a null has none."""
+    return F.coalesce(value.rlike(pattern), F.lit(False))
+
+
 def is_base_url(url: Column) -> Column:
     """https anywhere, http on this machine only; no user, query or fragment; a port in range."""
     part = lambda name: F.try_parse_url(url, F.lit(name))

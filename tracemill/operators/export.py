@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -53,6 +54,40 @@ def tool_projection(tools: DataFrame) -> DataFrame:
     return tools.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tool_ord", checked.alias("t")))), lambda x: x["t"]).alias("tools"))
 
 
+ROLES = ("system", "user", "assistant", "tool")
+
+
+def export_faults(nodes: DataFrame, mapping: dict[str, str], place: list[str]) -> DataFrame:
+    """``place, trace_id, node, reason``: nodes that can't be exported, each with its first fault.
+
+    A message has one of four roles and a text. An assistant's calls, where it has any, are a list of
+    calls with an id, a name and arguments that are, or parse to, an object (an explicit null is no
+    list); those of a sampled turn are of tools in ``mapping``. A tool's message names the call it answers.
+    """
+    value = J.parse_one(F.col("tool_calls"))
+    calls = J.items(value)
+
+    def inner(call: Column) -> Column:
+        nested = J.at(call, "$.function")
+        return F.when(J.kind(nested) == "object", nested).otherwise(call)
+
+    def whole(call: Column) -> Column:
+        return J.text(J.at(call, "$.id")).isNotNull() & J.text(J.at(inner(call), "$.name")).isNotNull() & J.arguments(J.at(inner(call), "$.arguments")).isNotNull()
+
+    known = F.array(*map(F.lit, sorted(mapping))) if mapping else F.array().cast("array<string>")
+    strange = F.filter(F.transform(calls, lambda c: J.text(J.at(inner(c), "$.name"))), lambda name: ~F.array_contains(known, name))
+    calling = (F.col("role") == "assistant") & F.col("tool_calls").isNotNull()
+    reason = (
+        F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "role is unknown")
+        .when(F.col("text").isNull(), "content is no text")
+        .when(calling & calls.isNull(), "calls are no list")
+        .when(calling & ~F.forall(calls, lambda c: F.coalesce(whole(c), F.lit(False))), "a call is not whole")
+        .when((F.col("role") == "tool") & F.col("tool_call_id").isNull(), "a result names no call")
+        .when(calling & F.col("sampled") & (F.size(strange) > 0), F.concat(F.lit("unavailable tool: "), F.get(strange, F.lit(0))))
+    )
+    return nodes.withColumn("reason", reason).where("reason is not null").select(*dict.fromkeys([*place, "trace_id", "node", "reason"]))
+
+
 def target_kinds(nodes: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Per sampled turn its kinds: those of its tools, ``final`` for text without calls, ``recovery`` after a failed result."""
     turns = sampled_turns(nodes)
@@ -66,20 +101,32 @@ def target_kinds(nodes: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return joined.select("trace_id", "node", F.array_sort(F.array_distinct(F.concat("kinds", final, recovery))).alias("kinds"))
 
 
-def training_rows(traces: DataFrame, nodes: DataFrame, tools: DataFrame, mapping: dict[str, str], order: list[str]) -> DataFrame:
+def training_rows(traces: DataFrame, nodes: DataFrame, tools: DataFrame, mapping: dict[str, str], order: list[str], strict: bool = False) -> DataFrame:
     """One sample per successful trace: the chain of its last useful turn as messages.
 
     A turn is useful if it has a kind. Of traces with one id the first in
     ``order`` counts. Traces whose useful turns don't all lie on the chain, or
-    without one, give no row.
+    without one, give no row. With ``strict`` the first fault of a successful trace
+    (see :func:`export_faults`, or a useful turn off the chain) is a ValueError; without it
+    calls of other tools have no kind, and traces with faults are to be taken out before.
     """
     kept = first_wins(successful(guard_holdout(traces)), ["trace_id"], order).select("trace_id", "task_id", "split", *order)
     # all three frames carry the columns of ``order``: another trace of the same id has its own nodes and tools
     place = kept.select("trace_id", *order)
     mine, tools = (part.join(place, ["trace_id", *order], "left_semi") for part in (nodes, tools))
+    if strict:
+        row = export_faults(mine, mapping, order).orderBy(*order, "node").limit(1).collect()
+        if row:
+            raise ValueError(f"{row[0]['trace_id']}, node {row[0]['node']}: {row[0]['reason']}")
     useful = target_kinds(mine, mapping).where("size(kinds) > 0")
     last = useful.groupBy("trace_id").agg(F.max("node").alias("node"), F.array_sort(F.collect_set("node")).alias("targets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("target_kinds"))
-    ways = last.join(chains(mine), ["trace_id", "node"]).where("chain is not null and size(array_except(targets, chain)) = 0")
+    ways = last.join(chains(mine), ["trace_id", "node"])
+    whole = F.expr("chain is not null and size(array_except(targets, chain)) = 0")
+    if strict:
+        off = ways.where(~F.coalesce(whole, F.lit(False))).agg(F.min("trace_id").alias("trace_id")).first()["trace_id"]
+        if off is not None:
+            raise ValueError(f"{off}: a useful turn lies off the chain")
+    ways = ways.where(whole)
     steps = ways.select("trace_id", F.posexplode("chain").alias("place", "node")).join(mine.withColumn("message", message(mine)), ["trace_id", "node"])
     messages = steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "message"))), lambda x: x["message"]).alias("messages"))
     rows = ways.join(messages, "trace_id").join(kept, "trace_id").join(tool_projection(tools), "trace_id", "left")
@@ -110,6 +157,54 @@ def token_length(texts: str, count: Callable[[str], int]):
     return length(F.col(texts))
 
 
+def sample_lengths(rows: DataFrame, count: Callable[[list[dict], bool], int]) -> DataFrame:
+    """Add ``total_tokens``, ``completion_tokens`` and ``length_fault`` (null if the sample can be trained on).
+
+    ``count(messages, generation)`` gives the tokens of messages, with the opening of a
+    reply if ``generation``. The completion is the last message, which has to be an
+    assistant's: the tokens of all less those of the prompt, two at least.
+    """
+
+    @F.pandas_udf("total_tokens bigint, completion_tokens bigint, length_fault string")
+    def measured(messages: pd.Series) -> pd.DataFrame:
+        def one(text):
+            said = json.loads(text) if text is not None else None
+            if not said:
+                return None, None, "no messages"
+            if not isinstance(said[-1], dict) or said[-1].get("role") != "assistant":
+                return None, None, "the last message is not an assistant's"
+            total = count(said, False)
+            own = total - count(said[:-1], True)
+            return total, own, None if own >= 2 else "no completion to train on"
+
+        return pd.DataFrame([one(t) for t in messages], columns=["total_tokens", "completion_tokens", "length_fault"]).astype({"total_tokens": "Int64", "completion_tokens": "Int64"})
+
+    return rows.withColumn("__length", measured(F.to_json("messages"))).select("*", "__length.*").drop("__length")
+
+
+def prepare_rows(rows: DataFrame, count: Callable[[list[dict], bool], int], longest: int, least: dict[str, int], required: list[str]) -> DataFrame:
+    """Samples of at most ``longest`` tokens, without the holdout split, for training.
+
+    Checked before anything is dropped: every sample can be trained on. Checked after:
+    each split of ``least`` has so many traces left, and the train split every required
+    kind. The first check that fails is a ValueError. Samples are measured once.
+    """
+    from tracemill.session import cut
+
+    measured = cut(sample_lengths(rows.where(F.col("split") != "holdout"), count), "lengths")
+    fault = measured.agg(F.min_by("length_fault", F.when(F.col("length_fault").isNotNull(), F.col("trace_id"))).alias("why")).first()["why"]
+    if fault is not None:
+        raise ValueError(fault)
+    kept = within_length(measured, F.col("total_tokens"), longest).drop("length_fault")
+    short = [r["split"] for r in split_counts(kept, least).where("not enough").collect()]  # a row per split
+    if short:
+        raise ValueError(f"too few traces fit the length: {', '.join(sorted(short))}")
+    lacking = [r["kind"] for r in missing_kinds(kept.where("split = 'train'"), required).collect()]  # a row per required kind
+    if lacking:
+        raise ValueError(f"train samples lack kinds: {', '.join(sorted(lacking))}")
+    return kept
+
+
 def within_length(rows: DataFrame, length: Column, longest: int) -> DataFrame:
     """Rows of at most ``longest`` tokens."""
     return rows.where(length <= longest)

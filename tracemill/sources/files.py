@@ -8,12 +8,14 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from tracemill.functions import scalars as S
+from tracemill.functions import strict_json as J
 from tracemill.functions.digests import canonical
 
 #: Files of a data set by split, in the order in which its digest takes them. Fixed values.
@@ -215,3 +217,71 @@ def manifest_faults(manifests: DataFrame, fields: list[str]) -> DataFrame:
     ids = manifests.select("path", F.get_json_object("manifest", "$.id").alias("id")).where("id is not null")
     twice = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     return own.where("reason is not null").unionByName(ids.join(twice, "id").select("path", F.concat(F.lit("id given twice: "), F.col("id")).alias("reason")))
+
+
+#: The closed schema of a task's manifest: its fields, those of its tables, and what other fields may hold. Fixed values.
+TASK_FIELDS = (
+    "schema_version", "task_id", "task_revision", "family", "split", "prompt", "runtime", "runtime_version", "max_time_seconds", "token_budget", "expected_cases", "editable_files",
+    "context_files", "source", "source_revision", "license", "sensitive_data", "seed", "environment", "verifier",
+)
+TASK_TABLES = {
+    "environment": ("image", "image_digest", "os", "architecture", "network", "cpus", "memory_bytes", "pids", "workspace_bytes", "temp_bytes", "home_bytes", "dependency_lock_digest"),
+    "verifier": ("protocol", "cases"),
+}
+TASK_BOUNDS = {"task_revision": (1, 1_000_000), "max_time_seconds": (1, 1800), "token_budget": (256, 1_000_000), "expected_cases": (1, 1000), "seed": (0, (1 << 63) - 1)}
+TASK_CHOICES = {"split": ("train", "validation", "holdout"), "sensitive_data": ("public",)}
+LONGEST_PROMPT = 32 * 1024
+
+
+def task_faults(manifests: DataFrame, schema_version: int, runtimes: dict[str, str], protocol: str, environment: dict[str, object] | None = None) -> DataFrame:
+    """``path, reason``: task manifests that can't be used, each with its first fault.
+
+    Checked in turn: the file can be read; it has exactly the fields of a task, and its tables
+    theirs; each field holds what it may (``runtimes`` has the version of each runtime); files are plain
+    relative paths, those to be edited among those of the context; the environment is the given one. Then,
+    over all manifests without a fault: an id ends with the name of its folder, and no other manifest has it or that name.
+    """
+    v = J.parse_one(F.col("manifest"))
+    field = lambda name: J.at(v, f"$.{name}")
+    text = lambda name: J.text(field(name))
+    whole = lambda name: F.when(J.kind(field(name)) == "integer", field(name).cast("bigint"))
+
+    def other_fields(keys: Column, names: tuple[str, ...], what: str) -> Column:
+        wanted = F.array(*map(F.lit, names))
+        lack, more = (F.array_join(F.array_sort(x), ", ") for x in (F.array_except(wanted, keys), F.array_except(keys, wanted)))
+        return F.when(keys.isNull(), f"{what} is no table").when(lack != "", F.concat(F.lit(f"{what} lacks "), lack)).when(more != "", F.concat(F.lit(f"{what} has unknown "), more))
+
+    def listed(name: str) -> Column:
+        texts = F.transform(J.items(field(name)), J.text)
+        return F.when(F.forall(texts, lambda x: x.isNotNull()) & (F.size(F.array_distinct(texts)) == F.size(texts)), texts)
+
+    def value(fine: Column, reason: str) -> Column:
+        return F.when(~F.coalesce(fine, F.lit(False)), reason)
+
+    keys = lambda path: F.json_object_keys(F.get_json_object("manifest", path))
+    edited, given = listed("editable_files"), listed("context_files")
+    checks = [F.col("error"), F.when(v.isNull(), "not a manifest"), other_fields(keys("$"), TASK_FIELDS, "task"), value(whole("schema_version") == schema_version, "schema_version is another")]
+    checks += [value(S.fits(text(name), S.TASK_ID), f"{name} is invalid") for name in ("task_id", "family")]
+    checks += [value(whole(name).between(*bounds), f"{name} is out of bounds") for name, bounds in TASK_BOUNDS.items()]
+    checks += [value(text(name).isin(*choices), f"{name} is invalid") for name, choices in TASK_CHOICES.items()]
+    checks.append(value((F.trim(text("prompt")) != "") & (F.octet_length(text("prompt")) <= LONGEST_PROMPT), "prompt is empty or too long"))
+    versions = F.create_map(*(F.lit(x) for pair in runtimes.items() for x in pair))
+    checks.append(value(text("runtime_version") == F.try_element_at(versions, text("runtime")), "runtime is unknown or of another version"))
+    checks += [value(text(name) != "", f"{name} is empty") for name in ("source", "source_revision")]
+    checks.append(value(S.fits(text("license"), S.LICENSE), "license is invalid"))
+    checks += [value(F.size(edited) > 0, "editable_files is no list of files"), value(given.isNotNull(), "context_files is no list of files"), value(F.size(F.array_except(edited, given)) == 0, "a file to be edited is not in the context")]
+    checks += [value(F.forall(files, S.is_plain_path), f"{name} holds a path that is not plain") for name, files in (("editable_files", edited), ("context_files", given))]
+    checks += [other_fields(keys(f"$.{name}"), names, name) for name, names in TASK_TABLES.items()]
+    for name, want in (environment or {}).items():
+        at = field(f"environment.{name}")
+        fine = J.text(at) == want if isinstance(want, str) else J.number(at) == float(want)
+        checks.append(value(fine, f"environment.{name} is another"))
+    checks += [value(text("verifier.protocol") == protocol, "verifier.protocol is another"), value(S.is_plain_path(text("verifier.cases")) & ~text("verifier.cases").startswith("workspace/"), "verifier.cases is no file of the task")]
+    own = manifests.select("path", text("task_id").alias("id"), F.coalesce(*checks).alias("reason"))
+    fine = own.where("reason is null").select("path", "id", F.substring_index("id", "/", -1).alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"))
+    faults = own.where("reason is not null").select("path", "reason")
+    faults = faults.unionByName(fine.where("name <> folder").select("path", F.lit("task_id does not end with the name of its folder").alias("reason")))
+    for column, what in (("id", "task_id"), ("name", "task name")):
+        twice = fine.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+        faults = faults.unionByName(fine.join(twice, column).select("path", F.concat(F.lit(f"{what} given twice: "), F.col(column)).alias("reason")))
+    return faults.groupBy("path").agg(F.min("reason").alias("reason"))
