@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -191,6 +192,8 @@ def test_chains_and_branches(spark):
     got = {(r.trace_id, r.node): r.chain for r in T.chains(df).collect()}
     assert got[("a", 3)] == [0, 1, 3] and got[("a", 2)] == [0, 1, 2] and got[("l", 69)] == list(range(70))
     assert got[("c", 0)] is None and got[("c", 1)] is None and got[("m", 0)] is None
+    asked = T.chains(df, spark.createDataFrame([("a", 3), ("c", 1), ("q", 1)], "trace_id string, node int")).collect()
+    assert {(r.trace_id, r.node): r.chain for r in asked} == {("a", 3): [0, 1, 3], ("c", 1): None, ("q", 1): None}
     chain = spark.createDataFrame([("a", [0, 1, 3])], "trace_id string, chain array<int>")
     assert [tuple(r) for r in T.off_chain(chain, df.where("trace_id = 'a'").select("trace_id", "node")).collect()] == [("a", 2)]
 
@@ -202,10 +205,27 @@ def test_depths(spark):
     got = {(r.trace_id, r.node): r.depth for r in T.depths(df).collect()}
     assert got == {("a", 0): 1, ("a", 1): 2, ("a", 2): 3, ("a", 3): 3, ("c", 0): None, ("c", 1): None, ("c", 2): None, ("c", 3): 1, ("m", 0): None, ("m", 1): None, ("s", 0): None}
     assert T.depths(df.limit(0)).count() == 0
+    rnd = random.Random(6)
+    trees = [(t, i, rnd.choice([None] + [rnd.randrange(max(0, i - back), i) for back in (1, 1, 2, 700)]) if i else None) for t, n in (("x", 900), ("y", 257), ("z", 3)) for i in range(n)]
+    trees += [("q", i, 5000 - 7 * i if i % 3 else i + 1) for i in range(1000)]  # up and down, with cycles and ends that aren't there
+    wild = spark.createDataFrame(trees, "trace_id string, node int, parent int")
+    parent = {(t, i): p for t, i, p in trees}
+
+    def way(t, i):
+        out = []
+        while i is not None and (t, i) in parent and i not in out:
+            out.append(i)
+            i = parent[t, i]
+        return out[::-1] if i is None else None
+
+    assert {(r.trace_id, r.node): r.chain for r in T.chains(wild).collect()} == {k: way(*k) for k in parent}
+    assert {(r.trace_id, r.node): r.depth for r in T.depths(wild).collect()} == {k: len(way(*k)) if way(*k) else None for k in parent}
     n = 140_000
     deep = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("int").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent"))
     got = T.depths(deep)
     assert got.where("depth = node + 1").count() == n and got.where("depth is null").count() == 0
+    leaf = spark.createDataFrame([("t", n - 1)], "trace_id string, node int")
+    assert T.ways(deep, leaf).where("place = node").count() == n
 
 
 def test_splits_by_meaning(spark, tmp_path):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tracemill.functions import strict_json as J
-from tracemill.operators.trajectories import chains, failed_result, first_wins, parsed_calls, sampled_turns
+from tracemill.operators.trajectories import failed_result, first_wins, parsed_calls, sampled_turns, ways
+from tracemill.session import cut
 
 DONE = "agent_completed"
 
@@ -119,17 +120,17 @@ def training_rows(traces: DataFrame, nodes: DataFrame, tools: DataFrame, mapping
         if row:
             raise ValueError(f"{row[0]['trace_id']}, node {row[0]['node']}: {row[0]['reason']}")
     useful = target_kinds(mine, mapping).where("size(kinds) > 0")
-    last = useful.groupBy("trace_id").agg(F.max("node").alias("node"), F.array_sort(F.collect_set("node")).alias("targets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("target_kinds"))
-    ways = last.join(chains(mine), ["trace_id", "node"])
-    whole = F.expr("chain is not null and size(array_except(targets, chain)) = 0")
+    last = useful.groupBy("trace_id").agg(F.max("node").alias("node"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("target_kinds"))
+    way = cut(ways(mine, last).drop("leaf"), "ways")
+    on = useful.join(way, ["trace_id", "node"], "left").groupBy("trace_id").agg(F.bool_and(F.col("place").isNotNull()).alias("whole"))
     if strict:
-        off = ways.where(~F.coalesce(whole, F.lit(False))).agg(F.min("trace_id").alias("trace_id")).first()["trace_id"]
+        off = on.where("not whole").agg(F.min("trace_id").alias("trace_id")).first()["trace_id"]
         if off is not None:
             raise ValueError(f"{off}: a useful turn lies off the chain")
-    ways = ways.where(whole)
-    steps = ways.select("trace_id", F.posexplode("chain").alias("place", "node")).join(mine.withColumn("message", message(mine)), ["trace_id", "node"])
+    whole = last.join(on.where("whole"), "trace_id", "left_semi")
+    steps = way.join(mine.withColumn("message", message(mine)), ["trace_id", "node"])
     messages = steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "message"))), lambda x: x["message"]).alias("messages"))
-    rows = ways.join(messages, "trace_id").join(kept, "trace_id").join(tool_projection(tools), "trace_id", "left")
+    rows = whole.join(messages, "trace_id").join(kept, "trace_id").join(tool_projection(tools), "trace_id", "left")
     return rows.select(F.lit(2).alias("schema_version"), "task_id", "trace_id", F.col("node").alias("turn_index"), "target_kinds", "messages", "tools", "split")
 
 
@@ -189,8 +190,6 @@ def prepare_rows(rows: DataFrame, count: Callable[[list[dict], bool], int], long
     each split of ``least`` has so many traces left, and the train split every required
     kind. The first check that fails is a ValueError. Samples are measured once.
     """
-    from tracemill.session import cut
-
     measured = cut(sample_lengths(rows.where(F.col("split") != "holdout"), count), "lengths")
     fault = measured.agg(F.min_by("length_fault", F.when(F.col("length_fault").isNotNull(), F.col("trace_id"))).alias("why")).first()["why"]
     if fault is not None:

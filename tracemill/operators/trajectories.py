@@ -9,8 +9,12 @@ parent, sampled, role, content, tool_calls, tool_call_id)`` with JSON text in
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -200,46 +204,152 @@ def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(row, F.struct(*order)).alias("__row")).select(*key, "__row.*").select(*df.columns)
 
 
-def chains(nodes: DataFrame) -> DataFrame:
-    """The way from each node up to its root, root first, as ``chain``; null if it never gets there.
-
-    Ways double in length with each of a few rounds of joins (pointer jumping), so
-    depth costs rounds by its logarithm, and a cycle or a missing parent ends without a root.
-    """
+#: Nodes of a trace whose pointers are followed together, before any leads out of them.
+CHUNK = 256
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows ``trace_id, chunk, ...`` cut only between chunks, and where chunks begin; one is held back at most."""
+    rest: pa.RecordBatch | None = None
+
+    def edges(batch: pa.RecordBatch) -> np.ndarray:
+        trace, chunk = batch.column(0), np.asarray(batch.column(1))
+        other = np.asarray(pc.not_equal(trace.slice(1), trace.slice(0, len(chunk) - 1))) | (chunk[1:] != chunk[:-1])
+        return np.r_[0, np.flatnonzero(other) + 1]
+
+    for batch in batches:
+        if batch.num_rows:
+            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            last = int(edges(whole)[-1])
+            rest = whole.slice(last)
+            if last:
+                part = whole.slice(0, last)
+                yield part, edges(part)
+    if rest is not None:
+        yield rest, edges(rest)
+
+
+def _parents(node: np.ndarray, parent: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The row of each node's parent if it is in the node's chunk (rows of a chunk are by node), else -1."""
+    size = np.diff(np.r_[begin, len(node)])
+    part = np.repeat(np.arange(len(begin)), size)
+    span = 1 + max(int(np.abs(node).max(initial=0)), int(np.abs(parent).max(initial=0)))
+    key, want = part * 2 * span + node, part * 2 * span + parent
+    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    return np.where(key[at] == want, at, -1)
+
+
+def _out_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node the first ancestor beyond its chunk (``up``), and the ``depth`` from there; null depths in cycles."""
+    for batch, begin in _chunks(batches):
+        node, has = np.asarray(batch.column(2)).astype(np.int64), np.asarray(batch.column(3).is_valid())
+        parent = np.asarray(batch.column(3).fill_null(-1)).astype(np.int64)
+        at = np.where(has, _parents(node, parent, begin), -1)
+        top, depth = np.arange(len(node)), np.ones(len(node), np.int64)
+        jump = at.copy()
+        for _ in range(CHUNK.bit_length() + 1):  # pointers double
+            inside = jump >= 0
+            top, depth = np.where(inside, top[jump], top), np.where(inside, depth + depth[jump], depth)
+            jump = np.where(inside, jump[jump], -1)
+        cyclic = jump >= 0
+        up = pa.array(parent[top], pa.int32(), mask=cyclic | ~has[top])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), up, pa.array(depth, pa.int64(), mask=cyclic)], ["trace_id", "node", "up", "depth"])
+
+
+def _chunked(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows with the ``chunk`` of their node, whole chunks together, in order."""
+    return rows.withColumn("chunk", F.expr(f"cast(floor(node / {CHUNK}) as bigint)")).repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", *more, "node")
+
+
+def _pointers(nodes: DataFrame) -> DataFrame:
     from tracemill.session import cut
 
-    now = cut(nodes.select("trace_id", "node", F.col("parent").alias("up"), F.array("node").alias("chain")), "chains")
-    while now.where("up is not null").limit(1).count():
-        above = now.select("trace_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("chain").alias("head"), F.lit(True).alias("there"))
-        joined = now.join(above, ["trace_id", "up"], "left")
-        longer = F.when(F.col("there"), F.concat("head", "chain")).otherwise(F.col("chain"))
-        broken = F.col("up").isNotNull() & (F.col("there").isNull() | F.exists("head", lambda x: x == F.col("node")))
-        now = cut(
-            joined.select("trace_id", "node", F.when(~broken, F.col("next")).alias("up"), F.when(~broken & F.col("chain").isNotNull(), longer).alias("chain")), "chains", now
-        )
-    return now.select("trace_id", "node", "chain")
+    rows = _chunked(nodes.select(F.col("trace_id").cast("string").alias("trace_id"), F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent")).where("trace_id is not null and node is not null"))
+    return cut(rows.select("trace_id", "chunk", "node", "parent").mapInArrow(_out_of_chunks, "trace_id string, node int, up int, depth bigint"), "pointers")
 
 
-def depths(nodes: DataFrame) -> DataFrame:
+def depths(nodes: DataFrame, pointers: DataFrame | None = None) -> DataFrame:
     """How many nodes the way from each node up to its root has, as ``depth``; null if it never gets there.
 
-    Pointer jumping as in :func:`chains`, with a number in place of the way, so that
-    a trace of any depth costs rounds by its logarithm and a few bytes a node. After
-    a round pointers have passed twice as many nodes; one that has passed as many as
-    its trace has and goes on is in a cycle.
+    Pointers are followed within chunks of a trace first, then across chunks by pointer
+    jumping: a round doubles the way, so a trace of any depth costs rounds by the logarithm of its
+    chunks, a few bytes a node. One that has passed as many chunks as its trace has nodes and goes
+    on is in a cycle. Rows without a trace or node are ignored; ``node`` is unique in its trace.
     """
     from tracemill.session import cut
 
-    now = cut(nodes.select("trace_id", "node", F.col("parent").alias("up"), F.lit(1).alias("depth")), "depths")
-    most = now.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    now = first = _pointers(nodes) if pointers is None else pointers
+    most = now.where("up is not null").groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     passed = 1
     while passed <= most and now.where("up is not null").limit(1).count():
         above = now.select("trace_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         joined = now.join(above, ["trace_id", "up"], "left")
         depth = F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("more"))
-        now = cut(joined.select("trace_id", "node", F.when(depth.isNotNull(), F.col("next")).alias("up"), depth.alias("depth")), "depths", now)
+        now = cut(joined.select("trace_id", "node", F.when(depth.isNotNull(), F.col("next")).alias("up"), depth.alias("depth")), "depths", None if now is first else now)
         passed *= 2
-    return now.select("trace_id", "node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return now.select("trace_id", "node", F.when(F.col("up").isNull(), F.col("depth")).cast("int").alias("depth"))
+
+
+def _within_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From each entry (rows of ``kind`` 1) the nodes (``kind`` 0) up to the chunk's end of the way."""
+    for batch, begin in _chunks(batches):
+        kind = np.asarray(batch.column(2))
+        chunk = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(kind)]))
+        nodes, entries = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        if not len(nodes) or not len(entries):
+            continue
+        node, has = np.asarray(batch.column(3)).astype(np.int64), np.asarray(batch.column(4).is_valid())
+        other = np.asarray(batch.column(4).fill_null(-1)).astype(np.int64)  # a node's parent, an entry's leaf
+        starts = np.flatnonzero(np.r_[True, chunk[nodes][1:] != chunk[nodes][:-1]])
+        at = np.where(has[nodes], _parents(node[nodes], other[nodes], starts), -1)
+        span = 1 + int(np.abs(node).max())
+        key, want = chunk[nodes] * 2 * span + node[nodes], chunk[entries] * 2 * span + node[entries]
+        now = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        alive = key[now] == want
+        now, own = now[alive], entries[alive]
+        found = []
+        while len(now) and len(found) <= CHUNK:
+            found.append((own, now))
+            now = at[now]
+            own, now = own[now >= 0], now[now >= 0]
+        rows, of = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(other[rows].astype(np.int32)), pa.array(node[nodes][of].astype(np.int32))], ["trace_id", "leaf", "node"])
+
+
+def ways(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The way from a root to each of ``leaves`` (``trace_id, node``): ``trace_id, leaf, node, place`` (from 0).
+
+    A row per node on the way, none for a leaf that never gets to a root. The chunks
+    that a way passes are found by pointer jumping, the nodes within them in one pass.
+    """
+    from tracemill.session import cut
+
+    pointers = _pointers(nodes)
+    depth = cut(depths(nodes, pointers).where("depth is not null"), "depths")
+    leaves = leaves.select(F.col("trace_id").cast("string").alias("trace_id"), F.col("node").cast("int").alias("node")).distinct()
+    have = cut(leaves.join(depth, ["trace_id", "node"], "left_semi").select("trace_id", F.col("node").alias("leaf"), "node"), "entries")
+    jump = first = pointers.select("trace_id", "node", "up")
+    while jump.where("up is not null").limit(1).count():
+        more = have.join(jump.where("up is not null"), ["trace_id", "node"]).select("trace_id", "leaf", F.col("up").alias("node"))
+        if not more.limit(1).count():
+            break
+        have = cut(have.unionByName(more), "entries", have)
+        twice = jump.select("trace_id", F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = cut(jump.where("up is not null").join(twice, ["trace_id", "up"]).select("trace_id", "node", F.col("next").alias("up")), "jumps", None if jump is first else jump)
+    rows = nodes.select(F.col("trace_id").cast("string").alias("trace_id"), F.lit(0).alias("kind"), F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("other")).where("trace_id is not null and node is not null")
+    rows = rows.unionByName(have.select("trace_id", F.lit(1).alias("kind"), "node", F.col("leaf").alias("other")))
+    passed = _chunked(rows, "kind").select("trace_id", "chunk", "kind", "node", "other").mapInArrow(_within_chunks, "trace_id string, leaf int, node int")
+    return passed.join(depth, ["trace_id", "node"]).select("trace_id", "leaf", "node", (F.col("depth") - 1).alias("place"))
+
+
+def chains(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """The way to each of ``leaves`` (all nodes without them) as an array ``chain``, root first; null if it never gets there.
+
+    An array for every node is as much as the squares of ways: ask for the leaves that are needed.
+    """
+    asked = (nodes if leaves is None else leaves).select(F.col("trace_id").cast("string").alias("trace_id"), F.col("node").cast("int").alias("node")).distinct()
+    found = ways(nodes, asked).groupBy("trace_id", F.col("leaf").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("chain"))
+    return asked.join(found, ["trace_id", "node"], "left")
 
 
 def off_chain(chain: DataFrame, targets: DataFrame) -> DataFrame:

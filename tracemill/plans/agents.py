@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import digests as D
 from tracemill.functions import scalars as S
 from tracemill.functions import strict_json as J
 from tracemill.operators import export as E
 from tracemill.operators import relations as R
 from tracemill.operators import trajectories as T
+from tracemill.operators import verdicts as V
 from tracemill.operators.nested import trace_tables
 from tracemill.plans.nested import P6
 from tracemill.operators.protocol import first_failure
@@ -243,6 +245,75 @@ def dedupe_first_wins(spark, d):
     return T.first_wins(load(spark, d, "training_samples").select("trace_id", "created_at", "sample_id", "turn_index"), ["trace_id"], ["created_at", "sample_id"]).select("trace_id", "sample_id", "turn_index")
 
 
+KINDS = {"sandbox_read": "read", "sandbox_write": "write", "sandbox_edit": "edit", "sandbox_exec": "execute", "run_tests": "test"}
+
+
+@query(_TURNS + _RECORDS + """,
+done AS (
+    SELECT trace_id, s.means AS split FROM trace JOIN spellings s ON s.field = 'split' AND s.written = lower(trim(t ->> '$.task.data.split')) WHERE s.means IN ('train', 'validation') AND json_type(t -> 'ok') = 'BOOLEAN' AND t ->> 'ok' = 'true'
+        AND t ->> 'stop_condition' = 'agent_completed' AND (json_type(t -> '$.rewards.tests.score') = 'BOOLEAN' AND t ->> '$.rewards.tests.score' = 'true'
+            OR json_type(t -> '$.rewards.tests.score') IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND CAST(t ->> '$.rewards.tests.score' AS DOUBLE) = 1.0)
+),
+mine AS (SELECT n.*, CASE WHEN json_valid(content) THEN CAST(content AS JSON) END AS j FROM node n WHERE trace_id IN (SELECT trace_id FROM done)),
+spoken AS (
+    SELECT *, CASE WHEN json_type(j) = 'ARRAY' THEN array_to_string(j ->> '$[*].text', chr(10)) ELSE content END AS said, means = 'tool' AND coalesce(json_type(j) = 'OBJECT' AND (json_type(j -> 'ok') = 'BOOLEAN' AND j ->> 'ok' = 'false'
+        OR json_type(j -> 'returncode') IN ('BIGINT', 'UBIGINT') AND j ->> 'returncode' <> '0' OR j ->> 'status' IN ('failed', 'error')), false) AS failed FROM mine
+),
+kind AS (
+    SELECT DISTINCT trace_id, node, CASE name WHEN 'sandbox_read' THEN 'read' WHEN 'sandbox_write' THEN 'write' WHEN 'sandbox_edit' THEN 'edit' WHEN 'sandbox_exec' THEN 'execute' WHEN 'run_tests' THEN 'test' END AS kind FROM parsed
+    UNION SELECT s.trace_id, s.node, 'final' FROM sized z JOIN spoken s USING (trace_id, node) WHERE z.n = 0 AND trim(said) <> ''
+    UNION SELECT s.trace_id, s.node, 'recovery' FROM spoken s JOIN spoken u ON u.trace_id = s.trace_id AND u.node = s.parent WHERE u.failed AND s.sampled AND s.means = 'assistant'
+),
+useful AS (SELECT * FROM kind WHERE kind IS NOT NULL AND trace_id IN (SELECT trace_id FROM done)),
+target AS (SELECT trace_id, max(node) AS node, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM useful GROUP BY trace_id),
+way AS (
+    SELECT t.trace_id, m.node, m.parent, 1 AS steps FROM target t JOIN mine m USING (trace_id, node)
+    UNION ALL SELECT w.trace_id, m.node, m.parent, steps + 1 FROM way w JOIN mine m ON m.trace_id = w.trace_id AND m.node = w.parent WHERE steps < 1000
+),
+whole AS (SELECT trace_id, count(*) AS n_messages FROM way GROUP BY trace_id HAVING count(*) FILTER (parent IS NULL) = 1)
+SELECT t.trace_id, d.split, t.node AS turn_index, t.kinds, CAST(w.n_messages AS INTEGER) AS n_messages FROM target t JOIN whole w USING (trace_id) JOIN done d USING (trace_id)
+WHERE NOT EXISTS (SELECT 1 FROM useful u WHERE u.trace_id = t.trace_id AND (u.trace_id, u.node) NOT IN (SELECT trace_id, node FROM way))
+""")
+def training_export(spark, d):
+    """Training rows of successful traces: messages of the tables, outcomes of the records, tools of the samples."""
+    lines = load(spark, d, "trace_records").select("record_id", F.col("payload").alias("line"))
+    heads = flatten(read_traces(lines, ["record_id"])[0], ["record_id", "trace_ord"])["traces"].where("trace_id is not null")
+    heads = spelled(T.first_wins(heads, ["trace_id"], ["record_id", "trace_ord"]).withColumnRenamed("split", "given"), "given", load(spark, d, "spellings"), "split", "split")
+    said = J.parse_one(F.col("content"))
+    text = F.when(F.coalesce(J.kind(said) == "array", F.lit(False)), J.flat_text(said)).otherwise(F.col("content"))
+    nodes = nodes_of(spark, d).withColumn("text", text).withColumn("part", F.lit(0))
+    samples = load(spark, d, "training_samples").groupBy("trace_id").agg(F.max_by("tools", F.struct("created_at", "sample_id")).alias("tools"))
+    tools = samples.select("trace_id", F.posexplode("tools").alias("tool_ord", "t")).select("trace_id", "tool_ord", "t.function.*", F.lit(0).alias("part"))
+    done = heads.where("split in ('train', 'validation')").withColumn("part", F.lit(0))
+    rows = E.training_rows(done, nodes, tools, KINDS, ["part"])
+    return rows.select("trace_id", "split", "turn_index", F.array_join("target_kinds", ",").alias("kinds"), F.size("messages").alias("n_messages"))
+
+
+@query("SELECT record_id, coalesce(regexp_full_match(task_id, '[a-z0-9][a-z0-9._/-]{2,127}'), false) AS task_id_fits, coalesce(regexp_full_match(license, '[A-Za-z0-9][A-Za-z0-9.+-]{0,63}'), false) AS license_fits FROM tasks")
+def name_forms(spark, d):
+    return load(spark, d, "tasks").select("record_id", S.fits(F.col("task_id"), S.TASK_ID).alias("task_id_fits"), S.fits(F.col("license"), S.LICENSE).alias("license_fits"))
+
+
+@query("""
+SELECT report_id, CASE WHEN passed_cases <> total_cases AND abs(passed_cases - total_cases) > 1 THEN 'passed differs' WHEN abs(loop_rate - 0.05) > 0.05 THEN 'loops differs' END AS failure FROM metrics_reports
+""")
+def case_verdicts(spark, d):
+    """Reports as recorded replies: all cases but one are to pass, and loops to be about as many as usual."""
+    number = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    near = lambda value, by, how: F.struct(F.lit(how).alias("compare"), value.alias("value"), F.lit(by).alias("absolute"))
+    whole = lambda values: F.to_json(F.struct(F.lit("ok").alias("status"), values.alias("values")))
+    wanted = F.struct(near(number("int", F.col("total_cases")), 1.0, "close").alias("passed"), near(F.array(number("float", F.lit(0.05))), 0.05, "close_recursive").alias("loops"))
+    given = F.struct(number("int", F.col("passed_cases")).alias("passed"), F.array(number("float", F.col("loop_rate").cast("decimal(12,9)"))).alias("loops"))
+    return load(spark, d, "metrics_reports").select("report_id", V.case_failure(whole(wanted), whole(given)).alias("failure"))
+
+
+@query("""SELECT event_id, '{"a":[1.5,true],"k":' || (json_extract_string(props, '$.k')) || ',"é":null}' AS canonical FROM events""")
+def canonical_texts(spark, d):
+    """Objects written with other spaces and order of names, in canonical form to the byte; numbers as Python writes them."""
+    text = F.concat(F.lit('{ "é" : null,'), F.substring("props", 2, 1000).substr(F.lit(1), F.length("props") - 2), F.lit(', "a": [ 1.50 , true ] }'))
+    return load(spark, d, "events").select("event_id", D.canonical_json(text).alias("canonical"))
+
+
 @query("SELECT kind, count(DISTINCT sample_id) AS samples FROM (SELECT sample_id, unnest(target_kinds) AS kind FROM training_samples) GROUP BY ALL")
 def action_histogram(spark, d):
     return T.histogram(load(spark, d, "training_samples"), "target_kinds")

@@ -180,25 +180,51 @@ def ledger_replay(spark, d):
     return ST.replay_ledger(_ledger(spark, d), ["user_id"], "ts")
 
 
+_HALF = "(SELECT max(event_id) // 2 FROM events)"
+
+
 @query(
-    _LEDGER.format(where="WHERE event_id <= 500")
+    _LEDGER.format(where=f"WHERE event_id <= {_HALF}")
     + f"""SELECT user_id, last_seq AS seq, 'snapshot' AS kind, balance AS amount FROM ({_LAST}) WHERE error IS NULL AND last_seq IS NOT NULL
-UNION ALL SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'withdraw' ELSE 'deposit' END, CAST(round(value * 100) AS BIGINT) FROM events WHERE event_id > 500"""
+UNION ALL SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'withdraw' ELSE 'deposit' END, CAST(round(value * 100) AS BIGINT) FROM events WHERE event_id > {_HALF}"""
 )
 def log_compaction(spark, d):
-    return ST.compact_ledger(_ledger(spark, d), ["user_id"], "ts", 500)
+    """The first half of the log as one snapshot per user, the rest as it is."""
+    half = load(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    return ST.compact_ledger(_ledger(spark, d), ["user_id"], "ts", half)
 
 
-@query()
+#: Each user's events in order, one after the other: those of the last hour that were admitted are held, three at most.
+_ADMITTED = """
+WITH RECURSIVE call AS (
+    SELECT event_id, user_id, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+),
+walk AS (
+    SELECT user_id, event_id, now, i, true AS allowed, CAST(0 AS DOUBLE) AS retry_after, [now] AS held FROM call WHERE i = 1
+    UNION ALL
+    SELECT user_id, event_id, now, i, len(live) < 3, CASE WHEN len(live) < 3 THEN CAST(0 AS DOUBLE) ELSE live[1] + 3600.0 - now END, CASE WHEN len(live) < 3 THEN list_append(live, now) ELSE live END
+    FROM (SELECT c.*, list_filter(w.held, lambda x: c.now - x < 3600.0) AS live FROM walk w JOIN call c ON c.user_id = w.user_id AND c.i = w.i + 1)
+)
+"""
+
+
+@query(_ADMITTED + "SELECT event_id, user_id, now, allowed, retry_after FROM walk")
 def rate_limiter(spark, d):
-    """Three events an hour per user; tested against a direct simulation."""
+    """Three events an hour per user."""
     calls = load(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"))
     return ST.limit_rate(calls, "user_id", "now", ["now", "event_id"], 3, 3600.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE drawn AS (
+    SELECT s_suppkey AS id, 0 AS attempt, (CAST(s_suppkey AS HUGEINT) * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS state FROM supplier
+    UNION ALL SELECT id, attempt + 1, (state * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM drawn WHERE attempt < 7
+),
+plan AS (SELECT id, attempt, least(30.0, 0.5 * pow(2.0, attempt)) * CAST(state // 2048 AS DOUBLE) / 9007199254740992.0 AS delay FROM drawn)
+SELECT id, attempt, delay FROM (SELECT *, sum(delay) OVER (PARTITION BY id ORDER BY attempt) AS elapsed FROM plan) WHERE elapsed <= 60.0
+""")
 def backoff_plan(spark, d):
-    """A retry plan per supplier; tested against a direct loop."""
+    """A retry plan per supplier."""
     s = load(spark, d, "supplier")
     return ST.backoff_plans(s.select(F.col("s_suppkey").alias("id"), F.lit(0.5).alias("base"), F.lit(2.0).alias("factor"), F.lit(30.0).alias("max_delay"), F.lit(60.0).alias("max_elapsed"), F.lit(8).alias("max_attempts"), F.col("s_suppkey").alias("seed")))
 

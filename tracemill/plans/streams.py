@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.plans.relational import _LAST, _LEDGER
+from tracemill.plans.relational import _ADMITTED, _LAST, _LEDGER
 from tracemill.session import scratch
 from tracemill.streaming import stateful as SS
 from tracemill.tables import load
@@ -44,7 +44,7 @@ def stream_windows(spark, d):
 
 
 def stream_limiter(spark, d):
-    """Three events an hour per user, as they arrive; tested in the stream tests."""
+    """Three events an hour per user, as they arrive: all of them in one batch, which is taken by time."""
     e = _events(spark, d).withColumn("now", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return run_to_end(SS.stream_limiter(e, "user_id", "now", 3, 3600.0))
 
@@ -56,6 +56,7 @@ def queries() -> dict[str, Query]:
 def sql() -> dict[str, str]:
     return {
         "stream_ledger": _LEDGER.format(where="") + _LAST.replace("balance, last_seq, error", "balance, error"),
+        "stream_limiter": _ADMITTED + "SELECT CAST(user_id AS VARCHAR) AS key, now, allowed, retry_after FROM walk",
         "stream_windows": """
             SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS h, event_type FROM events)
             WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
