@@ -1,6 +1,8 @@
 """Probes, suites, manifests, reports."""
 
+import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ def test_suites(spark, tmp_path):
 
     suites = {
         "good": [case("a"), case("b", observe=[], expected={"status": "error", "operation": 0, "type": "E"})], "empty": [], "twice": [case("a"), case("a")],
-        "lacks": [{"id": "q"}], "unfit": [case("a", observe=["y"])],
+        "lacks": [{"id": "q"}], "unfit": [case("a", observe=["y"])], "message": [case("a", observe=[], expected={"status": "error", "operation": 0, "type": "E", "message": 5})],
     }
     for name, cases in suites.items():
         (tmp_path / name).mkdir()
@@ -66,9 +68,15 @@ def test_suites(spark, tmp_path):
     (tmp_path / "deep" / "cases.json").write_text("[" * 40 + "]" * 40)
     cases, faults = C.read_suites(spark, str(tmp_path))
     got = {(r.path.split("/")[-2], r.reason) for r in faults.collect()}
-    assert got == {("empty", "no cases"), ("twice", "id given twice"), ("lacks", "case lacks a part"), ("unfit", "expectation does not fit"), ("deep", "too deep")}
+    assert got == {("empty", "no cases"), ("twice", "id given twice"), ("lacks", "case lacks a part"), ("unfit", "expectation does not fit"), ("message", "expectation does not fit"), ("deep", "too deep")}
     good = cases.where(F.col("path").contains("/good/"))
     assert [r.case_id for r in good.orderBy("place").collect()] == ["a", "b"]
+    (tmp_path / "same").mkdir()
+    (tmp_path / "same" / "cases.json").write_text(json.dumps(json.loads((tmp_path / "good" / "cases.json").read_text()), indent=3))
+    digests = {r.path.split("/")[-2]: r.sha256 for r in C.suite_digests(spark, str(tmp_path)).collect()}
+    text = json.dumps(json.loads((tmp_path / "good" / "cases.json").read_text()), sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n"
+    assert digests["good"] == digests["same"] == hashlib.sha256(text.encode()).hexdigest() != digests["lacks"]
+    shutil.rmtree(tmp_path / "same")
     tasks = good.select("path").distinct().select("path", F.lit(3).alias("expected_cases"))
     assert C.count_faults(cases, tasks).count() == 1 and C.count_faults(cases, tasks.withColumn("expected_cases", F.lit(2))).count() == 0
 
@@ -110,6 +118,11 @@ def test_reports_and_lists(spark, tmp_path):
     assert [r.idx for r in listed] == list(range(20)) and [(r.task_id, r.record_id) for r in listed] == sorted((r.task_id, r.record_id) for r in listed)
     with pytest.raises(ValueError):
         C.task_list(tasks, "none", ["task_id"])
+    made = spark.createDataFrame([(100 + i, f"a{i}", "train") for i in range(3)], "record_id int, task_id string, split string")
+    both = C.task_list(tasks, "train", ["task_id", "record_id"], made).orderBy("idx").collect()
+    assert both[:20] == listed and [r.record_id for r in both[20:]] == [100, 101, 102] and both[-1].idx == 22
+    with pytest.raises(ValueError, match="train split only"):
+        C.task_list(tasks, "holdout", ["task_id"], made)
     assert C.artifact_digest({"a": b"", "b": None}) == C.artifact_digest({"b": None, "a": b""}) != C.artifact_digest({"a": None, "b": None})
     names = spark.createDataFrame([("a/b.json",), ("b/",), ("",)], "p string")
     assert [r[0] for r in names.select(C.bare_name(F.col("p"))).collect()] == ["b.json", "b", ""]

@@ -93,6 +93,8 @@ def test_digests(spark):
     assert one(spark, D.call_signature(F.lit("f"), X), '{"b":1,"a":2}', '{"a":2,"b":1}', "[]", "x") == ['{"arguments":{"a":2,"b":1},"name":"f"}'] * 2 + [None, None]
     a = D.tree_digest([("a", None), ("a/b", b"x")], "t")
     assert a == D.tree_digest([("a/b", b"x"), ("a", None)], "t") != D.tree_digest([("a/b", b"y"), ("a", None)], "t")
+    tree = [("a", None), ("a/x", b"1"), ("b", None), ("b/c", None), ("b/c/z", b"2"), ("b/d", None), ("b/d/z", b"3"), ("b/a", b"4"), ("c", b"5")]
+    assert [p for p, _ in D.tree_order(reversed(tree))] == ["a", "b", "c", "b/a", "b/c", "b/d", "b/d/z", "b/c/z", "a/x"]
 
 
 def test_strict_json(spark):

@@ -193,6 +193,14 @@ def test_verdicts(spark):
     assert sorted((r.k, r.i) for r in order.where("not_run").collect()) == [("a", 3)]
 
 
+def test_status_of_cases(spark):
+    rows = [("a", 1, False, 4.0), ("a", 2, True, 1.0), ("a", 3, True, None), ("b", 1, False, 6.0), ("b", 2, None, 6.0), ("b", 3, True, 0.0), ("b", 4, False, 0.0)]
+    df = spark.createDataFrame(rows, "k string, i int, f boolean, s double")
+    got = {(r.k, r.i): r.status for r in V.case_status(df, ["k"], ["i"], F.col("f"), F.col("s"), 10.0).collect()}
+    ran, stopped, late = "ran", "not run after candidate failure", "verifier deadline exceeded"
+    assert got == {("a", 1): ran, ("a", 2): ran, ("a", 3): stopped, ("b", 1): ran, ("b", 2): ran, ("b", 3): late, ("b", 4): late}
+
+
 def test_json_helpers(spark):
     df = spark.createDataFrame([('{"a":{"x":1,"y":[1]},"b":2}', '{"a":{"y":null,"z":3}}'), ("[]", "{}"), (None, "{}")], "a string, b string")
     assert [r[0] for r in df.select(V.overlay_json("a", "b")).collect()] == ['{"a":{"x":1,"y":null,"z":3},"b":2}', None, None]
@@ -297,3 +305,9 @@ def test_stream_first_per_key(spark, tmp_path):
     row = lambda minute, k, v: {"ts": f"2026-01-01T00:{minute:02d}:00", "k": k, "v": v}
     rows = streamed(spark, tmp_path, "ts timestamp, k string, v int", [[row(1, "a", 1), row(1, "b", 2)], [row(2, "a", 3), row(3, "c", 4)]], lambda s: SS.first_per_key(s, ["k"], "ts"))
     assert sorted((r.k, r.v) for r in rows) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_stream_of_capped_calls(spark, tmp_path):
+    row = lambda e, d: {"e": e, "d": d}
+    rows = streamed(spark, tmp_path, "e string, d string", [[row("a", "x"), row("b", "x")], [row("a", "x")], [row("a", "y"), row("b", "x")], [row("a", "x")]], lambda s: SS.capped_calls(s, "e", "d", 3))
+    assert sorted((r.episode, r.call, r.digest, r.cached, r.refused) for r in rows) == [("a", 1, "x", False, False), ("a", 2, "x", True, False), ("a", 3, "x", False, True), ("a", 3, "y", False, False), ("b", 1, "x", False, False), ("b", 2, "x", True, False)]

@@ -382,6 +382,9 @@ def test_split_files_and_reports(spark, tmp_path):
                 h.update(len(x).to_bytes(8, "big") + x)
     assert digest == h.hexdigest()
     assert FS.read_objects(spark, str(tmp_path / "train.jsonl"), "text string, n int").count() == 2
+    (tmp_path / "none.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no object"):
+        FS.read_objects(spark, str(tmp_path / "none.jsonl"), "text string, n int")
     assert FS.write_splits(rows, str(tmp_path), "split", ["ord"]) != FS.write_splits(rows.where("ord > 1"), str(tmp_path), "split", ["ord"])
     FS.write_report({"b": 1, "a": 2}, str(tmp_path / "r" / "report.json"))
     assert json.loads((tmp_path / "r" / "report.json").read_text()) == {"a": 2, "b": 1}
@@ -402,6 +405,12 @@ def test_comparison_and_selection(spark):
     assert best.first().report_id == 1
     tied = T.best_by(spark.createDataFrame([report(7, 1.0), report(5, 1.0)]), (), ["sealed_validation_reward"], [], "report_id", ["report_id"])
     assert tied.first().report_id == 5
+    pick = lambda df, **more: [r.report_id for r in T.select_best(df, "report_id", ["sealed_validation_reward"], ["loop_rate"], "report_id", ["report_id"], **more).collect()]
+    some = spark.createDataFrame(rows)
+    assert pick(some, least=2) == [4] and pick(some, where=F.col("sealed_validation_reward") < 0.4) == [2] and pick(some, where=F.lit(False)) == []
+    for few in (some.limit(1), some.unionByName(some)):
+        with pytest.raises(ValueError, match="2 candidates"):
+            pick(few, least=2)
 
 
 def test_fingerprint_is_of_the_multiset(spark):
@@ -449,6 +458,10 @@ def test_logs_trees_and_manifests(spark, tmp_path):
     (tree / "d" / "f.txt").write_bytes(b"abc")
     got = FS.read_tree(spark, str(tree)).collect()
     assert [(r.length, r.sha256) for r in got] == [(3, hashlib.sha256(b"abc").hexdigest())]
+    assert FS.tree_inventory(FS.read_tree(spark, str(tree)), 1, 3) == (1, 3)
+    for most in ((0, None), (None, 2)):
+        with pytest.raises(ValueError, match="more than"):
+            FS.tree_inventory(FS.read_tree(spark, str(tree)), *most)
     (tree / "link").symlink_to(tree / "d" / "f.txt")
     with pytest.raises(ValueError):
         FS.read_tree(spark, str(tree))

@@ -96,13 +96,26 @@ def call_signatures(calls: pd.Series) -> pd.Series:
     return calls.map(one)
 
 
+def tree_order(entries: Iterable[tuple[str, bytes | None]]) -> list[tuple[str, bytes | None]]:
+    """Entries of a tree folder by folder: what lies in a folder by name, then the folders below it, the last name first, each with all below it."""
+    entries = list(entries)
+    names = sorted({part for path, _ in entries for part in path.split("/")})
+    behind = {name: -i for i, name in enumerate(names)}
+
+    def key(entry: tuple[str, bytes | None]) -> tuple:
+        *folders, name = entry[0].split("/")
+        return tuple(behind[f] for f in folders), name
+
+    return sorted(entries, key=key)
+
+
 def tree_digest(entries: Iterable[tuple[str, bytes | None]], domain: str) -> str:
     """A digest of a tree of paths: directories (None) and files with their bytes.
 
-    Entries are taken by path; each is a frame of its kind, path and content.
+    Entries are taken in :func:`tree_order`; each is a frame of its kind, path and content.
     """
     h = hashlib.sha256(domain.encode() + b"\0")
-    for path, data in sorted(entries, key=lambda x: x[0].encode()):
+    for path, data in tree_order(entries):
         name = path.encode()
         h.update((b"D" if data is None else b"F") + len(name).to_bytes(8, "big") + name)
         if data is not None:

@@ -194,6 +194,18 @@ def best_by(df: DataFrame, by: tuple[str, ...], higher: list[str], lower: list[s
     return df.groupBy(*by).agg(best.alias("__best")).select(*by, "__best.*")
 
 
+def select_best(df: DataFrame, name: str, higher: list[str], lower: list[str], order: str, keep: list[str], least: int = 1, where: Column | None = None) -> DataFrame:
+    """The best of all candidates (see :func:`best_by`), or no row if none passes ``where`` (``status = 'improved'``, say).
+
+    Fewer than ``least`` candidates, and two of one name, are errors: a choice needs something to choose from.
+    """
+    seen = df.agg(F.count("*").alias("n"), F.count_distinct(name).alias("names")).first()
+    if seen["n"] < least or seen["names"] < seen["n"]:
+        raise ValueError(f"{least} candidates of different names are needed")
+    best = best_by(df if where is None else df.where(where), (), higher, lower, order, keep)
+    return best.where(F.coalesce(*(F.col(c).isNotNull() for c in keep)) & F.col(keep[0]).isNotNull())
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of the rows of a key the first in order; nulls are a key like others.
 

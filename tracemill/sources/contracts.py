@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.digests import canonical
+from tracemill.functions import strict_json as J
+from tracemill.functions.digests import canonical, canonical_json
 from tracemill.operators.verdicts import shape_faults
 from tracemill.sources.files import SPLIT_FILES
 
@@ -43,6 +44,7 @@ def read_suites(spark: SparkSession, folder: str, name: str = "cases.json", dept
     status, values = F.get_json_object("expected", "$.status"), F.json_object_keys(F.get_json_object("expected", "$.values"))
     good = F.when(status == "ok", F.array_sort(values) == F.array_sort("observe")).when(
         status == "error", (F.get_json_object("expected", "$.operation").try_cast("int") >= 0) & (F.get_json_object("expected", "$.type") != "")
+        & F.coalesce(J.kind(J.at(J.parse_one(F.col("expected")), "$.message")).isin("null", "string"), F.lit(True))
     )
     whole = F.col("case_id").isNotNull() & F.col("operations").isNotNull() & F.col("observe").isNotNull()
     faults = checked.where("reason is not null").select("path", F.lit(None).cast("int").alias("place"), "reason")
@@ -52,6 +54,12 @@ def read_suites(spark: SparkSession, folder: str, name: str = "cases.json", dept
     return cases, faults.unionByName(twice.select("path", "place", F.lit("id given twice").alias("reason")))
 
 
+def suite_digests(spark: SparkSession, folder: str, name: str = "cases.json") -> DataFrame:
+    """``path, sha256`` of the suites below a folder: of their canonical JSON and a line end, so that layout doesn't count; null for what is no JSON."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.col("_metadata.file_path").alias("path"), canonical_json("value").alias("text"))
+    return files.select("path", F.sha2(F.concat("text", F.lit("\n")).cast("binary"), 256).alias("sha256"))
+
+
 def count_faults(cases: DataFrame, tasks: DataFrame) -> DataFrame:
     """Tasks ``path, expected_cases`` whose suite has another number of cases."""
     counts = cases.groupBy("path").agg(F.count("*").alias("cases"))
@@ -105,12 +113,18 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*((F.col(c) if c in raw.columns else F.lit(None)).try_cast(kind).alias(c) for c, kind in REPORT.items()))
 
 
-def task_list(tasks: DataFrame, split: str, order: list[str]) -> DataFrame:
+def task_list(tasks: DataFrame, split: str, order: list[str], generated: DataFrame | None = None) -> DataFrame:
     """The tasks of a split with their place ``idx`` from 0; places come from counts per range, not from one sort.
 
-    An empty split is an error.
+    An empty split is an error. ``generated`` tasks, of the same columns, come after the
+    others; they are for training only, so any other split with them is an error.
     """
     chosen = tasks.where(F.col("split") == split)
+    if generated is not None:
+        if split != "train":
+            raise ValueError("generated tasks are for the train split only")
+        chosen = chosen.withColumn("__late", F.lit(0)).unionByName(generated.withColumn("__late", F.lit(1)))
+        return task_list(chosen, split, ["__late", *order]).drop("__late")
     if not chosen.limit(1).count():
         raise ValueError(f"no task is of the split {split}")
     ranged = chosen.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())

@@ -23,9 +23,12 @@ SPLIT_FILES = {"train": "train.jsonl", "validation": "valid.jsonl", "holdout": "
 
 
 def read_objects(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A file of JSON objects, one a line; blank lines are passed over, a broken line is an error."""
+    """A file of JSON objects, one a line; blank lines are passed over, a broken line is an error, and so is a file without objects."""
     reader = spark.read.option("mode", "FAILFAST").option("lineSep", "\n")
-    return (reader.schema(schema) if schema else reader).json(path)
+    rows = (reader.schema(schema) if schema else reader).json(path)
+    if not rows.limit(1).count():
+        raise ValueError(f"no object in {path}")
+    return rows
 
 
 def write_splits(rows: DataFrame, folder: str, split: str, order: list[str], domain: str = "dataset") -> str:
@@ -92,14 +95,25 @@ def training_losses(logs: DataFrame, log: str = "value") -> DataFrame:
 
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, sha256`` of the files of a folder; links are an error (a local folder is looked through)."""
+    """``path, length, bytes_read, sha256`` of the files of a folder; links are an error (a local folder is looked through)."""
     if os.path.isdir(folder):
         for base, folders, files in os.walk(folder):
             for name in (*folders, *files):
                 if os.path.islink(os.path.join(base, name)):
                     raise ValueError(f"a link: {os.path.join(base, name)}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", F.octet_length("content").cast("bigint").alias("bytes_read"), F.sha2("content", 256).alias("sha256"))
+
+
+def tree_inventory(files: DataFrame, most_files: int | None = None, most_bytes: int | None = None) -> tuple[int, int]:
+    """``(files, bytes)`` of what :func:`read_tree` gave; more than asked for is an error, and so is a file that changed since it was listed."""
+    row = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(F.col("length") != F.col("bytes_read")).alias("changed")).first()
+    if row["changed"]:
+        raise ValueError(f"{row['changed']} files changed while they were read")
+    for what, n, most in (("files", row["n"], most_files), ("bytes", row["bytes"], most_bytes)):
+        if most is not None and n > most:
+            raise ValueError(f"more than {most} {what}")
+    return row["n"], row["bytes"]
 
 
 def parse_csv(text: str) -> tuple[list[list[str]], str | None]:

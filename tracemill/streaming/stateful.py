@@ -150,3 +150,28 @@ def windowed_counts(events: DataFrame, at: str, by: list[str], length: str, slid
 def first_per_key(rows: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """Each key's first row within the watermark: results kept by digest are computed once."""
     return rows.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late).dropDuplicatesWithinWatermark(keys).drop("__at")
+
+
+def capped_calls(rows: DataFrame, episode: str, digest: str, most: int = 20) -> DataFrame:
+    """``episode, digest, call, cached, refused`` of a stream of calls, as they come.
+
+    An episode has ``most`` calls; later ones are refused. A call whose digest an earlier
+    admitted one had is answered from what is kept (``cached``). The state of an
+    episode is its admitted digests, ``most`` at most.
+    """
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        calls, known = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        for pdf in frames:
+            out = []
+            for d in pdf["digest"].tolist():
+                refused = calls >= most
+                calls += not refused
+                out.append((keys[0], d, calls, not refused and d in known, refused))
+                if not refused and d not in known:
+                    known.append(d)
+            yield pd.DataFrame(out, columns=["episode", "digest", "call", "cached", "refused"])
+        state.update((calls, known))
+
+    picked = rows.select(F.col(episode).cast("string").alias("episode"), F.col(digest).cast("string").alias("digest")).where("episode is not null")
+    return picked.groupBy("episode").applyInPandasWithState(step, "episode string, digest string, call bigint, cached boolean, refused boolean", "calls bigint, known array<string>", "append", GroupStateTimeout.NoTimeout)
