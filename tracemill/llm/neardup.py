@@ -32,10 +32,10 @@ from tracemill.llm import shingles as S
 from tracemill.llm.components import connected_components
 from tracemill.session import cut
 
-#: Bits of the fingerprints the pivots are compared with, and words of those in the join.
-BITS, PRINT = 1024, 4
-#: Reference fingerprints, records drawn by hash: a fixed number, whatever the collection; and those whose distances go into the join.
-PIVOTS, NEAR = 64, 4
+#: Bits of the fingerprints the pivots are compared with, and words of the shorter ones within the join.
+BITS, PRINT = 512, 3
+#: Reference fingerprints, records drawn by hash: a fixed number, whatever the collection.
+PIVOTS = 64
 
 
 def distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -82,34 +82,27 @@ def _units(k: int):
     return run
 
 
-def _probes(counts, pivots, t: float, k: int):
-    """The rarest shingles of each class, with its coordinates and fingerprint."""
+PROBES = "gram bigint, cls bigint, size bigint" + "".join(f", f{i} bigint" for i in range(PRINT))
+
+
+def _probes(counts, t: float, k: int):
+    """The rarest shingles of each class, with its size and a short fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for batch in S.parts_of(rows, 1000):
                 grams, at = sets_of(S.column(batch, "texts"), k)
                 take, r, place = S.rarest(grams, at, counts.value, t)
-                whole = _prints(S.column(batch, "print"))
-                near = distances(whole, pivots.value[:NEAR]).view(np.int64)
-                prints = np.bitwise_xor.reduce(whole.reshape(len(whole), -1, PRINT), axis=1)  # parities by fewer bits of the shingles
-                of = pa.array(r)
+                prints = S.fingerprints(grams, at, 64 * PRINT)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[take].view(np.int64)), S.column(batch, "cls").take(of), S.column(batch, "n").take(of), pa.array(place.astype(np.int32)), pa.array(near[r, 0])]
-                    + [pa.array(prints[r, i]) for i in range(PRINT)],
-                    ["gram", "cls", "n", "place", "near", *(f"f{i}" for i in range(PRINT))],
+                    [pa.array(grams[take].view(np.int64)), S.column(batch, "cls").take(pa.array(r)), S.packed(np.diff(at)[r], place), *(pa.array(prints[r, i]) for i in range(PRINT))],
+                    [x.split()[0] for x in PROBES.split(", ")],
                 )
 
     return run
 
 
-def _apart(a: str, b: str) -> Column:
-    """The largest difference of the first pivot distances, 16 bits each."""
-    gaps = [F.abs(F.shiftright(f"{a}.near", 16 * i).bitwiseAND(0xFFFF) - F.shiftright(f"{b}.near", 16 * i).bitwiseAND(0xFFFF)) for i in range(NEAR)]
-    return F.greatest(*gaps)
-
-
-def _left(pivots, t: float):
+def _left(pivots, t: float, direct: bool = True):
     """Of pairs with their fingerprints those whose distances to all pivots differ little enough, then those that are close themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +112,9 @@ def _left(pivots, t: float):
                 na, nb = (np.asarray(S.column(batch, c)).astype(np.int64) for c in ("n_a", "n_b"))
                 bound = na + nb - 2 * S.least_common(na, nb, t)
                 left = np.abs(distances(x, pivots.value).astype(np.int32) - distances(y, pivots.value)).max(axis=1, initial=0) <= bound
-                near = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= bound
-                yield batch.select(["cls_a", "cls_b"]).filter(pa.array(left & near))
+                if direct:
+                    left &= np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= bound
+                yield batch.select(["cls_a", "cls_b"]).filter(pa.array(left))
 
     return run
 
@@ -164,50 +158,46 @@ class NearDuplicates:
         context = self.units.sparkSession.sparkContext
         total = self.units.agg(F.sum("n")).first()[0] or 0
         counts = context.broadcast(S.sketch(self.classes.select("texts"), lambda batch: (shingles_of(x.column(0), shingle)[0] for x in S.parts_of(batch, 1000)), total))
-        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(max(pivots, NEAR)).select("print").collect()  # a fixed number of records
-        prints = [np.frombuffer(r.print, np.int64) for r in drawn] + [np.zeros(BITS // 64, np.int64)] * max(0, NEAR - len(drawn))
-        self._pivots = context.broadcast(np.array(prints))
-        self._probes = self.classes.select("cls", "n", "texts", "print").mapInArrow(_probes(counts, self._pivots, threshold, shingle), "gram bigint, cls bigint, n int, place int, near bigint" + "".join(f", f{i} bigint" for i in range(PRINT)))
-
-    def _candidates(self, pivots: bool = True) -> DataFrame:
-        """Pairs of classes that share a rare shingle and pass the bounds; a is the smaller set."""
-        t = self.threshold
-        # both sides are one plan, so it runs and is shuffled once; the last line holds the prefixes of both
+        drawn = self.classes.orderBy(F.xxhash64("cls"), "cls").limit(pivots).select("print").collect()  # a fixed number of records
+        self._pivots = context.broadcast(np.array([np.frombuffer(r.print, np.int64) for r in drawn]).reshape(-1, BITS // 64))
+        self._probes = self.classes.select("cls", "texts").mapInArrow(_probes(counts, threshold, shingle), PROBES)
+
+    def _meetings(self, near: bool = True) -> DataFrame:
+        """Pairs of classes, once per rare shingle they share, that pass the bounds of sizes and places and of the short fingerprints; a is the smaller set."""
+        # both sides are one plan, so it runs and is shuffled once
         a, b = self._probes.alias("a"), self._probes.alias("b")
-        bound = F.expr(S.most_apart_sql("a.n", "b.n", t))
-        on = (
-            (F.col("a.gram") == F.col("b.gram"))
-            & F.expr("a.n < b.n or (a.n = b.n and a.cls < b.cls)")
-            & F.expr(S.meet_sql("a.", "b.", t))
-        )
-        if pivots:
-            on = on & (_apart("a", "b") <= bound)
-        pairs = a.join(b, on & (S.hamming("a.f", "b.f", PRINT) <= bound))
-        return pairs.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+        na, nb = S.size_sql("a.size"), S.size_sql("b.size")
+        on = (F.col("a.gram") == F.col("b.gram")) & F.expr(f"{na} < {nb} or ({na} = {nb} and a.cls < b.cls)") & F.expr(S.meet_sql("a.size", "b.size", self.threshold))
+        if near:
+            on = on & (S.hamming("a.f", "b.f", PRINT) <= F.expr(S.most_apart_sql(na, nb, self.threshold)))
+        return a.join(b, on).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+
+    def _candidates(self) -> DataFrame:
+        return self._meetings().distinct()
+
+    def _close(self) -> DataFrame:
+        """Candidates that the tables of distances to pivots and the distance of the whole fingerprints leave."""
+        prints = self.classes.select("cls", "n", "print")
+        pairs = self._candidates().join(prints.toDF("cls_a", "n_a", "print_a"), "cls_a").join(prints.toDF("cls_b", "n_b", "print_b"), "cls_b")
+        return pairs.mapInArrow(_left(self._pivots, self.threshold), "cls_a bigint, cls_b bigint")
 
     def class_pairs(self) -> DataFrame:
         """Similar classes and their ``similarity``, each pair once."""
-        prints, texts = self.classes.select("cls", "n", "print"), self.classes.select("cls", "texts")
-        left = (
-            self._candidates()
-            .join(prints.toDF("cls_a", "n_a", "print_a"), "cls_a")
-            .join(prints.toDF("cls_b", "n_b", "print_b"), "cls_b")
-            .mapInArrow(_left(self._pivots, self.threshold), "cls_a bigint, cls_b bigint")
-        )
+        left = cut(self._close(), "close")
+        texts = S.only_of(self.classes.select("cls", "texts"), "cls", left.select("cls_a").union(left.select("cls_b")))
         return (
             left.join(texts.toDF("cls_a", "texts_a"), "cls_a")
             .join(texts.toDF("cls_b", "texts_b"), "cls_b")
             .mapInArrow(_verified(self.threshold, self.shingle), "cls_a bigint, cls_b bigint, similarity double")
         )
 
-    def pruning(self) -> DataFrame:
-        """How many of the meetings at a rare shingle the pivots within the join leave, and how many the distance."""
-        t, p = self.threshold, self._probes
-        bound = F.expr(S.most_apart_sql("a.n", "b.n", t))
-        on = (F.col("a.gram") == F.col("b.gram")) & F.expr("a.n < b.n or (a.n = b.n and a.cls < b.cls)") & F.expr(f"a.n >= {t!r}D * b.n - 1e-9D")
-        left, near = _apart("a", "b") <= bound, S.hamming("a.f", "b.f", PRINT) <= bound
-        counts = [F.count("*").alias("meetings"), F.count_if(left).alias("left_by_pivots"), F.count_if(near).alias("left_by_distance"), F.count_if(left & near).alias("left_by_both")]
-        return p.alias("a").join(p.alias("b"), on).agg(*counts)
+    def pruning(self) -> dict[str, int]:
+        """How many meetings at a rare shingle there are, and how many pairs (each once) the steps leave:
+        the short fingerprints, the pivots alone, and pivots and distance."""
+        all_pairs, prints = cut(self._meetings(False).distinct(), "pairs"), self.classes.select("cls", "n", "print")
+        joined = all_pairs.join(prints.toDF("cls_a", "n_a", "print_a"), "cls_a").join(prints.toDF("cls_b", "n_b", "print_b"), "cls_b")
+        by_pivots = joined.mapInArrow(_left(self._pivots, self.threshold, False), "cls_a bigint, cls_b bigint")
+        return {"meetings": self._meetings(False).count(), "pairs": all_pairs.count(), "short": self._candidates().count(), "pivots": by_pivots.count(), "close": self._close().count()}
 
     def pairs(self) -> DataFrame:
         """Similar records ``id_a < id_b``, copies included."""

@@ -34,7 +34,7 @@ from tracemill.session import cut
 #: Consecutive hashes of which one is selected; a third of a text's at least, so for any threshold over 2/3.
 WINDOW = 3
 #: Words of the fingerprints that go with each hash into the join.
-PRINT = 4
+PRINT = 2
 
 
 def _distinct(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _units(k: int):
     return run
 
 
-SELECTED = "gram bigint, cls bigint, n int, place int, minimum boolean" + "".join(f", f{i} bigint" for i in range(PRINT))
+SELECTED = "gram bigint, cls bigint, size bigint" + "".join(f", f{i} bigint" for i in range(PRINT))
 
 
 def _selected(shared, t: float, k: int, known=None):
@@ -156,7 +156,7 @@ def _selected(shared, t: float, k: int, known=None):
                     take, r, place, keys = take[good], r[good], place[good], keys[good]
                 of = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), S.column(batch, "cls").take(of), S.column(batch, "n").take(of), pa.array(place.astype(np.int32)), pa.array(chosen[take]), *map(pa.array, prints[r].T)],
+                    [pa.array(keys.view(np.int64)), S.column(batch, "cls").take(of), S.packed(np.diff(edges)[r], place, chosen[take]), *map(pa.array, prints[r].T)],
                     [x.split()[0] for x in SELECTED.split(", ")],
                 )
 
@@ -211,21 +211,26 @@ def find_overlaps(records: DataFrame, threshold: float = 0.8, shingle: int = 5)
     context = units.sparkSession.sparkContext
     total = units.agg(F.sum("n")).first()[0] or 0
     counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: (grams_of(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text")), total))
-    shape = ["cls", "field", "n", "text"]
+    shape = ["cls", "field", "text"]
     selected = cut(classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED), "selected")
     bits = S.hash_filter(selected, "gram")
     known = None if bits is None else context.broadcast(bits)
     index = classes.where("some_train").select(shape).mapInArrow(_selected(counts, t, shingle, known), SELECTED)
     h, x = selected.alias("h"), index.alias("x")
-    near = S.hamming("h.f", "x.f", PRINT) <= F.expr(S.most_apart_sql("h.n", "x.n", t))
-    pairs = (
-        h.join(x, (F.col("h.gram") == F.col("x.gram")) & F.expr(S.meet_sql("h.", "x.", t)) & near)
+    near = S.hamming("h.f", "x.f", PRINT) <= F.expr(S.most_apart_sql(S.size_sql("h.size"), S.size_sql("x.size"), t))
+    pairs = cut(
+        h.join(x, (F.col("h.gram") == F.col("x.gram")) & F.expr(S.meet_sql("h.size", "x.size", t)) & near)
         .groupBy(F.col("h.cls").alias("held_cls"), F.col("x.cls").alias("train_cls"))
-        .agg(F.max(F.col("h.minimum") & F.col("x.minimum")).alias("winnowed"))
+        .agg(F.max(F.expr("(h.size & x.size & 1L) = 1")).alias("winnowed")),
+        "met",
     )
+
+    def texts(side: str) -> DataFrame:
+        return S.only_of(classes.where(f"some_{side}").select(F.col("cls").alias(f"{side}_cls"), F.col("text").alias(f"{side}_text")), f"{side}_cls", pairs.select(f"{side}_cls"))
+
     found = (
-        pairs.join(classes.where("some_held").select(F.col("cls").alias("held_cls"), F.col("text").alias("held_text")), "held_cls")
-        .join(classes.where("some_train").select(F.col("cls").alias("train_cls"), F.col("text").alias("train_text")), "train_cls")
+        pairs.join(texts("held"), "held_cls")
+        .join(texts("train"), "train_cls")
         .mapInArrow(_verified(t, shingle), "held_cls bigint, train_cls bigint, winnowed boolean, similarity double, seeds int, held_coverage double, train_coverage double")
     )
     members = units.select("row", "record_id", "field", "held").join(copies, "row", "left").withColumn("cls", F.coalesce("cls", "row"))

@@ -25,6 +25,8 @@ COUNTERS = 1 << 16, 1 << 22
 BLOCK = 1 << 12
 #: Bits of a filter of hashes: this many for each, between two bounds (32 MB at most), made in blocks; for over half the upper bound hashes there is none.
 FILTER_BITS, FILTER, FILTER_BLOCK = 8, (1 << 18, 1 << 28), 1 << 18
+#: Most keys (8 bytes each) that are sent to every task.
+MOST_SENT = 1_000_000
 _SALTS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -48,13 +50,13 @@ def probes(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def fingerprints(grams: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
-    """Parity fingerprints: bit i of a set is the parity of its grams that end in i.
+    """Parity fingerprints: bit i of a set is the parity of its grams that leave i when divided by ``bits``, a multiple of 64.
 
     A gram in one of two sets only flips one bit at most, so the Hamming distance
     of their fingerprints never exceeds the number of such grams.
     """
     rows = len(bounds) - 1
-    at = np.repeat(np.arange(rows), np.diff(bounds)) * bits + (grams & np.uint64(bits - 1)).astype(np.int64)
+    at = np.repeat(np.arange(rows), np.diff(bounds)) * bits + (grams % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
     return np.packbits(odd, axis=1).view(np.int64)
 
@@ -169,10 +171,27 @@ def rarest(grams: np.ndarray, bounds: np.ndarray, counts: np.ndarray, t: float)
     return take, row[take], np.arange(len(take)) - np.repeat(np.cumsum(most) - most, most)
 
 
+def packed(n: np.ndarray, place: np.ndarray, flag: np.ndarray | int = 0) -> pa.Array:
+    """Size of a set, place of a gram and a flag as one number, so that the rows of a join are small."""
+    return pa.array(n.astype(np.int64) << 32 | place.astype(np.int64) << 1 | flag)
+
+
+def size_sql(at: str) -> str:
+    return f"shiftright({at}, 32)"
+
+
 def meet_sql(a: str, b: str, t: float) -> str:
-    """Sets that meet at a gram of these places can be similar: enough grams are left in both."""
-    left = f"least({a}n - {a}place, {b}n - {b}place)"
-    return f"least({a}n, {b}n) >= {t!r}D * greatest({a}n, {b}n) - 1e-9D and {left} >= {least_common_sql(a + 'n', b + 'n', t)}"
+    """Sets that meet at a gram, with sizes and places packed in ``a`` and ``b``, can be similar: enough grams are left in both."""
+    na, nb = size_sql(a), size_sql(b)
+    place = lambda x: f"shiftright({x} & 4294967295L, 1)"
+    return f"least({na}, {nb}) >= {t!r}D * greatest({na}, {nb}) - 1e-9D and least({na} - {place(a)}, {nb} - {place(b)}) >= {least_common_sql(na, nb, t)}"
+
+
+def only_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among ``wanted`` (a written frame of one column), where these are few enough to be sent to
+    every task; else all rows: it only spares a shuffle what the join behind it drops."""
+    few = wanted.distinct()
+    return rows.join(F.broadcast(few.toDF(key)), key, "left_semi") if few.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
 
 
 def first_of(order: np.ndarray, bounds: np.ndarray, most: np.ndarray) -> np.ndarray:
