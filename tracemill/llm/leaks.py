@@ -252,7 +252,7 @@ def _joined(docs: DataFrame, held: DataFrame, least: int) -> DataFrame:
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     held = held.withColumn("item_key", F.xxhash64("item_id", "item_text"))
     b = cut(held.mapInArrow(seeds("item_text", "item_key"), "seed bigint, item_key bigint").distinct(), "seeds")
-    bits = hash_filter(b, "seed")
+    bits = hash_filter(b, "seed", b.count())
     known = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
     a = docs.mapInArrow(seeds("text", "doc_key", known), "seed bigint, doc_key bigint").distinct()
     pairs = a.join(b, "seed").select("doc_key", "item_key").distinct()

@@ -212,8 +212,9 @@ def find_overlaps(records: DataFrame, threshold: float = 0.8, shingle: int = 5)
     total = units.agg(F.sum("n")).first()[0] or 0
     counts = context.broadcast(S.sketch(classes.select("text"), lambda batch: (grams_of(*words_of(x.column(0)), shingle)[0] for x in slices(batch, "text")), total))
     shape = ["cls", "field", "text"]
-    selected = cut(classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED), "selected")
-    bits = S.hash_filter(selected, "gram")
+    selected = classes.where("some_held").select(shape).mapInArrow(_selected(counts, t, shingle), SELECTED)
+    about = units.where("held").agg(F.sum(F.ceil((1 - t) * F.col("n")) + 1)).first()[0] or 0
+    bits = S.hash_filter(selected, "gram", about)
     known = None if bits is None else context.broadcast(bits)
     index = classes.where("some_train").select(shape).mapInArrow(_selected(counts, t, shingle, known), SELECTED)
     h, x = selected.alias("h"), index.alias("x")

@@ -123,9 +123,8 @@ def sketch(sets: DataFrame, grams, total: int) -> np.ndarray:
     return out.ravel()
 
 
-def hash_filter(hashes: DataFrame, column: str) -> np.ndarray | None:
-    """Bits of all hashes of a written frame; each block of them is made by one task. None if there are too many for a filter."""
-    n = hashes.count()
+def hash_filter(hashes: DataFrame, column: str, n: int) -> np.ndarray | None:
+    """Bits of about ``n`` hashes; each block of them is made by one task. None if there are too many for a filter."""
     if 2 * n > FILTER[1]:
         return None
     size = min(max(1 << (FILTER_BITS * n).bit_length(), FILTER[0]), FILTER[1])
