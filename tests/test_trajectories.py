@@ -424,8 +424,9 @@ def test_fingerprint_is_of_the_multiset(spark):
     none = hashlib.sha256(b"[]").hexdigest()
     assert T.fingerprint(many.limit(0), "k", "e").first().sha256 == none
     assert {(r.g, r.sha256 == none) for r in T.fingerprint(spark.createDataFrame([(1, "a", None), (2, None, "x"), (None, "b", "y")], "g int, k string, e string"), "k", "e", ("g",)).collect()} == {(1, True), (2, False), (None, False)}
-    with pytest.raises(Exception, match="more than 1 entries"):
-        T.fingerprint(many.unionByName(spark.createDataFrame([("k", "f")], "k string, e string")), "k", "e", most_entries=1).collect()
+    keyed = spark.createDataFrame([(g, f"k{i % 3}", f"e{i % 5}") for g in range(40) for i in range(g)], "g int, k string, e string")
+    want = {g: hashlib.sha256(("[" + ",".join(e for _, e in sorted((f"k{i % 3}", f"e{i % 5}") for i in range(g))) + "]").encode()).hexdigest() for g in range(1, 40)}
+    assert {r.g: r.sha256 for r in T.fingerprint(keyed, "k", "e", ("g",)).collect()} == want
 
 
 def test_failed_results(spark):

@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -130,35 +129,54 @@ def measure_model_calls(model_calls: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return sums.withColumn("end_token_rate", rate(F.col("completed_model_calls"), F.col("model_calls")))
 
 
-def fingerprint(entries: DataFrame, sort_by: str, entry: str, by: tuple[str, ...] = (), most_entries: int = 1_000_000) -> DataFrame:
+def fingerprint(entries: DataFrame, sort_by: str, entry: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``sha256`` of the multiset of JSON entries: sorted by key and text, written as one list.
 
-    A digest is taken in order, so the distinct entries of a group meet in one task: they are
-    configurations, counted first, and over ``most_entries`` of a group is an error. Copies
-    are neither gathered nor written out. Rows without an entry are passed over; a group
+    A digest is taken in order: copies are counted first, then the distinct entries of a group stream
+    sorted through one task, which holds none of them. Rows without an entry are passed over; a group
     without any, and no rows at all, give the digest of an empty list.
     """
-    counted = entries.groupBy(*by, sort_by, entry).agg(F.count(entry).alias("__n"))
-    kept = [f for f in counted.schema.fields if f.name in by]
-    names = [f.name for f in kept]
-
-    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_entries:
-            raise ValueError(f"more than {most_entries} entries in one fingerprint")
-        h, mark = hashlib.sha256(b"["), b""
-        for _, e, n in sorted(zip(pdf[sort_by].fillna(""), pdf[entry], pdf["__n"])):
-            text = mark + e.encode()
-            h.update(text + (b"," + e.encode()) * min(n - 1, 1000))
-            for at in range(1000, n - 1, 1000):
-                h.update((b"," + e.encode()) * min(n - 1 - at, 1000))
-            mark = b","
-        h.update(b"]")
-        return pdf[names].head(1).assign(sha256=h.hexdigest()) if names else pd.DataFrame({"sha256": [h.hexdigest()]})
-
-    schema = StructType([*kept, StructField("sha256", StringType())])
-    found = counted.where("__n > 0").groupBy(*by).applyInPandas(digest, schema)
+    counted = entries.groupBy(*by, F.coalesce(sort_by, F.lit("")).alias("__key"), F.col(entry).alias("__entry")).agg(F.count(entry).alias("__n")).where("__n > 0")
+    schema = StructType([*(f for f in counted.schema.fields if f.name in by), StructField("sha256", StringType())])
+    spread = counted.repartition(*by) if by else counted.repartition(1)
+    found = spread.sortWithinPartitions(*by, "__key", "__entry").select(*by, "__entry", "__n").mapInArrow(_digests(schema.names), schema)
     groups = entries.groupBy(*by).agg(F.lit(hashlib.sha256(b"[]").hexdigest()).alias("sha256"))
-    return found.unionByName(groups.select(*by, "sha256").withColumn("__none", F.lit(True)), True).groupBy(*by).agg(F.min_by("sha256", F.coalesce("__none", F.lit(False))).alias("sha256"))
+    return found.unionByName(groups.withColumn("__none", F.lit(True)), True).groupBy(*by).agg(F.min_by("sha256", F.coalesce("__none", F.lit(False))).alias("sha256"))
+
+
+def _digests(names: list[str]):
+    """The digest of each group of sorted rows: the group's columns, an entry, how often it stands there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, h = None, None
+        kinds: list[pa.DataType] = []
+
+        def made(groups: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*groups))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.string()])], names)
+
+        for batch in batches:
+            *keys, texts, counts = (c.to_pylist() for c in batch.columns)
+            kinds = [f.type for f in batch.schema][:-2]
+            done = []
+            for *key, text, n in zip(*keys, texts, counts):
+                if key != group:
+                    if h is not None:
+                        h.update(b"]")
+                        done.append((*group, h.hexdigest()))
+                    group, h, mark = key, hashlib.sha256(b"["), b""
+                one = b"," + text.encode()
+                h.update(mark + one[1:])
+                for at in range(0, n - 1, 1000):
+                    h.update(one * min(n - 1 - at, 1000))
+                mark = b","
+            if done:
+                yield made(done)
+        if h is not None:
+            h.update(b"]")
+            yield made([(*group, h.hexdigest())])
+
+    return run
 
 
 #: Why a candidate is turned down: a column, how it is held against the baseline, the reason. Order counts.
