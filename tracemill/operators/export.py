@@ -111,15 +111,16 @@ def training_rows(traces: DataFrame, nodes: DataFrame, tools: DataFrame, mapping
     (see :func:`export_faults`, or a useful turn off the chain) is a ValueError; without it
     calls of other tools have no kind, and traces with faults are to be taken out before.
     """
-    kept = first_wins(successful(guard_holdout(traces)), ["trace_id"], order).select("trace_id", "task_id", "split", *order)
+    kept = cut(first_wins(successful(guard_holdout(traces)), ["trace_id"], order).select("trace_id", "task_id", "split", *order), "kept")
     # all three frames carry the columns of ``order``: another trace of the same id has its own nodes and tools
     place = kept.select("trace_id", *order)
     mine, tools = (part.join(place, ["trace_id", *order], "left_semi") for part in (nodes, tools))
+    mine = cut(mine, "nodes")  # read several times
     if strict:
         row = export_faults(mine, mapping, order).orderBy(*order, "node").limit(1).collect()
         if row:
             raise ValueError(f"{row[0]['trace_id']}, node {row[0]['node']}: {row[0]['reason']}")
-    useful = target_kinds(mine, mapping).where("size(kinds) > 0")
+    useful = cut(target_kinds(mine, mapping).where("size(kinds) > 0"), "useful")
     last = useful.groupBy("trace_id").agg(F.max("node").alias("node"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("target_kinds"))
     way = cut(ways(mine, last).drop("leaf"), "ways")
     on = useful.join(way, ["trace_id", "node"], "left").groupBy("trace_id").agg(F.bool_and(F.col("place").isNotNull()).alias("whole"))
